@@ -83,3 +83,13 @@ def each(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
             yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+
+def slices(batches: Iterable[pa.RecordBatch], most: int = 4_000_000, rows: int = 1024) -> Iterator[list[list]]:
+    """Columns of slices that hold at most about ``most`` bytes (one row at least), as Python lists."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        step = max(1, min(rows, batch.num_rows * most // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield [c.to_pylist() for c in batch.slice(at, step).columns]

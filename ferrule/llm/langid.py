@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, each, fold, id_and_text
 
 UNKNOWN = "und"
+#: Most languages whose cut-offs are broadcast; beyond it they are joined by shuffle.
+MOST_BROADCAST = 10_000
 
 
 @cache
@@ -92,7 +94,8 @@ def learn_profiles(docs: DataFrame, size: int = 300, per_language: int = 4000) -
     labelled = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"))
     order = F.row_number().over(W.partitionBy("lang").orderBy("h"))
     cuts = labelled.select("lang", "h").withColumn("n", order).where(F.col("n") <= per_language).groupBy("lang").agg(F.max("h").alias("cut"))
-    chosen = labelled.join(cuts, "lang").where("h <= cut").select("lang", "text")
+    small = cuts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    chosen = labelled.join(F.broadcast(cuts) if small else cuts, "lang").where("h <= cut").select("lang", "text")
 
     def count(batches):
         schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])

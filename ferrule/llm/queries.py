@@ -2,19 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode_documents, encode_documents
 from .common import fold, table
 from .langid import identify_languages, learn_profiles, training_rows
+from .packing import pack_documents
+from .secrets import count_kind, scan_documents, spans_string
 from .simhash import simhash_near_duplicates
 
 
+def tokenizer() -> str:
+    """Path of the public tokenizer file the contracts name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def _sha(column: str) -> Column:
+    return F.sha2(F.col(column).cast("binary"), 256)
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_documents(table(spark, sf_dir, "documents"))
+    spans = F.col("secret_spans")
+    base = F.filter(spans, lambda s: s["kind"] < 3)
+    return out.select(
+        "doc_id",
+        *[count_kind(spans, k).alias(f"n_{name}") for k, name in enumerate(("assign", "access", "hex"))],
+        F.sha2(spans_string(base).cast("binary"), 256).alias("base_sha256"),
+        spans_string(spans).alias("spans"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_near_duplicates(table(spark, sf_dir, "documents"), radius=2, words=3)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer(), end_id=2, with_ids=False)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer()
+    out = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", "n_tokens", _sha("ids").alias("ids_sha256"), _sha("text").alias("decoded_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = learn_profiles(training_rows(docs))
@@ -22,7 +58,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_secrets": op2_secrets,
     "op5_simhash": op5_simhash,
+    "op6_packing": op6_packing,
+    "op8_bpe": op8_bpe,
     "op10_language_id": op10_language_id,
 }
 
