@@ -12,6 +12,7 @@ from .langid import identify_languages, learn_profiles, training_rows
 from .packing import pack_documents
 from .secrets import count_kind, scan_documents, spans_string
 from .simhash import simhash_near_duplicates
+from .substrings import dedup_words
 
 
 def tokenizer() -> str:
@@ -70,6 +71,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", _sha("ids").alias("ids_sha256"), _sha("text").alias("decoded_sha256"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_words(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", _sha("kept_text").alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = learn_profiles(training_rows(docs))
@@ -82,6 +88,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op8_bpe": op8_bpe,
+    "op9_substrings": op9_substrings,
     "op10_language_id": op10_language_id,
 }
 
