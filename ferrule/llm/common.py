@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,3 +94,23 @@ def slices(batches: Iterable[pa.RecordBatch], most: int = 4_000_000, rows: int =
         step = max(1, min(rows, batch.num_rows * most // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield [c.to_pylist() for c in batch.slice(at, step).columns]
+
+
+def add_columns(df: DataFrame, inputs: list[str], fields: list[StructField], types: list[pa.DataType], work: Callable[..., list[list]]) -> DataFrame:
+    """``df`` with columns computed by ``work`` from the Python values of ``inputs``; fields of the same name are replaced.
+
+    ``work`` gets one list for each input and returns one list for each field.
+    """
+    names = [f.name for f in fields]
+    own = [f for f in df.schema.fields if f.name not in names]
+    out = StructType(own + fields)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                made = work(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in inputs))
+                kept = [part.column(part.schema.get_field_index(f.name)) for f in own]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, t) for v, t in zip(made, types, strict=True))], names=out.names)
+
+    return df.mapInArrow(run, out)

@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField
 
-from .common import arrow_rows, each, fold, id_and_text
+from .common import add_columns, arrow_rows, each, fold, id_and_text
 
 UNKNOWN = "und"
 #: Most languages whose cut-offs are broadcast; beyond it they are joined by shuffle.
@@ -130,6 +131,16 @@ def identify_languages(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
+def annotate_languages(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """All rows and columns of ``docs`` with lang_pred and score added (or replaced)."""
+
+    def work(texts):
+        found = [profiles.predict(t) for t in texts]
+        return [[x for x, _ in found], [y for _, y in found]]
+
+    return add_columns(docs, ["text"], [StructField("lang_pred", StringType()), StructField("score", DoubleType())], [pa.string(), pa.float64()], work)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """The rows the query may learn from."""
     return docs.where(fold("doc_id", 4) != 2)

@@ -18,13 +18,16 @@ longest symbols, so every window has a key: no repeat is missed.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField
 
-from .common import arrow_rows, cut, each, id_and_text
+from .common import add_columns, arrow_rows, cut, each, id_and_text
 from .repeats import Rolling, by_document, covered, mix, resolve, signed, sliding
 
 ROUNDS = 3
@@ -160,3 +163,29 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return id_and_text(docs).join(ranges, "doc_id", "left").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """All rows and columns of ``docs``, repeated words cut out of text and white space elsewhere as it was.
+
+    A document all of whose words go is left out; one that had no word stays.
+    """
+    ranges = by_document(repeated_ranges(docs, window), "repeated_ranges")
+    pieces = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+
+    def work(texts, found):
+        out = []
+        for text, own in zip(texts, found, strict=True):
+            if own:
+                body = text.encode("utf-8", "surrogatepass")
+                parts = pieces.findall(body)
+                gone = covered(len(parts), own, window)
+                lead = body[: len(body) - sum(map(len, parts))]
+                kept = b"".join(p for p, g in zip(parts, gone.tolist(), strict=True) if not g)
+                text = (lead + kept).decode("utf-8", "surrogatepass") if kept else None
+            out.append(text)
+        return [out]
+
+    marked = docs.drop("repeated_ranges").join(ranges, "doc_id", "left")
+    out = add_columns(marked, ["text", "repeated_ranges"], [StructField("text", StringType())], [pa.string()], work)
+    return out.where("text is not null or repeated_ranges is null").select(docs.columns)
