@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode_documents, encode_documents
 from .common import fold, table
+from .embeddings import embedding_near_duplicates
 from .fingerprints import canonical, digest, digest_classes, fingerprints, likeness, with_classes, with_next
 from .langid import identify_languages, learn_profiles, training_rows
 from .packing import pack_documents
@@ -38,6 +39,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     edited = with_next(docs).withColumn("n_chars", F.length("text").cast("bigint")).withColumn("edited", F.expr("concat(substr(text, 1, cast(n_chars - n_chars div 4 as int)), substr(next_text, 1, cast(n_chars div 4 as int)))"))
@@ -84,6 +89,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_secrets": op2_secrets,
+    "op3_embeddings": op3_embeddings,
     "op4_fingerprint": op4_fingerprint,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
