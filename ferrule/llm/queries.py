@@ -14,6 +14,7 @@ from .packing import pack_documents
 from .secrets import count_kind, scan_documents, spans_string
 from .simhash import simhash_near_duplicates
 from .substrings import dedup_words
+from .suffixes import dedup_bytes
 
 
 def tokenizer() -> str:
@@ -70,6 +71,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer(), end_id=2, with_ids=False)
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", _sha("kept").alias("kept_sha256"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer()
     out = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
@@ -93,6 +99,7 @@ QUERIES = {
     "op4_fingerprint": op4_fingerprint,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
+    "op7_suffixes": op7_suffixes,
     "op8_bpe": op8_bpe,
     "op9_substrings": op9_substrings,
     "op10_language_id": op10_language_id,
