@@ -11,6 +11,7 @@ from .embeddings import embedding_near_duplicates
 from .fingerprints import canonical, digest, digest_classes, fingerprints, likeness, with_classes, with_next
 from .langid import identify_languages, learn_profiles, training_rows
 from .packing import pack_documents
+from .quality import learn_quality, score_quality, training_labels
 from .secrets import count_kind, scan_documents, spans_string
 from .simhash import simhash_near_duplicates
 from .substrings import dedup_words
@@ -28,6 +29,13 @@ def _sha(column: str) -> Column:
     return F.sha2(F.col(column).cast("binary"), 256)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = learn_quality(docs, training_labels(table(spark, sf_dir, "labels")))
+    scored = score_quality(docs, field)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_documents(table(spark, sf_dir, "documents"))
     spans = F.col("secret_spans")
@@ -94,6 +102,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
     "op3_embeddings": op3_embeddings,
     "op4_fingerprint": op4_fingerprint,
