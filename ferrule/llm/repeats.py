@@ -9,6 +9,7 @@ rows stand for many windows, and only keys seen at several places matter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -68,19 +69,20 @@ class Resolved(NamedTuple):
     open: DataFrame
 
 
-def resolve(spans: DataFrame, place: Column, across: Column) -> Resolved:
+def resolve(spans: DataFrame, seen: DataFrame, place: Column, done: Callable[[], None] = lambda: None) -> Resolved:
     """Settle spans whose whole content occurs at an earlier place.
 
-    ``spans``: doc_id, key, digest, first, last. ``place`` orders occurrences (a
-    struct or the id). ``across`` is the aggregate that tells whether a key was
-    seen at more than one place. Counts are combined before every shuffle, so a
-    passage that a third of all documents share costs one row a task; the join
-    back to the spans is plain, so that adaptive execution can split its hot keys.
+    ``spans``: doc_id, key, digest, first, last. ``seen`` (key) are the keys that
+    occur at several places. ``place`` orders occurrences (a struct or the id).
+    ``done`` is called when spans are read no more. Counts are combined before
+    every shuffle, so a passage that a third of all documents share costs one row
+    a task. What rows are joined with is written first: then both sides of a join
+    are dealt for the join alone, and adaptive execution can split a hot key.
     """
-    seen = spans.groupBy("key").agg(across.alias("several")).where("several").select("key")
-    shared = cut(spans.join(seen, "key"))
+    shared = cut(spans.join(cut(seen), "key"))
+    done()
     first = cut(shared.groupBy("key", "digest").agg(F.min(place).alias("origin")))
-    several = first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    several = cut(first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     placed = shared.join(first, ["key", "digest"])
     settled = placed.where(place > F.col("origin")).select("doc_id", "first", "last")
     left = placed.where(place == F.col("origin")).select("doc_id", "key", "first", "last").join(several, "key")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField
 
-from .common import add_columns, arrow_rows, cut, each, id_and_text
+from .common import add_columns, arrow_rows, cut, discard, each, id_and_text
 from .repeats import Rolling, by_document, covered, mix, resolve, signed, sliding
 
 ROUNDS = 3
@@ -129,9 +129,10 @@ def _open_windows(docs: DataFrame, ranges: DataFrame, window: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, first, last): starts of windows whose words also start in a document with a smaller id."""
     spans = cut(window_spans(docs, window))
-    found = resolve(spans, F.col("doc_id"), F.min("doc_id") < F.max("doc_id"))
+    seen = spans.groupBy("key").agg((F.min("doc_id") < F.max("doc_id")).alias("several")).where("several").select("key")
+    found = resolve(spans, seen, F.col("doc_id"), lambda: discard(spans))
     windows = cut(_open_windows(docs, found.open, window))
-    origin = windows.groupBy("a", "b").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("most")).where("origin < most").drop("most")
+    origin = cut(windows.groupBy("a", "b").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("most")).where("origin < most").drop("most"))
     late = windows.join(origin, ["a", "b"]).where("doc_id > origin").select("doc_id", F.col("at").alias("first"), F.col("at").alias("last"))
     return found.settled.unionByName(late)
 

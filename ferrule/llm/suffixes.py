@@ -36,9 +36,8 @@ def text_bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def owned_spans(data: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Key, digest, first and last window of every span of one document."""
-    found = []
+def owners(data: np.ndarray, window: int = WINDOW, gram: int = GRAM):
+    """Of one document, chunk by chunk: its place, rolling digests, n-gram digests, first and last windows and owners of its spans."""
     for at in range(0, len(data) - window + 1, CHUNK):
         part = data[at : at + CHUNK + window - 1]
         rolling = Rolling(_BYTE_VALUES[part])
@@ -47,38 +46,45 @@ def owned_spans(data: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tup
         packed = (grams & np.uint64(0xFFFFFFFFFF000000)) | start.astype(np.uint64)
         owner = (sliding(packed, window - gram + 1, np.minimum) & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
-        last = np.concatenate([first[1:] - 1, [len(owner) - 1]])
-        found.append((grams[owner[first]], rolling.slices(first, last + window), first + at, last + at))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        yield at, rolling, grams[owner[first]], first, np.concatenate([first[1:] - 1, [len(owner) - 1]])
 
 
-def document_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, key, digest, first, last) of all documents. No shuffle."""
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "key", "digest")] + [("first", pa.int32()), ("last", pa.int32())])
+def _batches(docs: DataFrame, schema: pa.Schema, window: int, columns) -> DataFrame:
+    """Columns of every chunk's spans, in few large batches."""
 
     def run(batches):
+        held, rows = [], 0
         for doc_id, text in each(batches, 64):
             data = text_bytes(text)
-            if doc_id is not None and len(data) >= window:
-                key, digest, first, last = owned_spans(data, window)
-                for at in range(0, len(key), 100_000):
-                    to = at + 100_000
-                    columns = [np.full(len(key[at:to]), doc_id, np.int64), key[at:to].view(np.int64), digest[at:to].view(np.int64), first[at:to].astype(np.int32), last[at:to].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
-
-    def merged(batches):
-        """Few large batches out of one small batch a document."""
-        held, rows = [], 0
-        for batch in run(batches):
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 50_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, rows = [], 0
+            if doc_id is None or len(data) < window:
+                continue
+            for chunk in owners(data, window):
+                made = columns(doc_id, *chunk)
+                held.append(made)
+                rows += len(made[0])
+                if rows >= 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=schema)
+                    held, rows = [], 0
         if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=schema)
+
+    return id_and_text(docs).mapInArrow(run, ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'bigint'}" for f in schema))
+
+
+def document_keys(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(key) of every span of all documents. No shuffle."""
+    return _batches(docs, pa.schema([("key", pa.int64())]), window, lambda doc_id, at, rolling, key, first, last: (key.view(np.int64),))
+
+
+def document_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, key, digest, first, last) of every span of all documents. No shuffle."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "key", "digest")] + [("first", pa.int32()), ("last", pa.int32())])
+
+    def columns(doc_id, at, rolling, key, first, last):
+        digest = rolling.slices(first, last + window)
+        return np.full(len(key), doc_id, np.int64), key.view(np.int64), digest.view(np.int64), (first + at).astype(np.int32), (last + at).astype(np.int32)
 
-    return id_and_text(docs).mapInArrow(merged, "doc_id bigint, key bigint, digest bigint, first int, last int")
+    return _batches(docs, schema, window, columns)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -88,7 +94,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
     group = np.maximum.accumulate(np.where(head, np.arange(n), 0))  # a group is named by its first place
@@ -102,7 +108,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
             break
         suffix, own = order[tied], group[tied]
         further = rank[np.minimum(suffix + h, n)]
-        again = np.lexsort((further, own))
+        again = np.argsort(own * (n + 1) + further)  # groups stay in place, their members are sorted by the rank further on
         suffix, further = suffix[again], further[again]
         order[tied] = suffix
         split = np.concatenate([[True], (own[1:] != own[:-1]) | (further[1:] != further[:-1])])
@@ -256,7 +262,8 @@ def shard_repeats(bodies: DataFrame, window: int = WINDOW, shard_bytes: int = SH
 
 def repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, first, last): starts of windows whose bytes also start at an earlier place."""
-    found = resolve(document_spans(docs, window), F.struct("doc_id", "first"), F.count("*") > 1)
+    seen = document_keys(docs, window).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    found = resolve(document_spans(docs, window), seen, F.struct("doc_id", "first"))
     bodies = cut(_bodies(docs, found.open, window))
     return found.settled.unionByName(shard_repeats(bodies, window))
 
