@@ -87,14 +87,13 @@ class Profiles:
 def learn_profiles(docs: DataFrame, size: int = 300, per_language: int = 4000) -> Profiles:
     """Profiles from rows with text and lang.
 
-    The fit reads at most ``per_language`` documents of each language, those
-    with the smallest xxhash64 of their id: first only ids and languages are
-    ranked, giving one cut-off a language, so texts are never shuffled. n-gram
-    counts are summed on the executors; the driver gets ``size`` rows a language.
+    The fit reads about ``per_language`` documents of each language: those whose
+    hashed id is below a bound that follows from the language's count, so a
+    language costs one row a task and texts are never shuffled. n-gram counts are
+    summed on the executors; the driver gets ``size`` rows a language.
     """
-    labelled = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"))
-    order = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    cuts = labelled.select("lang", "h").withColumn("n", order).where(F.col("n") <= per_language).groupBy("lang").agg(F.max("h").alias("cut"))
+    labelled = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h"))
+    cuts = labelled.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("share")).select("lang", (F.col("share") * float(1 << 63)).alias("cut"))
     small = cuts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     chosen = labelled.join(F.broadcast(cuts) if small else cuts, "lang").where("h <= cut").select("lang", "text")
 
