@@ -22,7 +22,6 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -46,17 +45,18 @@ def collapse_copies(valid: DataFrame) -> DataFrame:
 def choose_pivots(reps: DataFrame, least: int = LEAST_PIVOTS, most: int = MOST_PIVOTS, apart: float = 0.7) -> dict[int, np.ndarray]:
     """Unit pivots of each dimension, no two of them with a cosine above ``apart``.
 
-    Candidates are the vectors with the smallest hashed ids, at most ``most`` a
-    dimension (all the driver ever gets), taken in turn if they are far from
-    those taken before: near copies as pivots would shuffle each other's ranks.
+    Candidates are the vectors whose hashed ids are below a bound that lets
+    about ``most`` of each dimension through at most (all the driver ever gets),
+    taken in turn if they are far from those taken before: near copies as pivots would shuffle each other's ranks.
     Seeded random directions fill up to twice the square root of the number of
     distinct vectors, within ``least`` and ``most``.
     """
     n = reps.count()
     size = max(least, min(most, int(2 * n**0.5)))
-    order = W.partitionBy("dim").orderBy(F.xxhash64("rep"))
-    keys = reps.select("rep", F.size("embedding").alias("dim")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= min(most, 2 * size))
-    rows = reps.join(F.broadcast(keys.select("rep")), "rep").select("rep", "embedding").collect()
+    sizes = reps.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
+    bound = sizes.select("dim", (F.least(F.lit(1.0), min(most, 2 * size) / F.col("n")) * float(1 << 63)).alias("bound")).orderBy(F.desc("n"), "dim").limit(most)
+    near = reps.withColumn("dim", F.size("embedding")).join(F.broadcast(bound), "dim").where(F.shiftrightunsigned(F.xxhash64("rep"), 1) <= F.col("bound"))
+    rows = near.select("rep", "embedding").collect()
     by_dim: dict[int, list] = {}
     for row in sorted(rows, key=lambda r: r["rep"]):
         by_dim.setdefault(len(row["embedding"]), []).append(row["embedding"])
@@ -92,7 +92,8 @@ def index_rows(reps: DataFrame, pivots: dict[int, np.ndarray], nearest: int = 8,
             for d in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == d)
                 x = _unit(np.array([vectors[i] for i in at]))
-                near = np.argsort(-(x @ pivots[d].T), axis=1, kind="stable")[:, :nearest]
+                own = pivots[d] if d in pivots else _apart(np.empty((0, d)), LEAST_PIVOTS, 1.0)  # a rare dimension: seeded directions
+                near = np.argsort(-(x @ own.T), axis=1, kind="stable")[:, :nearest]
                 near = np.sort(near, axis=1)
                 k = near.shape[1]
                 combos = list(combinations(range(k), min(shared, k)))
