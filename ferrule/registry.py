@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from .queries import dense, evaluation, fusion, lexical
+
+MODULES = (lexical, dense, fusion, evaluation)
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for _module in MODULES:
+    QUERIES.update(_module.book.queries)
+    ORACLE_SQL.update(_module.book.sql)
