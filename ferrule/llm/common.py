@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -57,8 +58,21 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Most bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of bytes an Arrow batch holds to BATCH_BYTES, so long texts don't fill a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]?)b?", spark.conf.get(key).lower()).groups()
+    if int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit] > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only the columns the operators need, so other columns can't clash."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -101,6 +115,7 @@ def add_columns(df: DataFrame, inputs: list[str], fields: list[StructField], typ
 
     ``work`` gets one list for each input and returns one list for each field.
     """
+    bounded_batches(df.sparkSession)
     names = [f.name for f in fields]
     own = [f for f in df.schema.fields if f.name not in names]
     out = StructType(own + fields)
