@@ -28,7 +28,7 @@ SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 #: Characters whose lower case may be newer than Python's table.
 UNSURE_CASE = re.compile("[ᲉꟋ-Ƛ\U00010d40-\U00010d85\U00016ea0-\U00016eff]")
 #: Most words remembered by a worker.
-WORD_CACHE = 500_000
+WORD_CACHE = 300_000
 NO_MERGE, NOTHING, WIDTHS = 1 << 30, 1 << 29, (0, 4, 8, 12, 16, 24, 40)
 
 
