@@ -27,8 +27,10 @@ from .common import arrow_rows, cut, each, id_and_text
 from .repeats import Rolling, by_document, covered, mix, resolve, runs, sliding
 
 WINDOW, GRAM = 100, 24
-#: Windows that are looked at together in a very long document, and bytes a shard holds.
-CHUNK, SHARD_BYTES = 1 << 20, 4 << 20
+#: Windows that are looked at together in a very long document.
+CHUNK = 1 << 20
+#: Bytes a shard holds on average, and bytes of one key from which it is dealt to several shards.
+SPREAD_BYTES, SHARD_BYTES = 1 << 20, 4 << 20
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -233,7 +235,7 @@ def shard_repeats(bodies: DataFrame, window: int = WINDOW, shard_bytes: int = SH
     sizes = bodies.groupBy("key").agg(F.sum(F.length("body")).alias("bytes"))
     large = sizes.where(F.col("bytes") > shard_bytes).select("key", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("parts"))
     total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
-    shards = max(1, -(-int(total) // shard_bytes))
+    shards = max(1, -(-int(total) // min(SPREAD_BYTES, shard_bytes)))
     dealt = bodies.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(doc_id, first), parts) as int)")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     dealt = dealt.select("doc_id", "first", "body", "own", F.when(F.col("parts") > 1, F.col("key")).alias("alone"), F.when(F.col("parts") > 1, 0).otherwise(F.expr(f"pmod(xxhash64(key), {shards})")).alias("shard"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
