@@ -18,6 +18,27 @@ from ..plans.ranking import top_k
 from .dense import _matrix, _table
 
 
+#: Most queries whose vectors or tables are sent to every task at once.
+MOST_QUERIES = 4096
+
+
+def in_blocks(queries: DataFrame, search) -> DataFrame:
+    """``search`` over blocks of at most about MOST_QUERIES collected queries [(qid, vec)], united.
+
+    What a task is sent is bounded however many queries there are; the corpus is
+    scanned once a block.
+    """
+    n = queries.count()
+    blocks = max(1, -(-n // MOST_QUERIES))
+    out = None
+    for b in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        rows = [(x[0], np.array(x[1])) for x in own.select("qid", F.col("vec").cast("array<double>")).collect()]
+        part = search(rows)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # Vector quantisation.
 def _literal(x) -> Column:
     return F.array(*[F.lit(float(v)) for v in x])
@@ -130,13 +151,15 @@ def distance_table(q: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
 
 
 def code_search(queries: DataFrame, encoded: DataFrame, books: list[np.ndarray], k: int = 10, symmetric: bool = False, skip_self: bool = True) -> DataFrame:
-    """Nearest codes by table look-ups; with ``symmetric`` the query is quantised too. Queries (qid, vec) are sent to every task, so they must be few."""
-    rows = queries.select("qid", F.col("vec").cast("array<double>")).collect()
+    """Nearest codes by table look-ups; with ``symmetric`` the query is quantised too. Queries are (qid, vec)."""
+    return top_k(in_blocks(queries, lambda rows: _code_search(rows, encoded, books, k, symmetric, skip_self)), k)
+
+
+def _code_search(rows, encoded, books, k, symmetric, skip_self) -> DataFrame:
     tables = []
-    for row in rows:
-        q = np.array(row[1])
+    for qid, q in rows:
         q = product_decode(product_codes(q[None, :], books), books)[0] if symmetric else q
-        tables.append((row[0], distance_table(q, books)))
+        tables.append((qid, distance_table(q, books)))
 
     def run(batches):
         for batch in batches:
@@ -152,7 +175,7 @@ def code_search(queries: DataFrame, encoded: DataFrame, books: list[np.ndarray],
                 out += [(qid, int(ids[i]), -float(d[i])) for i in near if np.isfinite(d[i])]
             yield from _table(out).to_batches()
 
-    return top_k(encoded.select("doc_id", "codes").mapInArrow(run, "qid bigint, doc_id bigint, score double"), k)
+    return encoded.select("doc_id", "codes").mapInArrow(run, "qid bigint, doc_id bigint, score double")
 
 
 def parametric_rotation(values: np.ndarray, axes: np.ndarray, m: int) -> np.ndarray:
@@ -318,13 +341,14 @@ class ProximityGraph:
 def graph_search(queries: DataFrame, corpus: DataFrame, k: int = 10, width: int = 64, m: int = 8, layered: bool = True, shard_rows: int = 20_000, live: str | None = None) -> DataFrame:
     """Graph search in shards: each shard builds its graph and answers every query; the best of all shards stay.
 
-    Queries (qid, vec) are sent to every shard's task, so they must be few.
     ``live`` names a boolean column of the corpus: rows where it is false are
     walked through but never returned. Returns the ranking with ``work``, the
     distances computed for the query.
     """
-    rows = queries.select("qid", F.col("vec").cast("array<double>")).collect()
-    qids, q = [r[0] for r in rows], np.array([r[1] for r in rows])
+    return top_k(in_blocks(queries, lambda rows: _graph_search(rows, corpus, k, width, m, layered, shard_rows, live)), k)
+
+
+def _graph_search(rows, corpus, k, width, m, layered, shard_rows, live) -> DataFrame:
     shards = max(1, -(-corpus.count() // shard_rows))
     flag = F.col(live) if live else F.lit(True)
 
@@ -334,15 +358,14 @@ def graph_search(queries: DataFrame, corpus: DataFrame, k: int = 10, width: int
         ids, x = ids[order], x[order]
         passing = group.column("live").to_numpy(zero_copy_only=False)[order]
         graph, out = ProximityGraph(x, m, layered=layered), []
-        for qid, v in zip(qids, q, strict=True):
+        for qid, v in rows:
             graph.work = 0
             found = [(d, int(ids[i])) for d, i in graph.search(v, k + 1, width, passing) if ids[i] != qid][:k]
             out += [(qid, i, -d, graph.work) for d, i in found]
         return pa.table({n: pa.array([o[i] for o in out], t) for i, (n, t) in enumerate((("qid", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64()), ("work", pa.int64())))})
 
     sharded = corpus.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", F.col("vec").cast("array<double>").alias("vec"), flag.alias("live"))
-    found = sharded.groupBy("shard").applyInArrow(run, "qid bigint, doc_id bigint, score double, work bigint")
-    return top_k(found, k)
+    return sharded.groupBy("shard").applyInArrow(run, "qid bigint, doc_id bigint, score double, work bigint")
 
 
 # Filters.

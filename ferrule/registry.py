@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import dense, evaluation, fusion, lexical
+from .queries import agreement, ann, dense, evaluation, fusion, generation, graphs, information, learning, lexical, relational
 
-MODULES = (lexical, dense, fusion, evaluation)
+MODULES = (lexical, dense, fusion, evaluation, agreement, generation, information, learning, ann, graphs, relational)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:
