@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows, each, id_and_text, slices
+from .common import CACHES, arrow_rows, id_and_text, slices
 
 # Letters and numbers that are newer than Python's own table.
 NEW_LETTERS = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)]
@@ -240,8 +240,10 @@ class WordBpe:
 
 @cache
 def load(path: str) -> WordBpe:
-    """One encoder a worker process and file."""
-    return WordBpe(path)
+    """One encoder a worker process and file; other operators' tasks empty its words."""
+    bpe = WordBpe(path)
+    CACHES.append(lambda: setattr(bpe, "words", {}))
+    return bpe
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -269,6 +271,11 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches):
         bpe = load(tokenizer_path)
-        return arrow_rows(schema, ((d, x, n, bpe.decode(np.frombuffer(x or b"", "<u4"))) for d, x, n in each(batches)), 500)
+
+        def rows():
+            for columns in slices(batches):
+                yield from ((d, x, n, bpe.decode(np.frombuffer(x or b"", "<u4"))) for d, x, n in zip(*columns, strict=True))
+
+        return arrow_rows(schema, rows(), 500)
 
     return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(run, "doc_id bigint, ids binary, n_tokens bigint, text string")

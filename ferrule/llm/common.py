@@ -92,8 +92,17 @@ def _batch(schema: pa.Schema, held: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
+#: What empties a worker's caches; workers are used again by other operators' tasks.
+CACHES: list[Callable[[], None]] = []
+
+
 def each(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
-    """Row tuples of Arrow batches, turned into Python values a slice at a time."""
+    """Row tuples of Arrow batches, turned into Python values a slice at a time.
+
+    Empties the caches that tasks of caching operators (which use slices()) left in this worker.
+    """
+    for empty in CACHES:
+        empty()
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
