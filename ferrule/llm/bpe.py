@@ -27,6 +27,8 @@ NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Characters whose lower case may be newer than Python's table.
 UNSURE_CASE = re.compile("[ᲉꟋ-Ƛ\U00010d40-\U00010d85\U00016ea0-\U00016eff]")
+#: Characters that may need more than lower case, and those beyond the basic plane.
+UNUSUAL, ASTRAL = re.compile("[^\x00-\u012f\u0131-\u017f]"), re.compile("[\U00010000-\U0010ffff]")
 #: Most words remembered by a worker.
 WORD_CACHE = 300_000
 NO_MERGE, NOTHING, WIDTHS = 1 << 30, 1 << 29, (0, 4, 8, 12, 16, 24, 40)
@@ -192,22 +194,20 @@ class WordBpe:
                 heapq.heappush(heap, (r, prev[i], s[prev[i]], s[i]))
         return [x for x, on in zip(s, live, strict=True) if on]
 
-    def _plain(self, text: str) -> bytes:
+    def _plain(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special tokens."""
         if text.isascii():
-            top = 127
-        else:
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            if UNSURE_CASE.search(text):
-                from tokenizers.normalizers import Lowercase
-
-                text = Lowercase().normalize_str(text)
-            text = text.replace("Σ", "σ")  # the tokenizer has no final sigma
-            top = 0x24F if max(text) <= "ɏ" else 0xFFFF if max(text) <= "￿" else sys.maxunicode
-        text = text.lower()
-        if top == 0x24F and max(text, default="") > "ɏ":
-            top = 0xFFFF
-        return _pattern(top).findall(text)
+            return _pattern(127).findall(text.lower())
+        if not UNUSUAL.search(text):  # composed already, and lower case stays below U+0180
+            return _pattern(0x17F).findall(text.lower())
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        if UNSURE_CASE.search(text):
+            from tokenizers.normalizers import Lowercase
+
+            text = Lowercase().normalize_str(text)
+        text = text.replace("Σ", "σ").lower()  # the tokenizer has no final sigma
+        return _pattern(sys.maxunicode if ASTRAL.search(text) else 0xFFFF).findall(text)
 
     def _pieces(self, text: str) -> list:
         """Words of a text, and ids of the special tokens spelt out in it."""
@@ -219,7 +219,12 @@ class WordBpe:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
         pieces = [self._pieces(t or "") for t in texts]
         known = self.words
-        new = list({w for ps in pieces for p in ps if not isinstance(p, int) for w in p if w not in known})
+        unknown: set[str] = set()
+        for ps in pieces:
+            for p in ps:
+                if not isinstance(p, int):
+                    unknown |= set(p).difference(known)
+        new = list(unknown)
         if len(known) + len(new) > WORD_CACHE:
             known = {w: known[w] for ps in pieces for p in ps if not isinstance(p, int) for w in p if w in known}
             self.words = dict(known) if len(known) + len(new) <= WORD_CACHE else {}
