@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .bpe import decode_documents, encode_documents
 from .common import fold, table
 from .embeddings import embedding_near_duplicates
@@ -114,4 +115,5 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others hash with XXH64, tokenize or learn, which SQL can't say.
+ORACLE_SQL: dict[str, str] = {"op2_secrets": oracle.OP2, "op3_embeddings": oracle.OP3, "op7_suffixes": oracle.OP7, "op9_substrings": oracle.OP9}
