@@ -24,6 +24,8 @@ from .common import cut, id_and_text
 
 #: Hangul syllables are arithmetic, so they are in no table.
 _L, _V, _T, _S = 0x1100, 0x1161, 0x11A7, 0xAC00
+#: Most shared digests that are sent to every task (32 characters each).
+MOST_BROADCAST = 200_000
 #: White space of any script that is folded.
 SPACE = "[\\t-\\r\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
 
@@ -120,14 +122,17 @@ def digest_classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes of equal canonical bytes among rows (doc_id, canonical, fingerprint).
 
     Digests alone are shuffled first. Only rows whose digest occurs more than
-    once bring their texts, and these are grouped by digest and bytes, combined
-    before the shuffle, so a group of copies costs one row a task however large
-    it is. Returns (fingerprint, class_id, copies) of the digests shared by
-    equal texts, and (fingerprint, canonical, class_id, copies) of the digests on
+    once bring their texts (such digests go to every task if they are few, else
+    they are joined by shuffle), and these are grouped by digest and bytes,
+    combined before the shuffle, so a group of copies costs one row a task
+    however large it is. Returns (fingerprint, class_id, copies) of the digests shared by
+    equal texts, and (fingerprint, proof, class_id, copies) of the digests on
     which different texts collide (as good as always empty).
     """
     counts = prints.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    shared = counts.where("n > 1").select("fingerprint")
+    shared = cut(counts.where("n > 1").select("fingerprint"))
+    if shared.count() <= MOST_BROADCAST:
+        shared = F.broadcast(shared)
     classes = prints.join(shared, "fingerprint").groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     compared = cut(classes.select("fingerprint", F.sha2(F.col("canonical").cast("binary"), 512).alias("proof"), "class_id", "copies"))
     clash = compared.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")

@@ -201,7 +201,9 @@ def test_next_documents_and_classes(spark, rows):
     assert {(r["doc_id"], r["next_text"]) for r in with_null} == {(None, "a"), (5, "b"), (9, "n")}
 
 
-def test_colliding_digests_are_told_apart(spark):
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_colliding_digests_are_told_apart(spark, most, monkeypatch):
+    monkeypatch.setattr(fingerprints, "MOST_BROADCAST", most)
     prints = spark.createDataFrame([(1, "a", "same"), (2, "b", "same"), (3, "a", "same"), (4, "c", "own")], "doc_id long, canonical string, fingerprint string")
     got = fingerprints.with_classes(prints, *fingerprints.digest_classes(prints)).collect()
     assert {(r["doc_id"], r["class_id"], r["copies"]) for r in got} == {(1, 1, 2), (2, 2, 1), (3, 1, 2), (4, 4, 1)}
