@@ -1,0 +1 @@
+"""Incremental forms of batch operators over unbounded inputs."""
