@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.special import kolmogorov_p, student_t_quantile, student_t_sf
+from ..plans.ranking import running_sums
 
 ELEVEN = [i / 10 for i in range(11)]
 
@@ -203,12 +204,10 @@ def brier_parts(bins: DataFrame) -> DataFrame:
 def auc(scored: DataFrame, score: str = "p") -> DataFrame:
     """Area under the ROC curve with tie-averaged ranks, from counts a distinct score; 0.5 with one label only.
 
-    Ranks come from running counts over the distinct scores in blocks, so the
-    rows themselves are never sorted in one task.
+    Ranks come from running counts over the distinct scores, summed in ranges.
     """
     by = scored.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col("y").cast("bigint")).alias("pos"))
-    below = F.sum("n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1))
-    s = by.select("n", "pos", (F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2.0).alias("rank"))
+    s = running_sums(by, score, {"up": "n"}).select("n", "pos", (F.col("up") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"))
     t = s.agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return t.select(F.when((F.col("p") == 0) | (F.col("q") == 0), 0.5).otherwise((F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * F.col("q"))).alias("auc"))
 
@@ -255,9 +254,10 @@ def apply_isotonic(score: Column, thresholds: list[float], values: list[float])
 def ks_gap(samples: DataFrame) -> DataFrame:
     """(gap, at): largest distance of the two empirical distribution functions and the smallest x where it is."""
     by = samples.groupBy("x").agg(F.count_if(F.col("g") == "ref").alias("a"), F.count_if(F.col("g") == "cur").alias("b"))
-    w, whole = W.orderBy("x"), W.partitionBy()
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(whole) - F.sum("b").over(w) / F.sum("b").over(whole))
-    return by.withColumn("gap", gap).agg(F.max("gap").alias("gap"), F.min_by("x", F.struct(-F.round("gap", 12), F.col("x"))).alias("at"))
+    sizes = by.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    up = running_sums(by, "x", {"ua": "a", "ub": "b"}).crossJoin(F.broadcast(sizes))
+    gap = F.abs(F.col("ua") / F.col("na") - F.col("ub") / F.col("nb"))
+    return up.withColumn("gap", gap).agg(F.max("gap").alias("gap"), F.min_by("x", F.struct(-F.round("gap", 12), F.col("x"))).alias("at"))
 
 
 def ks_test(samples: DataFrame) -> dict[str, float]:

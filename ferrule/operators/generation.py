@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from ..plans.ranking import running_sums
 
 
 def claim_support(claims: DataFrame, facts: DataFrame, least: float = 0.78) -> DataFrame:
@@ -28,7 +28,7 @@ def answer_scores(support: DataFrame, facts: DataFrame) -> DataFrame:
 def conformal_quantile(scores: DataFrame, alpha: float, score: str = "s") -> float:
     """The ceil((1 - alpha)(n + 1))-th smallest score; infinity beyond n.
 
-    Only the order statistic is taken: an exact percentile of the sorted counts.
+    Only the order statistic is taken, from running counts of the distinct scores.
     """
     import math
 
@@ -36,7 +36,7 @@ def conformal_quantile(scores: DataFrame, alpha: float, score: str = "s") -> flo
     k = math.ceil((1 - alpha) * (n + 1))
     if k > n or n == 0:
         return math.inf
-    counts = scores.groupBy(score).agg(F.count("*").alias("c")).withColumn("up", F.sum("c").over(W.orderBy(score)))
+    counts = running_sums(scores.groupBy(score).agg(F.count("*").alias("c")), score, {"up": "c"})
     return counts.where(F.col("up") >= k).agg(F.min(score)).first()[0]
 
 
@@ -45,7 +45,7 @@ def weighted_conformal_quantile(scores: DataFrame, alpha: float, test_weight: fl
     import math
 
     total = scores.agg(F.coalesce(F.sum(weight), F.lit(0.0))).first()[0] + test_weight
-    run = scores.groupBy(score).agg(F.sum(weight).alias("w_")).withColumn("up", F.sum("w_").over(W.orderBy(score)))
+    run = running_sums(scores.groupBy(score).agg(F.sum(weight).alias("mass")), score, {"up": "mass"})
     found = run.where(F.col("up") >= (1 - alpha) * total - 1e-12).agg(F.min(score)).first()[0]
     return math.inf if found is None else found
 
@@ -82,21 +82,19 @@ def answers(claims: DataFrame, how: str = "mean", floor: float = 0.5) -> DataFra
     return claims.groupBy("qid").agg(agg.alias("score"), (F.avg(F.col("y").cast("double")) >= floor).cast("int").alias("correct"))
 
 
-def risk_coverage(scored: DataFrame, by: Column | None = None) -> DataFrame:
-    """(i, coverage, risk) when answers are given from the most confident on."""
-    order = W.orderBy(by if by is not None else F.desc(F.round("score", 9)), "qid")
-    n = F.count("*").over(W.partitionBy())
-    i = F.row_number().over(order)
-    wrong = F.sum(1 - F.col("correct")).over(order.rowsBetween(W.unboundedPreceding, 0))
-    return scored.select(i.alias("i"), (i / n).alias("coverage"), (wrong / i).alias("risk"))
+def risk_coverage(scored: DataFrame) -> DataFrame:
+    """(i, coverage, risk, before) when answers are given from the most confident on; before is the risk one answer earlier (0 at first)."""
+    rows = scored.select("qid", (-F.round("score", 9)).alias("doubt"), F.lit(1).alias("one"), (1 - F.col("correct")).alias("wrong"))
+    n = rows.agg(F.count("*").alias("n"))
+    up = running_sums(rows, "doubt", {"i": "one", "bad": "wrong"}, ["qid"]).crossJoin(F.broadcast(n))
+    before = F.when(F.col("i") > 1, (F.col("bad") - F.col("wrong")) / (F.col("i") - 1)).otherwise(0.0)
+    return up.select("i", (F.col("i") / F.col("n")).alias("coverage"), (F.col("bad") / F.col("i")).alias("risk"), before.alias("before"))
 
 
 def area_under_risk(curve: DataFrame) -> DataFrame:
-    """Trapezoids from (0, 0)."""
-    w = W.orderBy("i")
-    dx = F.col("coverage") - F.coalesce(F.lag("coverage").over(w), F.lit(0.0))
-    mean = (F.col("risk") + F.coalesce(F.lag("risk").over(w), F.lit(0.0))) / 2
-    return curve.select((dx * mean).alias("a")).agg(F.sum("a").alias("area"))
+    """Trapezoids from (0, 0); coverage rises by the same step at every answer."""
+    step = F.col("coverage") / F.col("i")
+    return curve.agg(F.sum(step * (F.col("risk") + F.col("before")) / 2).alias("area"))
 
 
 def expected_costs(scored: DataFrame, thresholds: list[float], c_err: float, c_abs: float) -> DataFrame:

@@ -38,3 +38,25 @@ def salted_sum(df: DataFrame, by: list[str], value: str, salts: int = 16) -> Dat
     """Sum in two steps, for groups so large that one task's share of a key would be too much."""
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)))
     return salted.groupBy(*by, "_salt").agg(F.sum(value).alias(value)).groupBy(*by).agg(F.sum(value).alias(value))
+
+
+def running_sums(df: DataFrame, order: str, values: dict[str, str], ties: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """df with running sums {new column: summed column} in ascending ``order`` (then ``ties``), without one task for all rows.
+
+    Rows are dealt to ranges of ``order`` at approximate quantiles; sums run
+    inside a range, and each range adds the total of those before it, of which
+    there are at most ``buckets``. Rows of equal order share a range, so a value
+    that most rows have still makes a large range: aggregate equal values first.
+    """
+    bounds = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    inner = sorted(set(bounds))
+    at = F.lit(0) if not inner else F.size(F.filter(F.array(*[F.lit(b) for b in inner]), lambda b: b <= F.col(order)))
+    placed = df.withColumn("_range", at)
+    totals = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in values.items()])
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select("_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in values])
+    inside = W.partitionBy("_range").orderBy(order, *(ties or [])).rowsBetween(W.unboundedPreceding, 0)
+    summed = placed.join(F.broadcast(starts), "_range")
+    for n, c in values.items():
+        summed = summed.withColumn(n, F.sum(c).over(inside) + F.col(f"_{n}"))
+    return summed.drop("_range", *[f"_{n}" for n in values])

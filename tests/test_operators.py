@@ -277,6 +277,18 @@ def test_plans(spark):
     assert math.isclose(lse, 1000 + math.log(2))
 
 
+def test_running_sums(spark):
+    rng = np.random.default_rng(7)
+    x, v = rng.integers(0, 40, 500), rng.integers(0, 9, 500)
+    df = spark.createDataFrame([(i, float(a), int(b)) for i, (a, b) in enumerate(zip(x, v, strict=True))], "id long, x double, v long").repartition(3)
+    for buckets in (1, 7, 64):
+        got = {r["id"]: (r["up"], r["i"]) for r in ranking.running_sums(df.withColumn("one", F.lit(1)), "x", {"up": "v", "i": "one"}, ["id"], buckets).collect()}
+        order = np.lexsort((np.arange(500), x))
+        sums = np.cumsum(v[order])
+        assert got == {int(i): (int(sums[k]), k + 1) for k, i in enumerate(order)}
+    assert ranking.running_sums(df.where("false"), "x", {"up": "v"}).count() == 0
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.md").write_text("---\ntitle: x\n---\nbody\n")
     (tmp_path / "b.md").write_text("no header")
