@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,6 +41,17 @@ def build_index(docs: DataFrame, text: str = "text", tokenizer=tokens) -> Lexica
     return LexicalIndex(postings, lengths, terms, stats)
 
 
+def save_index(index: LexicalIndex, folder: str) -> None:
+    """Write an index once, postings ranged and sorted by term: a term's postings lie in few row groups, whose statistics let scans skip the rest."""
+    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/postings")
+    for name in ("docs", "terms", "stats"):
+        getattr(index, name).write.parquet(f"{folder}/{name}")
+
+
+def load_index(spark: SparkSession, folder: str) -> LexicalIndex:
+    return LexicalIndex(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "docs", "terms", "stats")))
+
+
 def query_terms(queries: DataFrame, text: str = "text", tokenizer=tokens) -> DataFrame:
     """(qid, term, qtf) of queries (qid, text)."""
     return queries.select("qid", F.explode(tokenizer(text)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))

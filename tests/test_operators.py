@@ -312,3 +312,13 @@ def test_lexical_edges(spark):
         assert lexical.ql_scores(index, ask, method, param).count() == 2
     with pytest.raises(ValueError):
         lexical.ql_scores(index, ask, "other", 0.0)
+
+
+def test_saved_index_ranks_alike(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"alpha {'beta ' * (i % 4)} gamma{i % 3}") for i in range(30)], "doc_id long, text string")
+    index = lexical.build_index(docs)
+    lexical.save_index(index, str(tmp_path / "index"))
+    again = lexical.load_index(spark, str(tmp_path / "index"))
+    ask = lexical.query_terms(spark.createDataFrame([(1, "beta gamma1"), (2, "gamma2")], "qid long, text string"))
+    rows = [sorted((r["qid"], r["doc_id"], round(r["score"], 9)) for r in lexical.bm25_rank(i, ask, 30).collect()) for i in (index, again)]
+    assert rows[0] == rows[1] and len(rows[0]) > 20
