@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.common import cut, table
 from ferrule.llm.langid import UNKNOWN, annotate_languages, learn_profiles, training_rows
+from ferrule.llm.minhash import shingle_near_duplicates
 from ferrule.llm.packing import pack_documents
 from ferrule.llm.queries import tokenizer
 from ferrule.llm.secrets import redact, scan_secrets
-from ferrule.llm.simhash import simhash_near_duplicates
 from ferrule.llm.substrings import without_repeats
 
 #: Least closeness to the nearest language profile; running text has 0.35 and more.
@@ -33,8 +33,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles) the document with the smallest id stays; rows without an id stay."""
-    groups = simhash_near_duplicates(docs, radius=2, words=5)
+    """Of each group of near-duplicates (five-word shingles, likeness of 0.8 and more) the document with the smallest id stays; rows without an id stay."""
+    groups = shingle_near_duplicates(docs, least=0.8, radius=2, words=5)
     copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(copies, "doc_id", "left_anti")
     single = kept.where("doc_id is not null").dropDuplicates(["doc_id"])

@@ -24,19 +24,22 @@ from .components import connected_components
 SEED = 42
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """64-bit SimHash of one text; 0 for a text without words or a null."""
+def shingle_hashes(text: str | None, words: int) -> list[int]:
+    """Hashes of all runs of ``words`` words, of the whole of a shorter text; none for a text without words or a null."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return []
     joined = b" ".join(found)
     if len(found) < words:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+
+
+def of_hashes(hashes: list[int]) -> int:
+    """64-bit SimHash of hashes; 0 for none."""
     total, sums = len(hashes), np.zeros(64, np.int64)
     for at in range(0, total, 65_536):  # bounded memory on very long texts
         block = np.array(hashes[at : at + 65_536], dtype=">u8")
@@ -44,6 +47,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(sums * 2 > total).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """64-bit SimHash of one text; 0 for a text without words or a null."""
+    return of_hashes(shingle_hashes(text, words))
+
+
 def simhash_fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fingerprint bigint) for every row. No shuffle."""
     schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
