@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .bpe import decode_documents, encode_documents
-from .common import fold, table
+from .common import cut, fold, table
 from .embeddings import embedding_near_duplicates
-from .fingerprints import canonical, digest, digest_classes, fingerprints, likeness, with_classes, with_next
+from .fingerprints import digest_classes, edited_prints, fingerprints, with_classes
 from .langid import identify_languages, learn_profiles, training_rows
 from .packing import pack_documents
 from .quality import learn_quality, score_quality, training_labels
@@ -55,20 +55,8 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    edited = with_next(docs).withColumn("n_chars", F.length("text").cast("bigint")).withColumn("edited", F.expr("concat(substr(text, 1, cast(n_chars - n_chars div 4 as int)), substr(next_text, 1, cast(n_chars div 4 as int)))"))
-    forms = edited.select("doc_id", "n_chars", _sha("edited").alias("edited_sha256"), canonical().alias("own"), canonical("edited").alias("changed"), canonical("next_text").alias("next"))
-    own, changed, following = F.col("own"), F.col("changed"), F.col("next")
-    out = forms.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        digest(own).alias("fingerprint"),
-        digest(changed).alias("edited_fingerprint"),
-        likeness(own, changed).alias("near_edited"),
-        likeness(own, following).alias("near_next"),
-        own.alias("canonical"),
-    )
-    return with_classes(out, *digest_classes(fingerprints(docs))).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id")
+    prints = cut(edited_prints(docs))
+    return with_classes(prints, *digest_classes(fingerprints(docs), prints)).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

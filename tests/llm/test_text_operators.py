@@ -278,3 +278,33 @@ def test_ball_links_find_all_close_points(spark, radius):
     expected = [(a, b) for a in n for b in n if a < b and bin(values[a] ^ values[b]).count("1") <= radius]
     assert set(found) <= set(expected)
     assert components(n, found) == components(n, expected)
+
+
+def test_canonical_form_of_every_kind_of_cluster(spark):
+    import random
+
+    rng, t = random.Random(11), fingerprints.tables()
+    assert not t.seconds & {to[0] for to in t.pairs} and not any(t.parts[c][-1] in t.classes for c in t.firsts if c in t.parts)
+    hangul = [chr(c) for c in (*range(0x1100, 0x1114), *range(0x1160, 0x1178), *range(0x11A7, 0x11C4), 0xAC00, 0xAC01, 0xD788, 0xD7A3)]
+    kinds = [sorted(x) for x in (t.parts, t.classes, t.marks, t.seconds, t.firsts, t.unstable, {to[0] for to in t.pairs}, {to[1] for to in t.pairs})] + [hangul, hangul, list("aZéΣ \t한中😀")]
+    texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts += [a + b for to in t.pairs for a, b in [to]] + [unicodedata.normalize("NFD", "각한국어 Ångström ằ ṩ q̣̇ 각"), "각", "각"]
+    texts += [f + x + m for f in sorted(t.firsts)[:200] for x in ("", "́", "ᆨ") for m in rng.sample(sorted(t.seconds), 3)]
+    texts += ["a" + "̣" * 30_000 + "̂" * 30_000, "ᅡ" * 40_000, "e" * 100_000 + "́"]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["canonical"] for r in fingerprints.fingerprints(spark.createDataFrame(rows, DOCS).repartition(8)).collect()}
+    wrong = [(t, got[i]) for i, t in rows if got[i] != canonical(t)]
+    assert not wrong, wrong[:5]
+
+
+def test_edited_prints_of_hostile_rows(spark, rows):
+    distinct = sorted(dict(rows).items())
+    got = {r["doc_id"]: r for r in fingerprints.edited_prints(widened(spark, distinct)).collect()}
+    for (i, t), (_, u) in zip(distinct, distinct[1:] + distinct[:1], strict=True):
+        t, u = t or "", u or ""
+        k = len(t) // 4
+        edited, r = t[: len(t) - k] + u[:k], got[i]
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), digest(t), digest(edited))
+        assert (r["near_edited"], r["near_next"]) == (float(canonical(t) == canonical(edited)), float(canonical(t) == canonical(u)))
+    assert fingerprints.edited_prints(widened(spark, rows)).count() == len(rows)
+    assert fingerprints.edited_prints(spark.createDataFrame([], DOCS)).count() == 0
