@@ -1,7 +1,8 @@
 """Lexical indexing and ranking as long tables.
 
-An index is four tables: postings (doc_id, term, tf), docs (doc_id, dl), terms
-(term, df, cf) and one row of collection statistics. Queries are (qid, term, qtf).
+An index is four tables: postings (doc_id, term, tf, dl), docs (doc_id, dl), terms
+(term, df, cf) and one row of collection statistics. A posting carries its
+document's length, so its weight is known before it meets any query. Queries are (qid, term, qtf).
 A ranking is (qid, doc_id, score, rank), ties by ascending doc_id. Query terms
 meet postings by an equi-join on the term, so the work follows the postings of
 the query terms, never queries times documents.
@@ -16,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..plans.durable import written
 from ..plans.ranking import top_k
 
 
@@ -33,14 +35,24 @@ class LexicalIndex:
 
 def build_index(docs: DataFrame, text: str = "text", tokenizer=tokens) -> LexicalIndex:
     """Documents without a token count in n and in the average length."""
-    tokenised = docs.select("doc_id", tokenizer(text).alias("tokens"))
-    lengths = tokenised.select("doc_id", F.size("tokens").cast("bigint").alias("dl"))
-    postings = tokenised.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    tokenised = docs.select("doc_id", tokenizer(text).alias("tokens")).withColumn("dl", F.size("tokens").cast("bigint"))
+    postings = tokenised.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    return _index_of(postings, tokenised.select("doc_id", "dl"))
+
+
+def _index_of(postings: DataFrame, lengths: DataFrame) -> LexicalIndex:
     terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("coll_len"))
     return LexicalIndex(postings, lengths, terms, stats)
 
 
+def stored_index(docs: DataFrame, text: str = "text", tokenizer=tokens) -> LexicalIndex:
+    """build_index() with postings, lengths and terms written once to the shared folder, so no query tokenises twice."""
+    lazy = build_index(docs, text, tokenizer)
+    half = _index_of(written(lazy.postings), written(lazy.docs))
+    return LexicalIndex(half.postings, half.docs, written(half.terms), written(half.stats))
+
+
 def save_index(index: LexicalIndex, folder: str) -> None:
     """Write an index once, postings ranged and sorted by term: a term's postings lie in few row groups, whose statistics let scans skip the rest."""
     index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/postings")
@@ -93,14 +105,16 @@ def sublinear(tf: str = "tf") -> Column:
 
 
 # BM25.
+def posting_weights(index: LexicalIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75, variant: str = "bm25") -> DataFrame:
+    """(term, doc_id, contribution) of every posting of the queries' terms: weighed once, however many queries have the term."""
+    weights = okapi_idf(index) if variant == "okapi" else index.with_stats(index.terms).select("term", idf(variant).alias("idf"))
+    own = queries.select("term").distinct().join(weights.select("term", "idf"), "term")
+    return index.with_stats(index.postings.join(own, "term")).select("term", "doc_id", (F.col("idf") * tf_factor(k1, b)).alias("contribution"))
+
+
 def bm25_contributions(index: LexicalIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75, variant: str = "bm25") -> DataFrame:
     """(qid, doc_id, term, contribution); a repeated query term counts once."""
-    if variant == "okapi":
-        weights = okapi_idf(index)
-    else:
-        weights = index.with_stats(index.terms).select("term", idf(variant).alias("idf"))
-    hit = queries.select("qid", "term").distinct().join(weights.select("term", "idf"), "term").join(index.postings, "term").join(index.docs, "doc_id")
-    return index.with_stats(hit).select("qid", "doc_id", "term", (F.col("idf") * tf_factor(k1, b)).alias("contribution"))
+    return queries.select("qid", "term").distinct().join(posting_weights(index, queries, k1, b, variant), "term").select("qid", "doc_id", "term", "contribution")
 
 
 def bm25_scores(index: LexicalIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75, variant: str = "bm25") -> DataFrame:
@@ -144,7 +158,9 @@ def ql_scores(index: LexicalIndex, queries: DataFrame, method: str = "dirichlet"
     depends on the query and the document's length: no completion to all pairs.
     """
     known = index.with_stats(queries.join(index.terms, "term")).select("qid", "term", "qtf", (F.col("cf") / F.col("coll_len")).alias("pc"))
-    hit = known.join(index.postings, "term").join(index.docs, "doc_id")
+    # a posting's lift is worked out once, before it meets the queries
+    posted = index.postings.join(known.select("term", "pc").distinct(), "term")
+    own = known.select("qid", "term", "qtf")
     if method == "dirichlet":
         lift = F.log((F.col("tf") + param * F.col("pc")) / (param * F.col("pc")))
         ground = F.col("base") + F.col("q") * F.log(F.lit(float(param)) / (F.col("dl") + param))
@@ -152,12 +168,12 @@ def ql_scores(index: LexicalIndex, queries: DataFrame, method: str = "dirichlet"
         lift = F.log(((1 - param) * F.col("tf") / F.col("dl") + param * F.col("pc")) / (param * F.col("pc")))
         ground = F.col("base") + F.col("q") * F.log(F.lit(float(param)))
     elif method == "none":  # minus infinity unless every term is there
-        matched = hit.groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * F.log(F.col("tf") / F.col("dl"))).alias("s"), F.count("*").alias("m"))
+        matched = own.join(posted.select("term", "doc_id", F.log(F.col("tf") / F.col("dl")).alias("p")), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * F.col("p")).alias("s"), F.count("*").alias("m"))
         need = known.groupBy("qid").agg(F.count("*").alias("need"))
         return matched.join(need, "qid").select("qid", "doc_id", F.when(F.col("m") == F.col("need"), F.col("s")).otherwise(F.lit(float("-inf"))).alias("score"))
     else:
         raise ValueError(f"unknown method {method}")
-    lifts = hit.groupBy("qid", "doc_id", "dl").agg(F.sum(F.col("qtf") * lift).alias("lift"))
+    lifts = own.join(posted.select("term", "doc_id", "dl", lift.alias("lift")), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * F.col("lift")).alias("lift"), F.first("dl").alias("dl"))
     base = known.groupBy("qid").agg(F.sum(F.col("qtf") * F.log("pc")).alias("base"), F.sum("qtf").alias("q"))
     return lifts.join(base, "qid").select("qid", "doc_id", (F.col("lift") + ground).alias("score"))
 
@@ -186,7 +202,7 @@ def relevance_model(index: LexicalIndex, feedback: DataFrame, queries: DataFrame
     most = W.partitionBy("qid")
     weight = likelihood.withColumn("u", F.exp(F.col("score") - F.max("score").over(most))).withColumn("pq", F.col("u") / F.sum("u").over(most)).join(index.docs, "doc_id")
     ground = weight.groupBy("qid").agg(F.sum(F.col("pq") * mu / (F.col("dl") + mu)).alias("g"))
-    seen = weight.join(index.postings, "doc_id").groupBy("qid", "term").agg(F.sum(F.col("pq") * F.col("tf") / (F.col("dl") + mu)).alias("s"))
+    seen = weight.join(index.postings.drop("dl"), "doc_id").groupBy("qid", "term").agg(F.sum(F.col("pq") * F.col("tf") / (F.col("dl") + mu)).alias("s"))
     model = index.with_stats(seen.join(index.terms, "term").join(ground, "qid"))
     return model.select("qid", "term", (F.col("s") + F.col("g") * F.col("cf") / F.col("coll_len")).alias("p"))
 
@@ -224,37 +240,87 @@ def rocchio_scores(index: LexicalIndex, feedback: DataFrame, queries: DataFrame,
 # Dynamic pruning.
 def term_upper_bounds(index: LexicalIndex) -> DataFrame:
     """(term, bound): the largest BM25 contribution over a term's postings."""
-    all_terms = index.with_stats(index.postings.join(index.terms, "term").join(index.docs, "doc_id"))
+    all_terms = index.with_stats(index.postings.join(index.terms, "term"))
     return all_terms.groupBy("term").agg(F.max(idf("bm25") * tf_factor()).alias("bound"))
 
 
-def posting_blocks(index: LexicalIndex, terms: DataFrame, block_size: int = 64) -> DataFrame:
-    """(term, block, last_doc, bound) of blocks of postings in doc_id order."""
-    own = index.with_stats(index.postings.join(index.terms, "term").join(terms.select("term").distinct(), "term", "left_semi").join(index.docs, "doc_id"))
-    place = F.floor((F.row_number().over(W.partitionBy("term").orderBy("doc_id")) - 1) / block_size)
-    return own.withColumn("block", place).withColumn("c", idf("bm25") * tf_factor()).groupBy("term", "block").agg(F.max("doc_id").alias("last_doc"), F.max("c").alias("bound"))
-
+def posting_blocks(index: LexicalIndex, terms: DataFrame, block_size: int = 64, ranges: int = 64) -> DataFrame:
+    """(term, block, last_doc, bound) of blocks of postings in doc_id order.
 
-def pruned_topk(index: LexicalIndex, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The exhaustive BM25 top k, fully scoring only documents whose bound can reach it.
-
-    A first threshold a query comes from the documents that hold its single
-    strongest term; documents whose sum of term bounds is below it are dropped
-    before any posting is scored exactly. Bounds are sums over matching terms,
-    so the result is that of exhaustive scoring. Returns the ranking with
-    ``scored``, the number of documents scored for the query.
+    Postings are numbered inside ranges of doc_id cut at approximate quantiles,
+    and a range goes on where those before it end, so no task orders all
+    postings of a frequent word.
+    """
+    bounds = index.docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    inner = sorted(set(bounds))
+    at = F.size(F.filter(F.array(*[F.lit(x) for x in inner]), lambda x: x <= F.col("doc_id"))) if inner else F.lit(0)
+    own = posting_weights(index, terms).withColumn("range", at)
+    counts = own.groupBy("term", "range").agg(F.count("*").alias("m"))
+    starts = counts.withColumn("before", F.coalesce(F.sum("m").over(W.partitionBy("term").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("m")
+    inside = F.row_number().over(W.partitionBy("term", "range").orderBy("doc_id")) - 1
+    placed = own.withColumn("place", inside).join(starts, ["term", "range"]).withColumn("block", F.floor((F.col("before") + F.col("place")) / block_size))
+    return placed.groupBy("term", "block").agg(F.max("doc_id").alias("last_doc"), F.max("contribution").alias("bound"))
+
+
+def dynamic_topk(index: LexicalIndex, queries: DataFrame, k: int = 10, span: int | None = None, seeds: int = 3, share: float = 0.4) -> DataFrame:
+    """The exhaustive BM25 top k with few documents scored in full: (qid, doc_id, score, rank, scored).
+
+    A threshold comes first: of the documents that hold one of a query's
+    ``seeds`` strongest terms, the 4k best are scored in full, and the k-th score
+    is reached by k documents for certain. A query's weakest terms whose upper
+    bounds add up to less than ``share`` of it can't lift a document there, so
+    only the postings of the other (essential) terms are looked at; the words
+    with the longest lists are never among them. Their best 4k documents, scored
+    in full, give the threshold that counts, and documents go on
+    whose essential score and the bound of the rest reach it.
+
+    Without ``span`` bounds are those of whole lists, as in WAND. With it they
+    are those of blocks of ``span`` document ids, as in block-max WAND, so
+    blocks of the essential terms are passed over too. ``scored`` is the number
+    of documents scored in full. Results equal exhaustive scoring.
     """
-    bounds = term_upper_bounds(index)
-    own = queries.select("qid", "term").distinct().join(bounds, "term")
-    strongest = own.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("bound"), "term"))).where("r = 1").select("qid", "term")
-    part = bm25_scores(index, strongest)
-    theta = top_k(part, k).where(F.col("rank") == k).select("qid", F.col("score").alias("theta"))
-    reach = own.join(index.postings.select("doc_id", "term"), "term").groupBy("qid", "doc_id").agg(F.sum("bound").alias("reach"))
-    alive = reach.join(theta, "qid", "left").where("theta is null or reach >= theta - 1e-9").select("qid", "doc_id")
-    contributions = bm25_contributions(index, queries).join(alive, ["qid", "doc_id"], "left_semi")
-    scores = contributions.groupBy("qid", "doc_id").agg(F.sum("contribution").alias("score"))
+    weights = written(posting_weights(index, queries))
+    asked = queries.select("qid", "term").distinct()
+    bounds = weights.groupBy("term").agg(F.max("contribution").alias("bound"))
+    own = written(asked.join(bounds, "term"))
+
+    def total(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("qid", "doc_id").agg(F.sum("contribution").alias("score"))
+
+    def threshold(best: DataFrame) -> DataFrame:
+        full = total(best.select("qid", "doc_id").join(weights, "doc_id").join(asked, ["qid", "term"]))
+        return top_k(full, k).where(F.col("rank") == k).select("qid", (F.col("score") - 1e-6).alias("theta"))
+
+    strongest = top_k(own, seeds, score="bound", tie="term").select("qid", "term")
+    theta = threshold(top_k(total(strongest.join(weights, "term")), 4 * k))
+    rising = W.partitionBy("qid").orderBy("bound", "term").rowsBetween(W.unboundedPreceding, 0)
+    judged = own.join(theta, "qid", "left").withColumn("weak", F.coalesce(F.sum("bound").over(rising) < share * F.col("theta"), F.lit(False)))
+    judged = written(judged.select("qid", "term", "bound", "weak", "theta"))
+    essential, weak = judged.where("not weak").select("qid", "term"), judged.where("weak").select("qid", "term")
+    if span is None:
+        slack = judged.groupBy("qid").agg(F.sum(F.when(F.col("weak"), F.col("bound")).otherwise(0.0)).alias("slack"))
+        hits = essential.join(weights, "term").join(slack, "qid")
+    else:
+        block = F.floor(F.col("doc_id") / span).alias("block")
+        met = judged.join(weights.groupBy("term", block).agg(F.max("contribution").alias("most")), "term")
+        sums = met.groupBy("qid", "block").agg(F.first("theta").alias("theta"), F.sum("most").alias("all"), F.sum(F.when(F.col("weak"), F.col("most")).otherwise(0.0)).alias("slack"))
+        hits = essential.join(weights.withColumn("block", block), "term").join(sums.where("theta is null or all >= theta").select("qid", "block", "slack"), ["qid", "block"])
+    part = written(hits.groupBy("qid", "doc_id").agg(F.sum("contribution").alias("score"), F.first("slack").alias("slack")))
+    last = threshold(top_k(part, 4 * k))
+    alive = written(part.join(last, "qid", "left").where("theta is null or score + slack >= theta").select("qid", "doc_id", F.col("score").alias("contribution")))
+    rest = alive.select("qid", "doc_id").join(weights, "doc_id").join(weak, ["qid", "term"])
     count = alive.groupBy("qid").agg(F.count("*").alias("scored"))
-    return top_k(scores, k).join(count, "qid")
+    return top_k(total(alive.unionByName(rest.select("qid", "doc_id", "contribution"))), k).join(count, "qid")
+
+
+def wand_topk(index: LexicalIndex, queries: DataFrame, k: int = 10) -> DataFrame:
+    """dynamic_topk() with bounds of whole lists."""
+    return dynamic_topk(index, queries, k)
+
+
+def block_max_topk(index: LexicalIndex, queries: DataFrame, k: int = 10, span: int = 64) -> DataFrame:
+    """dynamic_topk() with bounds of blocks of document ids."""
+    return dynamic_topk(index, queries, k, span)
 
 
 # Learned sparse retrieval.

@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write once under ``spark.checkpoint.dir`` (a temporary folder only where that is unset) and scan the result."""
+    """Write once under ``spark.checkpoint.dir`` and scan the result.
+
+    Where that is unset, a session of one machine gets a temporary folder; on a
+    cluster this is an error, since executors would not see each other's files.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="ferrule-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/written-{uuid.uuid4().hex}"

@@ -18,7 +18,7 @@ _BM25 = f"SELECT q.qid, p.doc_id, sum({_IDF} * {_TF}) AS score FROM (SELECT DIST
 
 
 def _index(spark, d):
-    return L.build_index(table(spark, d, "documents"))
+    return L.stored_index(table(spark, d, "documents"))
 
 
 def _queries(spark, d):
@@ -69,7 +69,7 @@ SELECT k1, b, {rs("avg(best)")} AS mean_best FROM (SELECT k1, b, qid, max(score)
 def bm25_parameter_grid(spark, d):
     index, queries = _index(spark, d), _queries(spark, d)
     weights = index.with_stats(index.terms).select("term", L.idf().alias("idf"))
-    hit = index.with_stats(queries.select("qid", "term").distinct().join(weights, "term").join(index.postings, "term").join(index.docs, "doc_id"))
+    hit = index.with_stats(queries.select("qid", "term").distinct().join(weights, "term").join(index.postings, "term"))
     grid = spark.createDataFrame(_GRID, "k1 double, b double")
     tf = F.col("tf").cast("double")
     factor = tf * (F.col("k1") + 1) / (tf + F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("dl") / F.col("avgdl")))
@@ -174,9 +174,19 @@ def block_bounds(spark, d):
     return L.posting_blocks(_index(spark, d), _queries(spark, d)).select("term", n("block").alias("block"), "last_doc", r("bound").alias("bound"))
 
 
+@book.query(f"WITH {INDEX_SQL} " + ranked_sql(_BM25, 10))
+def wand_topk(spark, d):
+    return ranked(L.wand_topk(_index(spark, d), _queries(spark, d), 10))
+
+
+@book.query(f"WITH {INDEX_SQL} " + ranked_sql(_BM25, 10))
+def block_max_topk(spark, d):
+    return ranked(L.block_max_topk(_index(spark, d), _queries(spark, d), 10))
+
+
 @book.query(f"WITH {INDEX_SQL} " + ranked_sql(_BM25, 10))
 def pruned_bm25_topk(spark, d):
-    return ranked(L.pruned_topk(_index(spark, d), _queries(spark, d), 10))
+    return ranked(L.wand_topk(_index(spark, d), _queries(spark, d), 10))
 
 
 @book.query(f"""WITH {INDEX_SQL}, w AS (SELECT DISTINCT doc_id, term, ln(2.0) AS w FROM tok), q AS (SELECT DISTINCT qid, term, ln(2.0) AS qw FROM qtok)

@@ -314,6 +314,25 @@ def test_lexical_edges(spark):
         lexical.ql_scores(index, ask, "other", 0.0)
 
 
+def test_pruned_rankings_equal_exhaustive_ones(spark):
+    import random
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, weights, k=60))) for i in range(1500)], "doc_id long, text string")
+    ask = lexical.query_terms(spark.createDataFrame([(i, " ".join(rng.choices(words, weights, k=8))) for i in range(30)] + [(99, "w399"), (100, "nothing")], "qid long, text string"))
+    index = lexical.stored_index(docs)
+    exhaustive = {(r["qid"], r["rank"]): (r["doc_id"], round(r["score"], 9)) for r in lexical.bm25_rank(index, ask, 10).collect()}
+    all_scored = lexical.bm25_scores(index, ask).count()
+    scored = []
+    for pruned in (lexical.wand_topk(index, ask, 10), lexical.block_max_topk(index, ask, 10, 50)):
+        rows = pruned.collect()
+        assert {(r["qid"], r["rank"]): (r["doc_id"], round(r["score"], 9)) for r in rows} == exhaustive
+        scored.append(sum({r["qid"]: r["scored"] for r in rows}.values()))
+    assert scored[1] <= scored[0] < all_scored / 4
+
+
 def test_saved_index_ranks_alike(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"alpha {'beta ' * (i % 4)} gamma{i % 3}") for i in range(30)], "doc_id long, text string")
     index = lexical.build_index(docs)
