@@ -27,10 +27,20 @@ def _entropy() -> str:
     allowed = " OR ".join(f"regexp_matches(m, {_q(p)})" for p in S.ALLOW)
     (_, hex_letters, window, hex_bits), (_, _, _, base_bits) = S.CLASSES
     most = lambda bits: repr(window * (math.log2(window) - bits) + 1e-9)
-    return f"""cand AS (SELECT doc_id, start, m, CASE WHEN regexp_matches(m, '^[{hex_letters}]+$') THEN {most(hex_bits)} ELSE {most(base_bits)} END AS most FROM c3 WHERE NOT ({allowed})),
-    chars AS (SELECT doc_id, start, i, any_value(most) AS most, ch, count(*) AS c FROM (SELECT doc_id, start, most, i, unnest(string_split(substr(m, i::INT, {window}), '')) AS ch FROM (SELECT *, unnest(range(1, length(m) - {window} + 2)) AS i FROM cand)) GROUP BY doc_id, start, i, ch),
+    held = _q(S.PLACEHOLDER)
+    return f"""cand AS (SELECT doc_id, start AS c0, m, CASE WHEN regexp_matches(m, '^[{hex_letters}]+$') THEN {most(hex_bits)} ELSE {most(base_bits)} END AS most FROM c3 WHERE NOT ({allowed})),
+    cut AS (SELECT *, sum(length(piece) + coalesce(length(x), 0)) OVER (PARTITION BY doc_id, c0 ORDER BY i) - length(piece) - coalesce(length(x), 0) AS o FROM (
+      SELECT doc_id, c0, most, len(string_split_regex(m, {held})) AS k, unnest(string_split_regex(m, {held})) AS piece, unnest(regexp_extract_all(m, {held}, 0)) AS x, unnest(range(len(string_split_regex(m, {held})))) AS i FROM cand)),
+    part AS (SELECT doc_id, most, c0 + o + CASE WHEN i = 0 THEN 0 ELSE {S.REACH} END AS start,
+      substr(piece, CASE WHEN i = 0 THEN 1 ELSE {S.REACH + 1} END, greatest(0, length(piece) - CASE WHEN i = 0 THEN 0 ELSE {S.REACH} END - CASE WHEN i = k - 1 THEN 0 ELSE {S.REACH} END)) AS m FROM cut),
+    chars AS (SELECT doc_id, start, i, any_value(most) AS most, ch, count(*) AS c FROM (SELECT doc_id, start, most, i, unnest(string_split(substr(m, i::INT, {window}), '')) AS ch FROM (SELECT *, unnest(range(1, length(m) - {window} + 2)) AS i FROM part)) GROUP BY doc_id, start, i, ch),
     hot AS (SELECT doc_id, start, i FROM chars GROUP BY doc_id, start, i HAVING sum(c * log2(c)) <= any_value(most)),
-    ent AS (SELECT doc_id, 3 AS kind, start + min(i) - 1 AS start, start + max(i) - 1 + {window} AS stop FROM hot GROUP BY doc_id, hot.start)"""
+    run AS (SELECT doc_id, start + min(i) - 1 AS a, start + max(i) - 1 + {window} AS z FROM hot GROUP BY doc_id, hot.start),
+    met AS (SELECT run.doc_id, a, z, b.start, b.stop, max(b.stop) OVER (PARTITION BY run.doc_id, a ORDER BY b.start, b.stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+      FROM run LEFT JOIN base b ON b.doc_id = run.doc_id AND b.start < z AND a < b.stop),
+    ent AS (SELECT doc_id, 3 AS kind, start, stop FROM (
+      SELECT doc_id, greatest(a, coalesce(before, a)) AS start, start AS stop FROM met WHERE start IS NOT NULL
+      UNION ALL SELECT doc_id, greatest(a, coalesce(max(stop), a)), z FROM met GROUP BY doc_id, a, z) WHERE stop > start)"""
 
 
 _KIND = "CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'entropy' END || ':' || start || ':' || stop"
@@ -40,9 +50,9 @@ OP2 = f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 {_found("c1", S.ACCESS, 1, "length(m) >= 20")},
 {_found("c2", S.HEX, 2, "length(m) >= 24")},
 {_found("c3", S.CANDIDATE, 3, "true")},
-{_entropy()},
 base AS (SELECT doc_id, kind, start::BIGINT AS start, stop::BIGINT AS stop FROM c0 UNION ALL SELECT doc_id, kind, start::BIGINT, stop::BIGINT FROM c1 UNION ALL SELECT doc_id, kind, start::BIGINT, stop::BIGINT FROM c2),
-every AS (SELECT * FROM base UNION ALL SELECT doc_id, kind, start::BIGINT, stop::BIGINT FROM ent e WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = e.doc_id AND b.start < e.stop AND e.start < b.stop)),
+{_entropy()},
+every AS (SELECT * FROM base UNION ALL SELECT doc_id, kind, start::BIGINT, stop::BIGINT FROM ent),
 b AS (SELECT doc_id, count_if(kind = 0)::BIGINT AS n_assign, count_if(kind = 1)::BIGINT AS n_access, count_if(kind = 2)::BIGINT AS n_hex, string_agg({_KIND}, ',' ORDER BY start, kind) AS s FROM base GROUP BY 1),
 a AS (SELECT doc_id, string_agg({_KIND}, ',' ORDER BY start, kind) AS s FROM every GROUP BY 1)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.s, '')) AS base_sha256, coalesce(a.s, '') AS spans FROM texts LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""

@@ -7,6 +7,7 @@ import unicodedata
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ferrule.llm import common, fingerprints, langid, quality, queries, secrets, simhash
 
@@ -97,19 +98,25 @@ def brute_spans(text):
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
     base, w = sorted(found), 20
+    known = {i for a, _, b in base for i in range(a, b)}
     for m in re.finditer(secrets.CANDIDATE, text):
         if any(re.search(p, m[0]) for p in secrets.ALLOW):
             continue
         least = next(bits for _, letters, _, bits in secrets.CLASSES if set(m[0]) <= set(letters))
-        hot = []
+        excused = {i for f in re.finditer(secrets.PLACEHOLDER, m[0]) for i in range(f.start() - secrets.REACH, f.end() + secrets.REACH)}
+        hot, runs = [], []
         for i in range(len(m[0]) - w + 1):
             part = m[0][i : i + w]
+            if excused and not excused.isdisjoint(range(i, i + w)):
+                if i in excused or i + w - 1 in excused:
+                    runs, hot = runs + [hot], []
+                continue
             if -sum(part.count(c) / w * np.log2(part.count(c) / w) for c in set(part)) >= least - 1e-9:
                 hot.append(i)
-        if hot:
-            a, b = m.start() + hot[0], m.start() + hot[-1] + w
-            if not any(x < b and a < y for x, _, y in base):
-                found.append((a, 3, b))
+        for hot in filter(None, runs + [hot]):
+            left = [i for i in range(m.start() + hot[0], m.start() + hot[-1] + w) if i not in known]
+            cuts = [k for k in range(1, len(left)) if left[k] != left[k - 1] + 1]
+            found += [(left[x], 3, left[y - 1] + 1) for x, y in zip([0, *cuts], [*cuts, len(left)], strict=True) if y > x]
     return sorted(found)
 
 
@@ -122,6 +129,10 @@ SECRETS = [
     (6, "é" * 50 + " Zk3vQ9xW7rT1yU5iO8pA2sD4fG6hJ0lZxC " + "x" * 300 + "tokentoken=token=abcdef"),
     (6, "é" * 50 + " Zk3vQ9xW7rT1yU5iO8pA2sD4fG6hJ0lZxC " + "x" * 300 + "tokentoken=token=abcdef"),
     (7, "src/main/java/org/thing2/file9 EXAMPLEabc123DEF456ghi789jkl 00112233445566778899001122"),
+    (9, "Zk3vQ9xW7rT1yU5iO8pA2sD4fG6hJ0lZxC" + "0f1e2d3c4b5a69788796a5b4" + "QwErTyUiOp7Lk9Jh5Gf3Ds1A"),
+    (10, "key 3f2a9c71b04de856f1c07a93be52d884-Zk8QpX2vLr7TnW4sYb6Hc1Md and 3f2a9c71b04de856f1c07a93be52d8843F2A9C71B04DE856F1C07A93BE52D884"),
+    (11, "Zk3vQ9xW7rT1yU5iO8pA2sD4fG6hJ0lZxCbNm" * 3 + "EXAMPLE" + "Qw3rTyUi0p7Lk9Jh5Gf3Ds1AzXc8VbNm2Qa" * 3 + "xxxxx" + "Zk3vQ9xW7rT1yU5iO8pA" * 4),
+    (12, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY0 secret=Zk3vQ9xW7rT1yU5iO8pA2sD4fG6hJ0lZxC/+deadbeefdeadbeefdeadbeef"),
     (8, "p9_" * 3000 + "A1b2C3d4E5f6G7h8I9j0KlMnOpQrStUvWxYz" + "secret='/+=.-_abc"),
 ]
 
@@ -142,9 +153,10 @@ def test_redaction(spark):
         if text is None:
             assert got[doc_id] is None
             continue
-        out, at = "", 0
+        out, at, any_ = "", 0, False
         for a, _, b in brute_spans(text):
-            if a >= at:
+            if a > at or not any_:
+                any_ = True
                 out += text[at:a] + "<SECRET>"
                 at = b
             else:
@@ -153,6 +165,25 @@ def test_redaction(spark):
     assert secrets.scan_secrets(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_long_candidates_and_many_matches_take_linear_time(spark):
+    import random
+    import time
+
+    rng = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    blob = "".join(rng.choice(letters) for _ in range(80_000))
+    many = " ".join(f"{rng.getrandbits(96):024x}" for _ in range(20_000))
+    docs = spark.createDataFrame([(1, blob)], DOCS), spark.createDataFrame([(2, many)], DOCS)
+    secrets.scan_secrets(docs[0].limit(0)).count()
+    began = time.perf_counter()
+    (r,) = secrets.scan_secrets(docs[0]).select("doc_id", "secret_spans.start", "secret_spans.kind", "secret_spans.end").collect()
+    took = time.perf_counter() - began
+    left = [i for a, b in zip(r["start"], r["end"], strict=True) for i in range(a, b)]
+    assert len(left) >= 79_900 and took < 10, took
+    (r,) = secrets.scan_secrets(docs[1]).select(F.size("secret_spans").alias("n")).collect()
+    assert r["n"] == 20_000 - sum(not re.fullmatch("[0-9a-f]{24}", x) for x in many.split())
+
+
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
