@@ -204,12 +204,22 @@ def fano_floor_loose(h_cond: float, k: int) -> float:
 
 
 def fano_floor_tight(h_cond: float, k: int) -> float:
-    """Least error e with H(e) + e log2(k - 1) at least the conditional entropy, by bisection."""
-    low, high = 0.0, 1 - 1 / k
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if binary_entropy(mid) + mid * math.log2(max(k - 1, 1)) < h_cond else (low, mid)
-    return (low + high) / 2
+    """Least error e with H(e) + e log2(k - 1) at least the conditional entropy: 0 without any, 1 - 1/k from log2(k) bits on.
+
+    The left side is concave and rises up to there, so Newton steps from the left never pass the root.
+    """
+    if k < 2:
+        raise ValueError("at least two answers are needed")
+    if h_cond <= 0:
+        return 0.0
+    if h_cond >= math.log2(k):
+        return 1 - 1 / k
+    e = 1e-15
+    while True:
+        step = (h_cond - binary_entropy(e) - e * math.log2(k - 1)) / (math.log2((1 - e) / e) + math.log2(k - 1))
+        if step <= 1e-14:
+            return e
+        e += step
 
 
 def gaussian_mi(rho: float) -> float:

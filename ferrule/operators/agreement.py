@@ -51,7 +51,7 @@ def variance_components(ratings: DataFrame) -> DataFrame:
     item = ratings.groupBy("item").agg(F.avg("value").alias("mi"))
     judge = ratings.groupBy("judge").agg(F.avg("value").alias("mj"))
     whole = ratings.agg(F.avg("value").alias("g"), F.countDistinct("item").alias("n"), F.countDistinct("judge").alias("k"))
-    full = ratings.join(item, "item").join(F.broadcast(judge), "judge").crossJoin(F.broadcast(whole))
+    full = ratings.join(item, "item").join(judge, "judge").crossJoin(F.broadcast(whole))
     e = F.col("value") - F.col("mi") - F.col("mj") + F.col("g")
     ss = full.agg(F.first("n").alias("n"), F.first("k").alias("k"), F.sum(F.pow(F.col("mi") - F.col("g"), 2)).alias("ssi"), F.sum(F.pow(F.col("mj") - F.col("g"), 2)).alias("ssj"), F.sum(F.pow(e, 2)).alias("sse"))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
@@ -88,7 +88,7 @@ def observer_error(ratings: DataFrame, rounds: int = 30, tol: float = 1e-6) -> t
         table = rows.sparkSession.createDataFrame([(j, *map(float, x)) for j, x in judges.items()], "judge long, sens double, spec double")
         one = F.when(F.col("v") == 1, F.col("sens")).otherwise(1 - F.col("sens"))
         zero = F.when(F.col("v") == 1, 1 - F.col("spec")).otherwise(F.col("spec"))
-        odds = rows.join(F.broadcast(table), "judge").groupBy("item").agg((F.sum(F.log(one) - F.log(zero)) + math.log(prior / (1 - prior))).alias("o"))
+        odds = rows.join(table, "judge").groupBy("item").agg((F.sum(F.log(one) - F.log(zero)) + math.log(prior / (1 - prior))).alias("o"))
         post = odds.select("item", (1 / (1 + F.exp(-F.col("o")))).alias("p"))
         if last and all(abs(a - b) < tol for j in judges for a, b in zip(judges[j], last[j], strict=True)):
             break

@@ -74,9 +74,14 @@ def dependent_cascade(r1: float, r2: float, rho: float, n: int = 40_000, seed: i
 
 
 def allocate_budget(curves: dict[str, list[tuple[float, float]]], budget: float) -> dict[str, int]:
-    """Steps along each stage's (cost, recall) curve, always the one of most log-recall a unit of cost, while the budget lasts."""
+    """Steps along each stage's (cost, recall) curve, always the one of most log-recall a unit of cost, while the budget lasts.
+
+    An error is raised where even the cheapest steps cost more than the budget.
+    """
     at = dict.fromkeys(curves, 0)
     spent = sum(c[0][0] for c in curves.values())
+    if spent > budget + 1e-12:
+        raise ValueError("the cheapest allocation is over the budget")
     while True:
         options = []
         for stage, curve in curves.items():
@@ -128,10 +133,11 @@ def greedy_hops(source: int, target: int, contacts: np.ndarray) -> int:
 
 
 def retained_component(nodes: DataFrame, edges: DataFrame, share: float, seed: int = 0) -> DataFrame:
-    """(kept, largest): nodes kept by a hash with the given probability, and their largest component."""
+    """(kept, largest): nodes kept with the given probability (by dice.mixed of the node), and their largest component."""
+    from ..functions.dice import PRIME, mixed
     from .graphs import components
 
-    kept = nodes.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    kept = nodes.where(mixed("node", F.lit(seed)) < math.ceil(share * PRIME))
     inside = edges.join(kept.select(F.col("node").alias("src")), "src", "left_semi").join(kept.select(F.col("node").alias("dst")), "dst", "left_semi")
     sizes = components(kept, inside).groupBy("component").agg(F.count("*").alias("k"))
     return sizes.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("kept"), F.coalesce(F.max("k"), F.lit(0)).alias("largest"))

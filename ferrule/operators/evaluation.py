@@ -9,10 +9,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.dice import PRIME, mixed_array
 from ..functions.special import kolmogorov_p, student_t_quantile, student_t_sf
 from ..plans.ranking import running_sums
 
@@ -76,7 +78,7 @@ def reversals(a: DataFrame, b: DataFrame, key: str = "leg", value: str = "mean")
     """(x, y): pairs of systems that two measures order differently."""
     both = a.select(key, F.col(value).alias("u")).join(b.select(key, F.col(value).alias("v")), key)
     x, y = both.select(F.col(key).alias("x"), F.col("u").alias("u1"), F.col("v").alias("v1")), both.select(F.col(key).alias("y"), F.col("u").alias("u2"), F.col("v").alias("v2"))
-    return x.join(F.broadcast(y), F.col("x") < F.col("y")).where("(u1 - u2) * (v1 - v2) < 0").select("x", "y")
+    return x.join(y, F.col("x") < F.col("y")).where("(u1 - u2) * (v1 - v2) < 0").select("x", "y")
 
 
 # Graded metrics.
@@ -116,39 +118,70 @@ def paired_t(differences: DataFrame) -> dict[str, float]:
     return {"n": n, "mean": m, "t": m / se, "p": student_t_sf(m / se, n - 1), "effect": m / sd, "low": m - half, "high": m + half}
 
 
-def permutation_p(differences: DataFrame, draws: int = 20_000, seed: int = 0, exact_up_to: int = 18) -> float:
-    """Sign-flip test of the mean: all sign patterns for few pairs, else seeded draws dealt over tasks.
+def _draw_sums(rows: DataFrame, value: str, draws: int, weight) -> DataFrame:
+    """(draw, s, w): sums of weighted values and of weights over all rows, for every draw.
 
-    A draw needs the sum of signed differences. Signs come from a hash of pair and
-    draw, so the sums are ordinary aggregations and no sample has to fit a task.
+    ``weight`` gives the weights of rows (down) and draws (across) from their
+    ids. Every partition sums its rows in blocks and hands on one row a draw, so
+    what is shuffled does not grow with the rows.
     """
+
+    def run(batches):
+        s, w = np.zeros(draws), np.zeros(draws)
+        for batch in batches:
+            ids, x = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            for at in range(0, len(ids), 256):
+                for first in range(0, draws, 2048):
+                    own = weight(ids[at : at + 256, None], np.arange(first, min(first + 2048, draws))[None, :])
+                    s[first : first + 2048] += x[at : at + 256] @ own
+                    w[first : first + 2048] += own.sum(axis=0)
+        yield pa.RecordBatch.from_pydict({"draw": np.arange(draws), "s": s, "w": w})
+
+    parts = rows.select(F.col("qid").cast("bigint"), F.col(value).cast("double")).mapInArrow(run, "draw bigint, s double, w double")
+    return parts.groupBy("draw").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+
+
+def permutation_p(differences: DataFrame, draws: int = 20_000, seed: int = 0, exact_up_to: int = 18) -> float:
+    """Sign-flip test of the mean: all sign patterns for few pairs, else seeded draws (signs by dice.mixed of pair and draw)."""
     rows = differences.where("d is not null")
     n = rows.count()
     total = rows.agg(F.coalesce(F.sum("d"), F.lit(0.0))).first()[0]
     exact = n <= exact_up_to
-    count = 2**n if exact else draws
     if exact:
-        rows = rows.withColumn("i", F.row_number().over(W.orderBy("qid")) - 1)
-        sign = F.when(F.expr("shiftright(draw, cast(i as int)) & 1") == 1, 1.0).otherwise(-1.0)
+        rows = rows.withColumn("qid", F.row_number().over(W.orderBy("qid")) - 1)
+        sums = _draw_sums(rows, "d", 2**n, lambda i, draw: np.where(draw >> i & 1 == 1, 1.0, -1.0))
     else:
-        sign = F.when(F.pmod(F.xxhash64("qid", "draw", F.lit(seed)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    sums = rows.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))).groupBy("draw").agg(F.sum(F.col("d") * sign).alias("s"))
+        sums = _draw_sums(rows, "d", draws, lambda i, draw: np.where(mixed_array(i, draw, seed) % 2 == 0, 1.0, -1.0))
     far = sums.where(F.abs("s") >= abs(total) - 1e-12).count()
-    return far / count if exact else (far + 1) / (count + 1)
+    return far / 2**n if exact else (far + 1) / (draws + 1)
+
+
+#: Cumulated Poisson probabilities: a uniform number that passes k of them has weight k.
+POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+
+
+def _poisson(i, draw, seed):
+    return np.searchsorted(POISSON, mixed_array(i, draw, seed) / PRIME, side="right").astype(np.float64)
+
+
+def bootstrap_means(samples: DataFrame, value: str, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """(draw, m): weighted means, a row's weight in a draw being Poisson by dice.mixed of its id and the draw."""
+    sums = _draw_sums(samples, value, draws, lambda i, draw: _poisson(i, draw, seed))
+    return sums.where("w > 0").select("draw", (F.col("s") / F.col("w")).alias("m"))
 
 
 def bootstrap_se(samples: DataFrame, value: str, draws: int = 2000, seed: int = 0) -> float:
-    """Standard error of the mean by Poisson weights from a hash of row and draw: one aggregation, no resampling by rows."""
-    u = F.pmod(F.xxhash64("qid", "draw", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    edges, p, total = [], math.exp(-1), 0.0
-    for k in range(12):
-        total += p
-        edges.append(total)
-        p /= k + 1
-    weight = sum((F.when(u >= e, 1).otherwise(0) for e in edges[1:]), F.when(u >= edges[0], 1).otherwise(0))
-    spread = samples.select("qid", F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", weight)
-    means = spread.groupBy("draw").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
-    return means.agg(F.stddev_samp("m")).first()[0]
+    """Standard error of the mean by Poisson weights: no resampling by rows."""
+    return bootstrap_means(samples, value, draws, seed).agg(F.stddev_samp("m")).first()[0]
+
+
+def paired_bootstrap(differences: DataFrame, draws: int = 2000, seed: int = 0) -> dict[str, float]:
+    """Mean difference, percentile interval and two-sided p: twice the smaller share of resampled means on one side of zero."""
+    rows = differences.where("d is not null")
+    mean = rows.agg(F.avg("d")).first()[0]
+    means = bootstrap_means(rows, "d", draws, seed)
+    s = means.agg(F.percentile("m", [0.025, 0.975]).alias("q"), F.avg((F.col("m") <= 0).cast("double")).alias("low"), F.avg((F.col("m") >= 0).cast("double")).alias("high")).first()
+    return {"mean": mean, "low": s["q"][0], "high": s["q"][1], "p": min(1.0, 2 * min(s["low"], s["high"]))}
 
 
 def adjusted_p(tests: DataFrame, p: str = "p", by: str = "test") -> DataFrame:
@@ -230,24 +263,39 @@ def platt(scored: DataFrame, score: str = "p", rounds: int = 30) -> tuple[float,
 def isotonic(scored: DataFrame, score: str = "p") -> tuple[list[float], list[float]]:
     """Thresholds and values of the best non-decreasing step function (pooled adjacent violators).
 
-    Scores are pre-aggregated to sums a distinct score rounded to four places, so
-    at most ten thousand rows a unit of score reach the driver.
+    Distinct scores are dealt to ranges and pooled there first, which changes
+    nothing in the result; the driver pools the ranges' blocks and keeps one
+    entry a step of the function.
     """
-    rows = scored.groupBy(F.round(score, 4).alias("s")).agg(F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("s").collect()
+
+    def run(batches):
+        blocks: list[list[float]] = []
+        for batch in batches:
+            _pool(blocks, zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        if blocks:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*blocks, strict=True)], names=["s", "y", "n"])
+
+    by = scored.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum("y").cast("double").alias("y"), F.count("*").cast("double").alias("n"))
+    parts = by.repartitionByRange("s").sortWithinPartitions("s").mapInArrow(run, "s double, y double, n double").collect()
     blocks: list[list[float]] = []
+    _pool(blocks, sorted(map(tuple, parts)))
+    return [b[0] for b in blocks], [b[1] / b[2] for b in blocks]
+
+
+def _pool(blocks: list[list[float]], rows) -> None:
+    """Append (score, sum, count) in ascending order of score, pooling neighbours whose means fall."""
     for row in rows:
-        blocks.append([row["s"], float(row["y"]), float(row["n"])])
+        blocks.append(list(row))
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             _, y, n = blocks.pop()
             blocks[-1][1] += y
             blocks[-1][2] += n
-    return [b[0] for b in blocks], [b[1] / b[2] for b in blocks]
 
 
 def apply_isotonic(score: Column, thresholds: list[float], values: list[float]) -> Column:
     """Value of the last threshold at or below the score; the first below all."""
     t, v = F.array(*[F.lit(float(x)) for x in thresholds]), F.array(*[F.lit(float(x)) for x in values])
-    return F.element_at(v, F.greatest(F.size(F.filter(t, lambda e: e <= F.round(score, 4))), F.lit(1)))
+    return F.element_at(v, F.greatest(F.size(F.filter(t, lambda e: e <= score)), F.lit(1)))
 
 
 # Drift between two samples (g in {'ref', 'cur'}, x).

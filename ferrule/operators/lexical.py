@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..plans.durable import written
-from ..plans.ranking import top_k
+from ..plans.ranking import numbered, top_k
 
 
 @dataclass
@@ -247,18 +247,10 @@ def term_upper_bounds(index: LexicalIndex) -> DataFrame:
 def posting_blocks(index: LexicalIndex, terms: DataFrame, block_size: int = 64, ranges: int = 64) -> DataFrame:
     """(term, block, last_doc, bound) of blocks of postings in doc_id order.
 
-    Postings are numbered inside ranges of doc_id cut at approximate quantiles,
-    and a range goes on where those before it end, so no task orders all
-    postings of a frequent word.
+    Postings are numbered in ranges of doc_id, so no task orders all postings
+    of a frequent word.
     """
-    bounds = index.docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    inner = sorted(set(bounds))
-    at = F.size(F.filter(F.array(*[F.lit(x) for x in inner]), lambda x: x <= F.col("doc_id"))) if inner else F.lit(0)
-    own = posting_weights(index, terms).withColumn("range", at)
-    counts = own.groupBy("term", "range").agg(F.count("*").alias("m"))
-    starts = counts.withColumn("before", F.coalesce(F.sum("m").over(W.partitionBy("term").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("m")
-    inside = F.row_number().over(W.partitionBy("term", "range").orderBy("doc_id")) - 1
-    placed = own.withColumn("place", inside).join(starts, ["term", "range"]).withColumn("block", F.floor((F.col("before") + F.col("place")) / block_size))
+    placed = numbered(posting_weights(index, terms), "term", "doc_id", "place", ranges).withColumn("block", F.floor(F.col("place") / block_size))
     return placed.groupBy("term", "block").agg(F.max("doc_id").alias("last_doc"), F.max("contribution").alias("bound"))
 
 

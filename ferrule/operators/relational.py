@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, values: list[str]) -> DataFrame:
-    """left with the values of the last right row of the same group at or before it: one sort of the union, no pairs."""
-    rows = left.withColumn("_side", F.lit(1)).unionByName(right.select(by, at, *values).withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    w = W.partitionBy(by).orderBy(at, "_side").rowsBetween(W.unboundedPreceding, 0)
-    for v in values:
-        rows = rows.withColumn(f"asof_{v}", F.last(F.when(F.col("_side") == 0, F.col(v)), ignorenulls=True).over(w))
-    return rows.where("_side = 1").drop("_side", *values)
+    """left with the values of the last right row of the same group at or before it: one sort of the union, no pairs.
+
+    The values come from one right row, nulls included; of right rows at the
+    same place the one with the largest values counts. Rows of left that no right
+    row precedes get nulls.
+    """
+    found = right.select(by, at, F.struct(*values).alias("_values"), F.lit(0).alias("_side"))
+    rows = left.withColumn("_side", F.lit(1)).unionByName(found, allowMissingColumns=True)
+    w = W.partitionBy(by).orderBy(at, "_side", "_values").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_last", F.last("_values", ignorenulls=True).over(w)).where("_side = 1")
+    return rows.select(*left.columns, *[F.col(f"_last.{v}").alias(f"asof_{v}") for v in values])
 
 
 def range_join(df: DataFrame, edges: list[float], column: str) -> DataFrame:

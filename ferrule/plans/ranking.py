@@ -1,4 +1,4 @@
-"""Plan fragments shared by the operators: ranks, top k, metrics' denominators, salting."""
+"""Plan fragments shared by the operators: ranks, top k, running sums and numbers."""
 
 from __future__ import annotations
 
@@ -34,10 +34,20 @@ def log_sum_exp(df: DataFrame, by: list[str], score: str) -> DataFrame:
     return df.join(top, by).groupBy(*by, "_m").agg((F.first("_m") + F.log(F.sum(F.exp(F.col(score) - F.col("_m"))))).alias("lse")).drop("_m")
 
 
-def salted_sum(df: DataFrame, by: list[str], value: str, salts: int = 16) -> DataFrame:
-    """Sum in two steps, for groups so large that one task's share of a key would be too much."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)))
-    return salted.groupBy(*by, "_salt").agg(F.sum(value).alias(value)).groupBy(*by).agg(F.sum(value).alias(value))
+def numbered(df: DataFrame, by: str, order: str, name: str, buckets: int = 64) -> DataFrame:
+    """df with its rows numbered from 0 in each group by ``order`` (a number), without one task for a group.
+
+    Rows are numbered inside ranges of ``order`` cut at approximate quantiles, and
+    a range goes on where those before it end.
+    """
+    bounds = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    inner = sorted(set(bounds))
+    at = F.size(F.filter(F.array(*[F.lit(x) for x in inner]), lambda x: x <= F.col(order))) if inner else F.lit(0)
+    placed = df.withColumn("_range", at)
+    before = W.partitionBy(by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = placed.groupBy(by, "_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(W.partitionBy(by, "_range").orderBy(order)) - 1
+    return placed.withColumn(name, inside).join(starts, [by, "_range"]).withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start")
 
 
 def running_sums(df: DataFrame, order: str, values: dict[str, str], ties: list[str] | None = None, buckets: int = 64) -> DataFrame:

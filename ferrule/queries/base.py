@@ -87,6 +87,18 @@ qrels AS (SELECT q.vec_id AS qid, e.vec_id AS doc_id, 1 + e.vec_id % 3 AS grade
 """
 
 
+def walk_sql(hops: int) -> str:
+    """CTEs hop1, hop2, ... (qid, doc_id): read the nearest unread vector, go on with what it says beyond the question."""
+    out = ["ask1 AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0)"]
+    for k in range(1, hops + 1):
+        unread = "".join(f" AND NOT EXISTS (SELECT 1 FROM hop{i} WHERE hop{i}.qid = a.qid AND hop{i}.doc_id = e.vec_id)" for i in range(1, k))
+        out.append(f"""hop{k} AS (SELECT qid, doc_id FROM (SELECT a.qid, e.vec_id AS doc_id, row_number() OVER (PARTITION BY a.qid ORDER BY round(list_cosine_similarity(a.v, e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS k
+          FROM ask{k} a JOIN embeddings e ON e.vec_id <> a.qid{unread}) WHERE k = 1)""")
+        out.append(f"""ask{k + 1} AS (SELECT qid, list_transform(o, lambda x: x / sqrt(list_dot_product(o, o))) AS v FROM (
+          SELECT qid, list_transform(list_zip(w, v), lambda z: z[1] - p * z[2]) AS o FROM (SELECT h.qid, e.embedding::DOUBLE[] AS w, a.v, list_dot_product(e.embedding::DOUBLE[], a.v) AS p FROM hop{k} h JOIN ask{k} a USING (qid) JOIN embeddings e ON e.vec_id = h.doc_id)))""")
+    return ", ".join(out)
+
+
 # Texts: benchmark passages are queries against all documents.
 def text_queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")

@@ -5,12 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.dice import PRIME, mixed_sql
 from ..operators import cascade as C
 from ..operators import learning as L
 from ..operators import models as M
 from ..operators.dense import recall_against
-from .base import RUN_SQL, Book, n, r, ranked, rs, run, vector_queries, vectors
-from .graphs import _edges
+from ..plans.durable import written
+from .base import RUN_SQL, Book, n, r, ranked, ranked_sql, rs, run, vector_queries, vectors, walk_sql
+from .graphs import _EDGES, _edges
 from .learning import _rows
 
 book = Book()
@@ -28,12 +30,6 @@ def _parts(spark, d):
     return _tokens(q, "qid", "q"), _tokens(c, "doc_id", "d"), np.array([x[0] for x in rows]).reshape(-1, 16)
 
 
-@book.query()
-def token_cascade_topk(spark, d):
-    q, c, centroids = _parts(spark, d)
-    return ranked(C.token_cascade(q, c, centroids, nprobe=2, keep=60, k=10))
-
-
 _TOK = """WITH t AS (SELECT vec_id AS doc_id, j, list_slice(embedding, 16 * j + 1, 16 * j + 16)::DOUBLE[] AS v FROM embeddings, (SELECT unnest([0, 1, 2, 3]) AS j)),
 cent AS (SELECT 4 * doc_id + j AS cell, v AS c FROM t WHERE doc_id < 4), dd AS (SELECT doc_id, j, cell, pow(list_distance(v, c), 2) AS d FROM t, cent), cells AS (SELECT doc_id, j, cell, d FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, j ORDER BY round(d, 9), cell) AS k FROM dd) WHERE k = 1)"""
 
@@ -65,6 +61,17 @@ def centroid_interaction_topk(spark, d):
     return ranked(top_k(C.centroid_scores(scores, cells, C.probe_candidates(scores, cells, 2)), 10))
 
 
+_INTERACT = _SC + """, o AS (SELECT DISTINCT doc_id, cell FROM cells), m AS (SELECT cand.qid, cand.doc_id, qtok, max(s) AS s FROM cand JOIN o USING (doc_id) JOIN s ON s.qid = cand.qid AND s.cell = o.cell GROUP BY ALL),
+kept AS (SELECT qid, doc_id FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(sum(s), 9) DESC, doc_id) AS k FROM m GROUP BY qid, doc_id) WHERE k <= 60),
+exact AS (SELECT kept.qid, kept.doc_id, q.j, max(list_dot_product(q.v, t.v)) AS s FROM kept JOIN t q ON q.doc_id = kept.qid JOIN t ON t.doc_id = kept.doc_id GROUP BY ALL) """
+
+
+@book.query(_INTERACT + ranked_sql("SELECT qid, doc_id, sum(s) AS score FROM exact GROUP BY ALL", 10))
+def token_cascade_topk(spark, d):
+    q, c, centroids = _parts(spark, d)
+    return ranked(C.token_cascade(q, c, centroids, nprobe=2, keep=60, k=10))
+
+
 _KEPT = " UNION ALL ".join(f"SELECT '{leg}' AS leg, {depth}::BIGINT AS depth, {rs('avg(least(h, 10) / 10)')} AS retention FROM (SELECT t.qid, count(f.doc_id) AS h FROM (SELECT * FROM run WHERE leg = 'full' AND rank <= 10) t LEFT JOIN run f ON f.qid = t.qid AND f.doc_id = t.doc_id AND f.leg = '{leg}' AND f.rank <= {depth} GROUP BY 1)" for leg in ("head", "tail") for depth in (10, 20, 50))
 
 
@@ -80,17 +87,24 @@ def stage_retentions(spark, d):
     return out
 
 
-@book.query()
+@book.query(f"WITH {walk_sql(3)} " + " UNION ALL ".join(f"SELECT qid, {k}::BIGINT AS hop, doc_id FROM hop{k}" for k in (1, 2, 3)))
 def reading_walk(spark, d):
     q, c = vector_queries(spark, d).select("qid", "vec"), vectors(spark, d).select("doc_id", "vec")
     return C.reformulated_walk(q, c, 3)
 
 
-@book.query()
+_SHARES = (0.25, 0.5, 0.75, 1.0)
+
+
+@book.query(_EDGES + f""", kept AS (SELECT share, vec_id AS node FROM embeddings, (VALUES {", ".join(f"({s}::DOUBLE)" for s in _SHARES)}) v(share) WHERE {mixed_sql('vec_id', '0')} < ceil(share * {PRIME})),
+pairs AS (SELECT a.share, src, dst FROM two JOIN kept a ON a.node = src JOIN kept b ON b.node = dst AND a.share = b.share),
+reach(share, node, seen) AS (SELECT share, node, node FROM kept UNION SELECT r.share, r.node, p.dst FROM reach r JOIN pairs p ON p.src = r.seen AND p.share = r.share),
+c AS (SELECT share, node, min(seen) AS c FROM reach GROUP BY ALL), z AS (SELECT share, c, count(*) AS k FROM c GROUP BY ALL)
+SELECT share, sum(k)::BIGINT AS kept, max(k) AS largest FROM z GROUP BY 1""")
 def retained_components(spark, d):
-    """Largest component when nodes are kept with probability 0.25 to 1."""
-    nodes, edges, out = vectors(spark, d).select(F.col("doc_id").alias("node")), _edges(spark, d), None
-    for share in (0.5, 1.0):
+    """Largest component when nodes are kept with probability 0.25, 0.5, 0.75 and 1."""
+    nodes, edges, out = vectors(spark, d).select(F.col("doc_id").alias("node")), written(_edges(spark, d)), None
+    for share in _SHARES:
         row = C.retained_component(nodes, edges, share).select(F.lit(share).alias("share"), "kept", "largest")
         out = row if out is None else out.unionByName(row)
     return out

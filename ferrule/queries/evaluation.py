@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.dice import PRIME, mixed_sql
 from ..operators import evaluation as E
+from ..plans.durable import written
 from ..sources.tables import table
 from .base import CLAIMS_SQL, RUN_SQL, Book, claims, graded, n, r, rs, run
 
@@ -91,7 +93,7 @@ def paired_t_statistic(spark, d):
 @book.query()
 def leg_significance(spark, d):
     """All pairs of legs: t-test and sign-flip p-values with their adjustments."""
-    ap = E.average_precision(run(spark, d), graded(spark, d))
+    ap = written(E.average_precision(run(spark, d), graded(spark, d)))
     rows = []
     for a, b in (("full", "head"), ("full", "tail"), ("head", "tail")):
         diff = E.paired_differences(ap, "ap", a, b)
@@ -100,9 +102,39 @@ def leg_significance(spark, d):
     return E.adjusted_p(tests)
 
 
-@book.query()
+_APD = _RUN + _AP + ", d AS (SELECT a.leg || '-' || b.leg AS test, a.qid, a.ap - b.ap AS d FROM ap a JOIN ap b ON a.qid = b.qid AND (a.leg, b.leg) IN (('full', 'head'), ('full', 'tail'), ('head', 'tail'))), "
+
+
+@book.query(_APD + f"""s AS (SELECT test, draw, abs(sum(CASE WHEN {mixed_sql('qid', 'draw')} % 2 = 0 THEN d ELSE -d END)) AS s FROM d, range(2000) t(draw) GROUP BY ALL),
+p AS (SELECT s.test, (count_if(s >= t - 1e-12) + 1) / 2001 AS p FROM s JOIN (SELECT test, abs(sum(d)) AS t FROM d GROUP BY 1) USING (test) GROUP BY 1),
+k AS (SELECT *, row_number() OVER (ORDER BY p, test) AS i FROM p)
+SELECT test, {rs('p')} AS p, {rs('least(1, 3 * p)')} AS bonferroni, {rs('max(least(1, (4 - i) * p)) OVER (ORDER BY i)')} AS holm, {rs('min(least(1, 3 * p / i)) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)')} AS bh FROM k""")
+def permutation_significance(spark, d):
+    """Sign-flip p-values of all pairs of legs with their adjustments."""
+    ap = written(E.average_precision(run(spark, d), graded(spark, d)))
+    rows = [(f"{a}-{b}", E.permutation_p(E.paired_differences(ap, "ap", a, b), 2000, exact_up_to=0)) for a, b in (("full", "head"), ("full", "tail"), ("head", "tail"))]
+    return E.adjusted_p(spark.createDataFrame(rows, "test string, p double")).select("test", *[r(c).alias(c) for c in ("p", "bonferroni", "holm", "bh")])
+
+
+_WEIGHT = "(" + " + ".join(f"(u >= {x!r})::INT" for x in E.POISSON) + ")"
+
+
+@book.query(_APD + f"""w AS (SELECT test, draw, d, {_WEIGHT} AS w FROM (SELECT test, draw, d, {mixed_sql('qid', 'draw')} / {PRIME}.0::DOUBLE AS u FROM d, range(500) t(draw))),
+m AS (SELECT test, draw, sum(w * d) / sum(w) AS m FROM w GROUP BY ALL HAVING sum(w) > 0)
+SELECT test, {rs('quantile_cont(m, 0.025)')} AS low, {rs('quantile_cont(m, 0.975)')} AS high, {rs('least(1, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT)))')} AS p FROM m GROUP BY 1""")
+def paired_bootstrap(spark, d):
+    ap = written(E.average_precision(run(spark, d), graded(spark, d)))
+    rows = []
+    for a, b in (("full", "head"), ("full", "tail"), ("head", "tail")):
+        s = E.paired_bootstrap(E.paired_differences(ap, "ap", a, b), 500)
+        rows.append((f"{a}-{b}", *(round(float(s[k]), 6) for k in ("low", "high", "p"))))
+    return spark.createDataFrame(rows, "test string, low double, high double, p double")
+
+
+@book.query(_RUN + _AP + f""", w AS (SELECT leg, draw, ap, {_WEIGHT} AS w FROM (SELECT leg, draw, ap, {mixed_sql('qid', 'draw')} / {PRIME}.0::DOUBLE AS u FROM ap, range(500) t(draw)))
+SELECT leg, {rs('stddev_samp(m)')} AS se FROM (SELECT leg, draw, sum(w * ap) / sum(w) AS m FROM w GROUP BY ALL HAVING sum(w) > 0) GROUP BY 1""")
 def bootstrap_standard_error(spark, d):
-    ap = E.average_precision(run(spark, d), graded(spark, d))
+    ap = written(E.average_precision(run(spark, d), graded(spark, d)))
     rows = [(leg, round(float(E.bootstrap_se(ap.where(F.col("leg") == leg), "ap", 500)), 6)) for leg in ("full", "head", "tail")]
     return spark.createDataFrame(rows, "leg string, se double")
 

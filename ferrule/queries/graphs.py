@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import graphs as G
+from ..plans.ranking import numbered
 from .base import RUN_SQL, Book, n, r, rs, run, vectors
 
 book = Book()
@@ -79,10 +80,7 @@ _SENT = "WITH o AS (SELECT label, embedding, row_number() OVER (PARTITION BY lab
 
 
 def _sentences(spark, d):
-    from pyspark.sql import Window as W
-
-    i = F.row_number().over(W.partitionBy("label").orderBy("doc_id")) - 1
-    return vectors(spark, d).withColumn("i", i).select((F.col("label").cast("bigint") * 1000000 + F.floor(F.col("i") / 40)).alias("doc_id"), n(F.col("i") % 40).alias("pos"), "vec")
+    return numbered(vectors(spark, d), "label", "doc_id", "i").select((F.col("label").cast("bigint") * 1000000 + F.floor(F.col("i") / 40)).alias("doc_id"), n(F.col("i") % 40).alias("pos"), "vec")
 
 
 _GAP = _SENT + """, u AS (SELECT doc_id, pos, unnest(vec)::DOUBLE AS x, generate_subscripts(vec, 1) AS i FROM s),

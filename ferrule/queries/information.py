@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import orthogonal_part
 from ..operators import information as I
 from ..operators.dense import knn, mean_direction
-from .base import RUN_SQL, Book, n, r, rs, vector_queries, vectors
+from .base import RUN_SQL, Book, n, r, rs, vector_queries, vectors, walk_sql
 
 book = Book()
 TAU_DOC, TAU = 0.1, 0.25
@@ -94,7 +94,7 @@ def context_selection(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@book.query()
+@book.query(f"WITH {walk_sql(2)} SELECT hop1.qid, hop1.doc_id AS first, hop2.doc_id AS second FROM hop1 JOIN hop2 USING (qid)")
 def second_hop(spark, d):
     """Two hops: the query is replaced by what its nearest document says beyond it; documents already read are skipped."""
     q, c = vector_queries(spark, d).select("qid", "vec"), vectors(spark, d).select("doc_id", "vec")

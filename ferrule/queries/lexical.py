@@ -129,14 +129,17 @@ def collection_model(spark, d):
     return index.with_stats(_queries(spark, d).select("term").distinct().join(index.terms, "term")).select("term", r(p).alias("p"), r(-F.log2(p)).alias("bits"))
 
 
-@book.query(f"""WITH {INDEX_SQL}, {_KNOWN}, s AS ({_QLD}),
+_RM1 = f"""WITH {INDEX_SQL}, {_KNOWN}, s AS ({_QLD}),
 fb AS (SELECT qid, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS k FROM s) WHERE k <= 5),
 pq AS (SELECT qid, doc_id, exp(score - max(score) OVER (PARTITION BY qid)) AS u FROM fb),
 wq AS (SELECT qid, doc_id, u / sum(u) OVER (PARTITION BY qid) AS pq FROM pq),
 g AS (SELECT qid, sum(pq * {MU} / (dl + {MU})) AS g FROM wq JOIN lens USING (doc_id) GROUP BY 1),
 seen AS (SELECT qid, term, sum(pq * tf / (dl + {MU})) AS s FROM wq JOIN postings USING (doc_id) JOIN lens USING (doc_id) GROUP BY ALL),
-rm AS (SELECT qid, term, s + g * cf / coll_len AS p FROM seen JOIN terms USING (term) JOIN g USING (qid), coll)
-SELECT qid, term, {rs('p')} AS p, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(p, 9) DESC, term) AS k FROM rm) WHERE k <= 10""")
+rm AS (SELECT qid, term, s + g * cf / coll_len AS p FROM seen JOIN terms USING (term) JOIN g USING (qid), coll),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(p, 9) DESC, term) AS k FROM rm)"""
+
+
+@book.query(_RM1 + f" SELECT qid, term, {rs('p')} AS p, k AS rank FROM ranked WHERE k <= 10")
 def relevance_model_terms(spark, d):
     index, queries = _index(spark, d), _queries(spark, d)
     feedback = L.ql_rank(index, queries, 5, "dirichlet", MU)
@@ -144,7 +147,12 @@ def relevance_model_terms(spark, d):
     return model.select("qid", "term", r("p").alias("p"), n("rank").alias("rank"))
 
 
-@book.query()
+_RM3 = _RM1 + """, model AS (SELECT qid, term, sum(p) AS qtf FROM (
+  SELECT qid, term, 0.5 * qtf / sum(qtf) OVER (PARTITION BY qid) AS p FROM qt UNION ALL SELECT qid, term, 0.5 * p FROM ranked WHERE k <= 10) GROUP BY ALL),
+known3 AS (SELECT qid, term, qtf, cf / coll_len AS pc FROM model JOIN terms USING (term), coll), hit3 AS (SELECT DISTINCT qid, doc_id FROM known3 JOIN postings USING (term)) """
+
+
+@book.query(_RM3 + ranked_sql(_QLD.replace("hitdocs", "hit3").replace("JOIN known k", "JOIN known3 k"), 10))
 def expanded_query_topk(spark, d):
     index, queries = _index(spark, d), _queries(spark, d)
     feedback = L.ql_rank(index, queries, 5, "dirichlet", MU)
