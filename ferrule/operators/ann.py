@@ -209,6 +209,65 @@ def probe(queries: DataFrame, cells: DataFrame, book: np.ndarray, nprobe: int, k
     return top_k(pairs.select("qid", "doc_id", (-squared_distance("qv", "vec")).alias("score")), k).join(scanned, "qid")
 
 
+# Codes of residuals inside cells.
+def residual_variance(vectors: DataFrame, book: np.ndarray) -> dict[str, float]:
+    """Total variance of the vectors and of what their cells' codewords leave of them."""
+
+    def run(batches):
+        n, s = 0, np.zeros((4, book.shape[1]))
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0))
+                rest = x - book[nearest_codes(x, book)[0]]
+                n += len(x)
+                s += np.stack([x.sum(0), (x * x).sum(0), rest.sum(0), (rest * rest).sum(0)])
+        yield pa.RecordBatch.from_pydict({"n": [n], "s": [s.ravel().tolist()]})
+
+    rows = vectors.select(F.col("vec").cast("array<double>").alias("v")).mapInArrow(run, "n bigint, s array<double>").collect()
+    n, s = sum(r["n"] for r in rows), sum(np.array(r["s"]) for r in rows).reshape(4, -1) / max(1, sum(r["n"] for r in rows))
+    return {"n": n, "raw": float((s[1] - s[0] ** 2).sum()), "residual": float((s[3] - s[2] ** 2).sum())}
+
+
+def residual_codes(vectors: DataFrame, book: np.ndarray, books: list[np.ndarray]) -> DataFrame:
+    """(doc_id, cell, codes): product codes of each vector's residual from its own cell's codeword."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(1))
+                cell = nearest_codes(x, book)[0]
+                codes = product_codes(x - book[cell], books)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int64()), pa.array(codes.tolist(), pa.list_(pa.int32()))], names=["doc_id", "cell", "codes"])
+
+    return vectors.select("doc_id", F.col("vec").cast("array<double>").alias("v")).mapInArrow(run, "doc_id bigint, cell bigint, codes array<int>")
+
+
+def residual_search(queries: DataFrame, coded: DataFrame, book: np.ndarray, books: list[np.ndarray], nprobe: int, k: int = 10) -> DataFrame:
+    """Nearest codes of the residuals in each query's nprobe nearest cells: queries and codes meet by cell.
+
+    A query brings to each probed cell the distances of its residual there to
+    all codewords, so a code costs one look-up a subspace.
+    """
+    tables = pa.schema([("qid", pa.int64()), ("cell", pa.int64()), ("table", pa.list_(pa.float64()))])
+    m, k_star = len(books), len(books[0])
+
+    def probes(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, x, out = batch.column(0).to_pylist(), _matrix(batch.column(1)), []
+            d = ((x[:, None, :] - book[None, :, :]) ** 2).sum(axis=2)
+            near = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :nprobe]
+            for i, qid in enumerate(ids):
+                out += [(qid, int(c), distance_table(x[i] - book[c], books).ravel().tolist()) for c in near[i]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(zip(*out, strict=True), tables, strict=True)], schema=tables)
+
+    asked = queries.select("qid", F.col("vec").cast("array<double>").alias("v")).mapInArrow(probes, "qid bigint, cell bigint, table array<double>")
+    pairs = asked.join(coded, "cell").where("qid <> doc_id")
+    distance = sum((F.col("table")[F.lit(j * k_star) + F.col("codes")[j]] for j in range(1, m)), F.col("table")[F.col("codes")[0]])
+    return top_k(pairs.select("qid", "doc_id", (-distance).alias("score")), k)
+
+
 # Hashing.
 def hyperplanes(d: int, bits: int, seed: int = 0) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(bits, d))

@@ -64,6 +64,41 @@ def stage_retention(found: DataFrame, truth: DataFrame, k: int = 10) -> DataFram
     return size.join(hit, "qid", "left").agg(F.avg(F.least(F.coalesce("h", F.lit(0)), F.lit(k)) / F.least("n", F.lit(k))).alias("retention"))
 
 
+def pool_recall(ranking: DataFrame, gold: DataFrame, depths: list[int]) -> DataFrame:
+    """(depth, recall): share of queries whose gold document is in the first ``depth``: what a perfect reranker of that pool can reach."""
+    place = gold.select("qid", "doc_id").join(ranking.select("qid", "doc_id", "rank"), ["qid", "doc_id"], "left")
+    grid = F.explode(F.array(*[F.lit(int(x)) for x in depths])).alias("depth")
+    return place.select("qid", "rank", grid).groupBy("depth").agg(F.avg(F.coalesce(F.col("rank") <= F.col("depth"), F.lit(False)).cast("double")).alias("recall"))
+
+
+def rerank_outcomes(ranking: DataFrame, rescored: DataFrame, gold: DataFrame, depth: int) -> DataFrame:
+    """(fixed, kept, broke, missed, lift): queries whose first place a reranking of the first ``depth`` mends, keeps, spoils or misses.
+
+    ``rescored`` (qid, doc_id, score) has the new scores; lift is fixed less broke over all queries.
+    """
+    pool = ranking.where(F.col("rank") <= depth).select("qid", "doc_id").join(rescored.select("qid", "doc_id", "score"), ["qid", "doc_id"])
+    after = top_k(pool.select("qid", "doc_id", "score"), 1).select("qid", F.col("doc_id").alias("after"))
+    before = ranking.where("rank = 1").select("qid", F.col("doc_id").alias("before"))
+    each = gold.select("qid", "doc_id").join(before, "qid").join(after, "qid", "left").select((F.col("before") == F.col("doc_id")).alias("b"), F.coalesce(F.col("after") == F.col("doc_id"), F.lit(False)).alias("a"))
+    counts = each.agg(*[F.count_if(c).alias(x) for x, c in (("fixed", F.expr("not b and a")), ("kept", F.expr("b and a")), ("broke", F.expr("b and not a")), ("missed", F.expr("not b and not a")))], F.count("*").alias("n"))
+    return counts.select("fixed", "kept", "broke", "missed", ((F.col("fixed") - F.col("broke")) / F.col("n")).alias("lift"))
+
+
+def tombstone_scans(ranking: DataFrame, shares: list[float], k: int = 10, seed: int = 0) -> DataFrame:
+    """(share, scanned, predicted): places read until k live documents are found when a share of all is dead, and k / (1 - share).
+
+    Documents are dead by dice.mixed of their id; queries that find fewer than k live ones in their ranking don't count.
+    """
+    from ..functions.dice import PRIME, mixed
+
+    if any(not 0 <= s < 1 for s in shares):
+        raise ValueError("shares must be in [0, 1)")
+    rows = ranking.select("qid", "doc_id", "rank", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
+    live = rows.where(mixed("doc_id", F.lit(seed)) >= F.ceil(F.col("share") * PRIME))
+    kth = top_k(live.withColumn("score", -F.col("rank").cast("double")).drop("rank"), k, ["qid", "share"]).where(F.col("rank") == k)
+    return kth.groupBy("share").agg(F.avg(-F.col("score")).alias("scanned")).withColumn("predicted", k / (1 - F.col("share")))
+
+
 def dependent_cascade(r1: float, r2: float, rho: float, n: int = 40_000, seed: int = 0) -> dict[str, float]:
     """Joint retention of two stages whose failures correlate, by a Gaussian copula; and the independent product."""
     rng = np.random.default_rng(seed)

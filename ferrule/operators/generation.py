@@ -102,3 +102,15 @@ def expected_costs(scored: DataFrame, thresholds: list[float], c_err: float, c_a
     t = scored.select("score", "correct", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("t"))
     emit = F.col("score") >= F.col("t")
     return t.groupBy("t").agg(F.avg(F.when(~emit, float(c_abs)).when(F.col("correct") == 0, float(c_err)).otherwise(0.0)).alias("cost"), F.avg(emit.cast("double")).alias("emitted"))
+
+
+def wrong_answers(scored: DataFrame, grid: list[float]) -> DataFrame:
+    """(lambda, loss, risk, n): share of all answers that are given and wrong (falls with the threshold), and of those given."""
+    t = scored.select("score", "correct", F.explode(F.array(*[F.lit(float(x)) for x in grid])).alias("lambda"))
+    given, wrong = F.col("score") >= F.col("lambda"), F.col("correct") == 0
+    return t.groupBy("lambda").agg((F.count_if(given & wrong) / F.count("*")).alias("loss"), F.coalesce(F.try_divide(F.count_if(given & wrong), F.count_if(given)), F.lit(0.0)).alias("risk"), F.count("*").alias("n"))
+
+
+def selective_threshold(scored: DataFrame, grid: list[float], alpha: float) -> DataFrame:
+    """(lambda): the smallest score from which answers may be given so that wrong ones stay within alpha of all."""
+    return risk_control(wrong_answers(scored, grid), alpha)

@@ -80,6 +80,28 @@ def erasure_sweep(posteriors: DataFrame, priors: DataFrame, gold: DataFrame, rec
     return x.groupBy("recall").agg(mixed("h1", "h0").alias("entropy"), mixed("e1", "e0").alias("error"))
 
 
+def belief_error(belief: Column) -> Column:
+    """Chance that the likeliest answer of a belief is wrong by the belief itself: an aggregate over its probabilities."""
+    return 1 - F.max(belief)
+
+
+def substitution_sweep(posteriors: DataFrame, gold: DataFrame, distractors: DataFrame, answers: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, realised, believed, entropy): with that probability the gold document is replaced by a distractor.
+
+    ``answers`` (qid, a) has the true answers. realised is the error against
+    them, believed the error the belief admits; their gap is confident error.
+    """
+
+    def read(documents):
+        own = posteriors.join(documents, ["qid", "doc_id"])
+        best = own.groupBy("qid").agg(F.min_by("a", F.struct(-F.round("p", 9), F.col("a"))).alias("said"), belief_error(F.col("p")).alias("believed"), F.sum(entropy_of(F.col("p"))).alias("entropy"))
+        return best.join(answers, "qid").select("qid", (F.col("said") != F.col("a")).cast("double").alias("realised"), "believed", "entropy")
+
+    names = ("realised", "believed", "entropy")
+    both = read(gold).join(read(distractors).select("qid", *[F.col(c).alias(f"{c}_d") for c in names]), "qid").withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+    return both.groupBy("share").agg(*[F.avg((1 - F.col("share")) * F.col(c) + F.col("share") * F.col(f"{c}_d")).alias(c) for c in names])
+
+
 def attention_mixture(ranked: DataFrame, k: int, tau: float) -> DataFrame:
     """(qid, pos-wise mixture): attention-weighted mean vector of a query's first k documents (qid, doc_id, score, rank, dvec)."""
     own = ranked.where(F.col("rank") <= k).withColumn("w", softmax(F.col("score"), "qid", tau))

@@ -95,6 +95,38 @@ def asymmetric_code_topk(spark, d):
     return ranked(A.code_search(vector_queries(spark, d), A.encode(vectors(spark, d), books), books))
 
 
+#: The residuals' books are the differences of the first vectors from the first one, in the same parts.
+_RES = _ASSIGN + ", " + ", ".join(
+    f"""r{j} AS (SELECT doc_id, cell, code{j}, rb FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(d, 9), code{j}) AS k FROM (
+      SELECT c.doc_id, c.cell, y.vec_id AS code{j}, rb, list_sum(list_transform(list_zip(x, rb), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM (
+        SELECT cells.doc_id, cells.cell, list_transform(list_zip(e.embedding::DOUBLE[], b.embedding::DOUBLE[])[{a}:{z}], lambda z: z[1] - z[2]) AS x FROM cells JOIN embeddings e ON e.vec_id = cells.doc_id JOIN embeddings b ON b.vec_id = cells.cell) c,
+        (SELECT e.vec_id, list_transform(list_zip(e.embedding::DOUBLE[], o.embedding::DOUBLE[])[{a}:{z}], lambda z: z[1] - z[2]) AS rb FROM embeddings e JOIN embeddings o ON o.vec_id = 0 WHERE e.vec_id < {K}) y)) WHERE k = 1)"""
+    for j, (a, z) in enumerate(_PARTS)
+) + f""", qcell AS (SELECT doc_id AS qid, cell FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(d, 9), cell) AS k FROM dist WHERE doc_id % 20 = 0) WHERE k <= 4),
+qres AS (SELECT qid, cell, list_transform(list_zip(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: z[1] - z[2]) AS x FROM qcell JOIN embeddings q ON q.vec_id = qid JOIN embeddings b ON b.vec_id = cell) """
+_RESD = " + ".join(f"list_sum(list_transform(list_zip(x[{a}:{z}], r{j}.rb), lambda z: (z[1] - z[2]) * (z[1] - z[2])))" for j, (a, z) in enumerate(_PARTS))
+
+
+def _residual_books(spark, d):
+    whole = _book(spark, d)
+    return [whole[:, p] - whole[0, p] for p in A.subspaces(whole.shape[1], _M)]
+
+
+@book.query(_RES + ranked_sql(f"SELECT qid, r0.doc_id, -({_RESD}) AS score FROM qres JOIN r0 USING (cell) JOIN r1 USING (doc_id) JOIN r2 USING (doc_id) JOIN r3 USING (doc_id) WHERE r0.doc_id <> qid", 10))
+def residual_code_topk(spark, d):
+    """Cells of the first vectors, codes of the residuals in them, four cells probed."""
+    book_, books = _book(spark, d), _residual_books(spark, d)
+    coded = A.residual_codes(vectors(spark, d).select("doc_id", "vec"), book_, books)
+    return ranked(A.residual_search(vector_queries(spark, d), coded, book_, books, 4, 10))
+
+
+@book.query(_ASSIGN + f""", u AS (SELECT generate_subscripts(e.embedding, 1) AS i, unnest(e.embedding)::DOUBLE AS x, unnest(e.embedding)::DOUBLE - unnest(b.embedding)::DOUBLE AS y FROM cells JOIN embeddings e ON e.vec_id = doc_id JOIN embeddings b ON b.vec_id = cell)
+SELECT {rs('sum(vx)')} AS raw, {rs('sum(vy)')} AS residual FROM (SELECT var_pop(x) AS vx, var_pop(y) AS vy FROM u GROUP BY i)""")
+def residual_variance(spark, d):
+    v = A.residual_variance(vectors(spark, d), _book(spark, d))
+    return spark.createDataFrame([(round(v["raw"], 6), round(v["residual"], 6))], "raw double, residual double")
+
+
 @book.query()
 def code_search_recall(spark, d):
     """Recall of asymmetric and symmetric search with trained codebooks, plain and after a balancing rotation."""

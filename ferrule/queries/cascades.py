@@ -72,6 +72,36 @@ def token_cascade_topk(spark, d):
     return ranked(C.token_cascade(q, c, centroids, nprobe=2, keep=60, k=10))
 
 
+_GOLD = "gold AS (SELECT qid, doc_id FROM run WHERE leg = 'full' AND rank = 1), st AS (SELECT * FROM run WHERE leg = 'head')"
+
+
+def _gold(every):
+    return every.where("leg = 'full' AND rank = 1").select("qid", "doc_id")
+
+
+@book.query(f"WITH {RUN_SQL}, {_GOLD} SELECT depth::INT AS depth, {rs('avg(coalesce(rank <= depth, false)::INT)')} AS recall FROM gold LEFT JOIN st USING (qid, doc_id), (SELECT unnest([1, 5, 10, 50]) AS depth) GROUP BY 1")
+def pool_recall(spark, d):
+    """How often the whole vectors' nearest is in the first leg's pool."""
+    every = run(spark, d)
+    return C.pool_recall(every.where("leg = 'head'"), _gold(every), [1, 5, 10, 50]).select("depth", r("recall").alias("recall"))
+
+
+@book.query(f"""WITH {RUN_SQL}, {_GOLD}, pool AS (SELECT st.qid, st.doc_id, t.score FROM st JOIN run t ON t.leg = 'tail' AND t.qid = st.qid AND t.doc_id = st.doc_id WHERE st.rank <= 10),
+after AS (SELECT qid, doc_id AS a FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS k FROM pool) WHERE k = 1),
+o AS (SELECT st.doc_id = g.doc_id AS b, coalesce(a = g.doc_id, false) AS a FROM gold g JOIN st ON st.qid = g.qid AND st.rank = 1 LEFT JOIN after ON after.qid = g.qid)
+SELECT count_if(NOT b AND a)::BIGINT AS fixed, count_if(b AND a)::BIGINT AS kept, count_if(b AND NOT a)::BIGINT AS broke, count_if(NOT b AND NOT a)::BIGINT AS missed, {rs('(count_if(NOT b AND a)::BIGINT - count_if(b AND NOT a)::BIGINT) / count(*)')} AS lift FROM o""")
+def rerank_outcomes(spark, d):
+    """The first leg's ten nearest ranked again by the third leg."""
+    every = run(spark, d)
+    return C.rerank_outcomes(every.where("leg = 'head'"), every.where("leg = 'tail'"), _gold(every), 10).select("fixed", "kept", "broke", "missed", r("lift").alias("lift"))
+
+
+@book.query(f"""WITH {RUN_SQL}, l AS (SELECT share, qid, rank, row_number() OVER (PARTITION BY share, qid ORDER BY rank) AS k FROM run, (VALUES (0.0::DOUBLE), (0.2::DOUBLE), (0.4::DOUBLE)) v(share) WHERE leg = 'full' AND {mixed_sql('doc_id', '0')} >= ceil(share * {PRIME}))
+SELECT share, {rs('avg(rank)')} AS scanned, {rs('10 / (1 - share)')} AS predicted FROM l WHERE k = 10 GROUP BY 1""")
+def tombstone_scans(spark, d):
+    return C.tombstone_scans(run(spark, d).where("leg = 'full'"), [0.0, 0.2, 0.4], 10).select("share", r("scanned").alias("scanned"), r("predicted").alias("predicted"))
+
+
 _KEPT = " UNION ALL ".join(f"SELECT '{leg}' AS leg, {depth}::BIGINT AS depth, {rs('avg(least(h, 10) / 10)')} AS retention FROM (SELECT t.qid, count(f.doc_id) AS h FROM (SELECT * FROM run WHERE leg = 'full' AND rank <= 10) t LEFT JOIN run f ON f.qid = t.qid AND f.doc_id = t.doc_id AND f.leg = '{leg}' AND f.rank <= {depth} GROUP BY 1)" for leg in ("head", "tail") for depth in (10, 20, 50))
 
 

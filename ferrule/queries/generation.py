@@ -99,3 +99,13 @@ def abstention_costs(spark, d):
 def chow_decisions(spark, d):
     """Answer where the confidence is at least 1 - c_abs / c_err."""
     return G.answers(claims(spark, d)).select("qid", n(F.col("score") >= chow_threshold(5.0, 1.0)).alias("emit"))
+
+
+@book.query(_ANSWERS + f" SELECT l AS lambda, {rs('count_if(score >= l AND correct = 0) / count(*)')} AS loss, {rs('coalesce(count_if(score >= l AND correct = 0) / nullif(count_if(score >= l), 0), 0)')} AS risk, count(*) AS n FROM a, {_GRID} GROUP BY l")
+def wrong_answers(spark, d):
+    return G.wrong_answers(G.answers(claims(spark, d)), GRID).select("lambda", r("loss").alias("loss"), r("risk").alias("risk"), "n")
+
+
+@book.query(_ANSWERS + f", t AS (SELECT l, count_if(score >= l AND correct = 0) / count(*) AS loss, count(*)::DOUBLE AS n FROM a, {_GRID} GROUP BY l) SELECT coalesce(min(CASE WHEN n / (n + 1) * loss + 1 / (n + 1) <= 0.2 THEN l END), max(l)) AS lambda FROM t")
+def selective_threshold(spark, d):
+    return G.selective_threshold(G.answers(claims(spark, d)), GRID, 0.2)

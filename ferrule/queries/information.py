@@ -36,6 +36,22 @@ def retrieval_distribution(spark, d):
     return I.retrieval_distribution(knn(q, c, 10, "cosine"), TAU_DOC).select("qid", "doc_id", r("pd").alias("pd"))
 
 
+@book.query(_BASE + f""", pick AS (SELECT qid, min(CASE WHEN label_d = label_q THEN rank END) AS g, min(CASE WHEN label_d <> label_q THEN rank END) AS x FROM (SELECT t.*, q.label AS label_q, e.label AS label_d FROM top t JOIN embeddings q ON q.vec_id = t.qid JOIN embeddings e ON e.vec_id = t.doc_id) GROUP BY 1),
+both2 AS (SELECT qid, g AS rank, 0 AS side FROM pick WHERE g IS NOT NULL AND x IS NOT NULL UNION ALL SELECT qid, x, 1 FROM pick WHERE g IS NOT NULL AND x IS NOT NULL),
+b AS (SELECT b.qid, side, first(post.a ORDER BY round(p, 9) DESC, post.a) AS said, 1 - max(p) AS believed, sum(-p * log2(p)) AS entropy FROM both2 b JOIN top t ON t.qid = b.qid AND t.rank = b.rank JOIN post ON post.qid = t.qid AND post.doc_id = t.doc_id GROUP BY ALL),
+m AS (SELECT b.qid, side, (said <> q.label)::INT AS realised, believed, entropy FROM b JOIN embeddings q ON q.vec_id = b.qid)
+SELECT share, """ + ", ".join(f"{rs(f'avg((1 - share) * x.{c} + share * y.{c})')} AS {c}" for c in ("realised", "believed", "entropy")) + " FROM m x JOIN m y ON x.qid = y.qid AND x.side = 0 AND y.side = 1, (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) v(share) GROUP BY 1")
+def substituted_readings(spark, d):
+    """A query's nearest document of its own label, replaced by its nearest of another with growing probability."""
+    top, _, posteriors, _, _ = _parts(spark, d)
+    labels = vectors(spark, d).select("doc_id", "label")
+    own = vector_queries(spark, d).select("qid", F.col("qlabel").alias("a"))
+    near = top.join(labels, "doc_id").join(own, "qid")
+    pick = lambda same: near.where(F.col("label") == F.col("a") if same else F.col("label") != F.col("a")).groupBy("qid").agg(F.min_by("doc_id", "rank").alias("doc_id"))
+    out = I.substitution_sweep(posteriors, pick(True), pick(False), own, [0.0, 0.25, 0.5, 1.0])
+    return out.select("share", *[r(c).alias(c) for c in ("realised", "believed", "entropy")])
+
+
 @book.query(_BASE + f"SELECT qid, a::BIGINT AS a, {rs('prior')} AS prior FROM prior")
 def answer_prior(spark, d):
     return _parts(spark, d)[3].select("qid", n("a").alias("a"), r("prior").alias("prior"))

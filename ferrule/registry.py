@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import agreement, ann, cascades, dense, evaluation, fusion, generation, graphs, information, learning, lexical, relational
+from .queries import agreement, ann, cascades, dense, evaluation, fusion, generation, graphs, information, learning, lexical, principle, relational
 
-MODULES = (lexical, dense, fusion, evaluation, agreement, generation, information, learning, ann, graphs, cascades, relational)
+MODULES = (lexical, dense, fusion, evaluation, agreement, generation, information, learning, ann, graphs, cascades, relational, principle)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:
