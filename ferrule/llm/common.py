@@ -21,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that
-    is unset (a local test session) a temporary folder is made and set.
+    It is what the cluster names in ``spark.checkpoint.dir``. Where that is
+    unset, a session of one machine gets a temporary folder; on a cluster this
+    is an error, since executors would not see each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ferrule-cut-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -76,6 +79,60 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+#: Most rows that are sent to every task.
+MOST_BROADCAST = 200_000
+
+
+def distinct_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with one row an id (rows without an id go), and (doc_id, chosen) of the ids held by several rows.
+
+    Of such an id the text with the smallest hash is the document: rows with
+    this text repeat it, rows with another are no part of it. None is returned
+    where no id is held twice; then nothing is joined.
+    """
+    rows = id_and_text(docs).where("doc_id is not null")
+    twice = cut(rows.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("chosen"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    n = twice.count()
+    if not n:
+        return rows, None
+    marked = rows.join(F.broadcast(twice) if n <= MOST_BROADCAST else twice, "doc_id", "left")
+    one = marked.where(F.xxhash64("text") == F.col("chosen")).dropDuplicates(["doc_id"])
+    return marked.where("chosen is null").unionByName(one).select("doc_id", "text"), twice
+
+
+def with_ranges(docs: DataFrame, ranges: DataFrame, twice: DataFrame | None) -> DataFrame:
+    """``docs`` with the column of ``ranges`` (doc_id, one column); null for rows that are no part of their id's document."""
+    found = docs.join(ranges, "doc_id", "left")
+    if twice is None:
+        return found
+    (name,) = (c for c in ranges.columns if c != "doc_id")
+    chosen = twice.select("doc_id", F.struct("chosen").alias("_chosen"))
+    marked = found.join(F.broadcast(chosen) if twice.count() <= MOST_BROADCAST else chosen, "doc_id", "left")
+    own = F.col("_chosen").isNull() | (F.xxhash64(F.col("text").cast("string")) == F.col("_chosen.chosen"))
+    return marked.withColumn(name, F.when(own, F.col(name))).drop("_chosen")
+
+
+def join_dealt(left: DataFrame, right: DataFrame, on: list[str], spread: list[str]) -> DataFrame:
+    """``left`` joined to the keys of ``right``, hot keys dealt to several tasks.
+
+    ``right`` (written before, one row a key) has in ``n`` how many rows of
+    ``left`` hold the key. A key with more than a quarter of a task's share of
+    them all (1 in 1024 with few tasks) is dealt in parts by a hash of
+    ``spread``, and its row of ``right`` is repeated for each part. There are
+    fewer such keys than four a task, whatever the input, so they go to
+    every task; without one the join is a plain one. ``n`` goes.
+    """
+    share = max(1024, 4 * int(right.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = right.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    limit = int(total["n"]) // share + 1
+    if total["most"] <= limit:
+        return left.join(right.drop("n"), on)
+    hot = F.broadcast(right.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("_parts")))
+    dealt = left.join(hot, on, "left").withColumn("_part", F.expr(f"if(_parts is null, 0, cast(pmod(xxhash64({', '.join(spread)}), _parts) as int))")).drop("_parts")
+    copied = right.drop("n").join(hot, on, "left").withColumn("_part", F.explode(F.expr("sequence(0, coalesce(_parts, 1) - 1)"))).drop("_parts")
+    return dealt.join(copied, [*on, "_part"]).drop("_part")
+
+
 def arrow_rows(schema: pa.Schema, rows: Iterable[tuple], size: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Record batches of bounded length out of row tuples."""
     held: list[tuple] = []

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_dealt
 
 BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -72,20 +72,20 @@ class Resolved(NamedTuple):
 def resolve(spans: DataFrame, seen: DataFrame, place: Column, done: Callable[[], None] = lambda: None) -> Resolved:
     """Settle spans whose whole content occurs at an earlier place.
 
-    ``spans``: doc_id, key, digest, first, last. ``seen`` (key) are the keys that
-    occur at several places. ``place`` orders occurrences (a struct or the id).
+    ``spans``: doc_id, key, digest, first, last. ``seen`` (key, n) are the keys that
+    occur at several places and how often. ``place`` orders occurrences (a struct or the id).
     ``done`` is called when spans are read no more. Counts are combined before
     every shuffle, so a passage that a third of all documents share costs one row
-    a task. What rows are joined with is written first: then both sides of a join
-    are dealt for the join alone, and adaptive execution can split a hot key.
+    a task; rows are joined to hot keys in parts.
     """
-    shared = cut(spans.join(cut(seen), "key"))
+    where = ["doc_id", "first"]
+    shared = cut(join_dealt(spans, cut(seen.select("key", "n")), ["key"], where))
     done()
-    first = cut(shared.groupBy("key", "digest").agg(F.min(place).alias("origin")))
-    several = cut(first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    placed = shared.join(first, ["key", "digest"])
+    first = cut(shared.groupBy("key", "digest").agg(F.min(place).alias("origin"), F.count("*").alias("n")))
+    several = cut(first.groupBy("key").agg(F.count("*").alias("digests"), F.sum("n").alias("n")).where("digests > 1").select("key", "n"))
+    placed = join_dealt(shared, first, ["key", "digest"], where)
     settled = placed.where(place > F.col("origin")).select("doc_id", "first", "last")
-    left = placed.where(place == F.col("origin")).select("doc_id", "key", "first", "last").join(several, "key")
+    left = join_dealt(placed.where(place == F.col("origin")).select("doc_id", "key", "first", "last"), several, ["key"], where)
     return Resolved(settled, left)
 
 

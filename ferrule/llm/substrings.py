@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField
 
-from .common import add_columns, arrow_rows, cut, discard, each, id_and_text
+from .common import add_columns, arrow_rows, cut, discard, distinct_documents, each, id_and_text, join_dealt, with_ranges
 from .repeats import Rolling, by_document, covered, mix, resolve, signed, sliding
 
 ROUNDS = 3
@@ -127,13 +127,13 @@ def _open_windows(docs: DataFrame, ranges: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, first, last): starts of windows whose words also start in a document with a smaller id."""
+    """(doc_id, first, last): starts of windows whose words also start in a document with a smaller id. ``docs`` has one row an id."""
     spans = cut(window_spans(docs, window))
-    seen = spans.groupBy("key").agg((F.min("doc_id") < F.max("doc_id")).alias("several")).where("several").select("key")
+    seen = spans.groupBy("key").agg((F.min("doc_id") < F.max("doc_id")).alias("several"), F.count("*").alias("n")).where("several")
     found = resolve(spans, seen, F.col("doc_id"), lambda: discard(spans))
     windows = cut(_open_windows(docs, found.open, window))
-    origin = cut(windows.groupBy("a", "b").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("most")).where("origin < most").drop("most"))
-    late = windows.join(origin, ["a", "b"]).where("doc_id > origin").select("doc_id", F.col("at").alias("first"), F.col("at").alias("last"))
+    origin = cut(windows.groupBy("a", "b").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("origin < most").drop("most"))
+    late = join_dealt(windows, origin, ["a", "b"], ["doc_id", "at"]).where("doc_id > origin").select("doc_id", F.col("at").alias("first"), F.col("at").alias("last"))
     return found.settled.unionByName(late)
 
 
@@ -143,10 +143,12 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A word is removed if a window of ``window`` words that covers it also
     starts in a document with a smaller id. kept_text joins the kept words by
     one space. Null texts have no words; repeated rows of one document are the
-    same document and all keep the same words; rows with a null doc_id are
-    kept whole and remove nothing.
+    same document and all keep the same words; of an id with different texts
+    the one with the smallest hash is the document, and the others, like rows
+    with a null doc_id, are kept whole and remove nothing.
     """
-    ranges = by_document(repeated_ranges(docs, window), "ranges")
+    unique, twice = distinct_documents(docs)
+    ranges = by_document(repeated_ranges(unique, window), "ranges")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def run(batches):
@@ -161,8 +163,7 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         return arrow_rows(schema, rows(), 500)
 
-    return id_and_text(docs).join(ranges, "doc_id", "left").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
-
+    return with_ranges(id_and_text(docs), ranges, twice).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
 
@@ -170,8 +171,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """All rows and columns of ``docs``, repeated words cut out of text and white space elsewhere as it was.
 
     A document all of whose words go is left out; one that had no word stays.
+    Null and repeated ids as in dedup_words.
     """
-    ranges = by_document(repeated_ranges(docs, window), "repeated_ranges")
+    unique, twice = distinct_documents(docs)
+    ranges = by_document(repeated_ranges(unique, window), "repeated_ranges")
     pieces = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
     def work(texts, found):
@@ -187,6 +190,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out.append(text)
         return [out]
 
-    marked = docs.drop("repeated_ranges").join(ranges, "doc_id", "left")
+    marked = with_ranges(docs.drop("repeated_ranges"), ranges, twice)
     out = add_columns(marked, ["text", "repeated_ranges"], [StructField("text", StringType())], [pa.string()], work)
     return out.where("text is not null or repeated_ranges is null").select(docs.columns)

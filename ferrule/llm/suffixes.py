@@ -4,9 +4,15 @@ A window is ``window`` consecutive bytes of one document. Its key is the leftmos
 smallest digest among its byte n-grams: it depends on the window's bytes alone,
 so equal windows have equal keys, and windows of different keys never need to be
 compared. Consecutive windows owned by one occurrence of an n-gram make a span.
-Spans whose bytes occur as a whole at an earlier place are pre-aggregated (they
-are the same string); all other spans whose key occurs several times bring their
-bytes to a shard chosen by the key.
+Spans whose bytes occur as a whole at an earlier place are pre-aggregated by key
+and XXH64 of their bytes; all other spans whose key occurs several times bring
+their bytes to a shard chosen by the key.
+
+A key is hot if a short passage stands in very many surroundings. All windows that
+have its n-gram within some range of offsets also share the bytes around it, so a
+hot key's spans are cut at ranges of offsets and get longer keys, at last whole
+windows: the work stays linear in the number of spans, and no pair of them is
+looked at.
 
 A shard builds a suffix array by Larsson-Sadakane refinement (only groups that
 are still tied are sorted again, by the rank ``h`` bytes further on) and Kasai's
@@ -18,19 +24,24 @@ of one side's strings in the other side's suffix array.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, each, id_and_text
+from .common import arrow_rows, cut, distinct_documents, each, id_and_text, join_dealt, with_ranges
 from .repeats import Rolling, by_document, covered, mix, resolve, runs, sliding
 
 WINDOW, GRAM = 100, 24
 #: Windows that are looked at together in a very long document.
 CHUNK = 1 << 20
 #: Bytes a shard holds on average, and bytes of one key from which it is dealt to several shards.
-SPREAD_BYTES, SHARD_BYTES = 1 << 20, 4 << 20
+SPREAD_BYTES, SHARD_BYTES = 1 << 20, 1 << 20
+#: Bytes of one key from which it is hot, and the widths of the ranges of offsets its spans are cut at in turn.
+HOT_BYTES, OFFSETS = 8 << 20, (10, 1)
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -38,8 +49,11 @@ def text_bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def owners(data: np.ndarray, window: int = WINDOW, gram: int = GRAM):
-    """Of one document, chunk by chunk: its place, rolling digests, n-gram digests, first and last windows and owners of its spans."""
+_SPANS = pa.schema([(c, pa.int64()) for c in ("doc_id", "key", "digest")] + [("first", pa.int32()), ("last", pa.int32())])
+
+
+def owners(data: np.ndarray, window: int = WINDOW, gram: int = GRAM, with_owner: bool = False):
+    """Of one document, chunk by chunk: its place and bytes, n-gram digests, first and last windows and owners of its spans."""
     for at in range(0, len(data) - window + 1, CHUNK):
         part = data[at : at + CHUNK + window - 1]
         rolling = Rolling(_BYTE_VALUES[part])
@@ -48,7 +62,14 @@ def owners(data: np.ndarray, window: int = WINDOW, gram: int = GRAM):
         packed = (grams & np.uint64(0xFFFFFFFFFF000000)) | start.astype(np.uint64)
         owner = (sliding(packed, window - gram + 1, np.minimum) & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
-        yield at, rolling, grams[owner[first]], first, np.concatenate([first[1:] - 1, [len(owner) - 1]])
+        made = at, part, grams[owner[first]], first, np.concatenate([first[1:] - 1, [len(owner) - 1]])
+        yield (*made, owner[first]) if with_owner else made
+
+
+def _digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """XXH64 of slices of the data, as signed numbers."""
+    body, digest = data.tobytes(), xxhash.xxh64_intdigest
+    return np.fromiter((digest(body[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(start)).view(np.int64)
 
 
 def _batches(docs: DataFrame, schema: pa.Schema, window: int, columns) -> DataFrame:
@@ -75,18 +96,52 @@ def _batches(docs: DataFrame, schema: pa.Schema, window: int, columns) -> DataFr
 
 def document_keys(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(key) of every span of all documents. No shuffle."""
-    return _batches(docs, pa.schema([("key", pa.int64())]), window, lambda doc_id, at, rolling, key, first, last: (key.view(np.int64),))
+    return _batches(docs, pa.schema([("key", pa.int64())]), window, lambda doc_id, at, part, key, first, last: (key.view(np.int64),))
 
 
 def document_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, key, digest, first, last) of every span of all documents. No shuffle."""
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "key", "digest")] + [("first", pa.int32()), ("last", pa.int32())])
 
-    def columns(doc_id, at, rolling, key, first, last):
-        digest = rolling.slices(first, last + window)
-        return np.full(len(key), doc_id, np.int64), key.view(np.int64), digest.view(np.int64), (first + at).astype(np.int32), (last + at).astype(np.int32)
+    def columns(doc_id, at, part, key, first, last):
+        return np.full(len(key), doc_id, np.int64), key.view(np.int64), _digests(part, first, last + window), (first + at).astype(np.int32), (last + at).astype(np.int32)
+
+    return _batches(docs, _SPANS, window, columns)
+
+
+def longer_spans(docs: DataFrame, spans: DataFrame, width: int, window: int = WINDOW) -> DataFrame:
+    """(doc_id, key, digest, first, last): the spans cut where the offset of their n-gram enters another range of ``width``.
+
+    The new key is of the bytes that all windows with an offset in the range
+    share: all but ``width`` - 1 of a window's. It depends on a window's bytes alone.
+    """
+    found = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    digest = xxhash.xxh64_intdigest
+
+    def run(batches):
+        def rows():
+            for doc_id, text, own in each(batches, 64):
+                data = text_bytes(text)
+                for r in own:
+                    body = data[r["first"] : r["last"] + window]
+                    raw = body.tobytes()
+                    for at, _, _, first, last, owner in owners(body, window, with_owner=True):
+                        for a, z, gram in zip((first + at).tolist(), (last + at).tolist(), (owner + at).tolist(), strict=True):
+                            # the offset falls as the window moves right
+                            while a <= z:
+                                part = (gram - a) // width
+                                low, high = part * width, min((part + 1) * width, window - GRAM + 1)
+                                end = min(z, gram - low)
+                                key = digest(raw[gram - low : gram + window + 1 - high], part)
+                                yield doc_id, _signed(key), _signed(digest(raw[a : end + window])), r["first"] + a, r["first"] + end
+                                a = end + 1
+
+        return arrow_rows(_SPANS, rows(), 50_000)
 
-    return _batches(docs, schema, window, columns)
+    return id_and_text(docs).join(found, "doc_id").mapInArrow(run, "doc_id bigint, key bigint, digest bigint, first int, last int")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -262,12 +317,26 @@ def shard_repeats(bodies: DataFrame, window: int = WINDOW, shard_bytes: int = SH
     return dealt.groupBy("alone", "shard", "x", "y").applyInArrow(run, "doc_id bigint, first int, last int")
 
 
-def repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, first, last): starts of windows whose bytes also start at an earlier place."""
-    seen = document_keys(docs, window).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    found = resolve(document_spans(docs, window), seen, F.struct("doc_id", "first"))
-    bodies = cut(_bodies(docs, found.open, window))
-    return found.settled.unionByName(shard_repeats(bodies, window))
+def _several(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def repeated_bytes(docs: DataFrame, window: int = WINDOW, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """(doc_id, first, last): starts of windows whose bytes also start at an earlier place. ``docs`` has one row an id."""
+    place = F.struct("doc_id", "first")
+    found = resolve(document_spans(docs, window), _several(document_keys(docs, window)), place)
+    settled, cold, left = found.settled, [], cut(found.open)
+    for width in OFFSETS:
+        sizes = cut(left.groupBy("key").agg(F.sum(F.col("last") - F.col("first") + window).alias("bytes"), F.count("*").alias("n")))
+        if sizes.where(F.col("bytes") > hot_bytes).isEmpty():
+            break
+        sized = join_dealt(left, sizes, ["key"], ["doc_id", "first"])
+        cold.append(sized.where(F.col("bytes") <= hot_bytes).drop("bytes"))
+        longer = cut(longer_spans(docs, sized.where(F.col("bytes") > hot_bytes), width, window))
+        found = resolve(longer, _several(longer), place)
+        settled, left = settled.unionByName(found.settled), cut(found.open)
+    bodies = cut(_bodies(docs, reduce(DataFrame.unionByName, cold, left), window))
+    return settled.unionByName(shard_repeats(bodies, window))
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -276,12 +345,15 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A byte is removed if a window that covers it also starts earlier: in a
     document with a smaller id, or further left in the same document. n_spans
     counts maximal removed runs. Null texts have no bytes. Rows that repeat a
-    doc_id are the same document and all keep the same bytes; rows with a null
-    doc_id are kept whole and remove nothing. An empty table stays empty.
+    doc_id and its text are the same document and all keep the same bytes; of an
+    id with different texts the one with the smallest hash is the document,
+    and the others, like rows with a null doc_id, are kept whole and remove
+    nothing. An empty table stays empty.
     """
     if window <= GRAM:
         raise ValueError("windows must be longer than the n-grams of their keys")
-    ranges = by_document(repeated_bytes(docs, window), "ranges")
+    unique, twice = distinct_documents(docs)
+    ranges = by_document(repeated_bytes(unique, window), "ranges")
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [("kept", pa.binary())])
 
     def run(batches):
@@ -297,4 +369,4 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         return arrow_rows(schema, rows(), 500)
 
-    return id_and_text(docs).join(ranges, "doc_id", "left").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return with_ranges(id_and_text(docs), ranges, twice).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

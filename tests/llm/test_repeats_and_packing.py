@@ -6,6 +6,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -106,6 +108,64 @@ def test_byte_windows_edges(spark, monkeypatch):
     assert got == brute_bytes(rows)
 
 
+@pytest.mark.parametrize("hot_bytes", [0, 2000])
+def test_hot_keys_get_longer_keys(spark, rows, hot_bytes, monkeypatch):
+    whole = suffixes.repeated_bytes
+    monkeypatch.setattr(suffixes, "repeated_bytes", lambda docs, window: whole(docs, window, hot_bytes))
+    got = suffixes.dedup_bytes(widened(spark, rows)).collect()
+    expected = brute_bytes(rows)
+    for r in got:
+        assert (*tuple(r)[1:4], bytes(r["kept"])) == expected[r["doc_id"]], r["doc_id"]
+
+
+def test_repeated_and_conflicting_ids(spark):
+    rng = random.Random(3)
+    line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = line(170)
+    t, u, v = (line(90) + passage + line(90) for _ in range(3))
+    rows = [(1, t), (1, t), (2, u), (3, v), (4, line(300)), (4, u), (None, t)]
+    got = suffixes.dedup_bytes(widened(spark, rows)).collect()
+    alone = brute_bytes([(1, t), (2, u), (3, v)])
+    assert alone[1][1] == 0 < alone[2][1]
+    assert sorted(r["n_removed"] for r in got if r["doc_id"] in (1, None)) == [0, 0, 0] and len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] in (1, 2, 3):
+            assert (*tuple(r)[1:4], bytes(r["kept"])) == alone[r["doc_id"]]
+    # of the two texts of 4 the one with the smallest hash is the document
+    hashed = {xxhash.xxh64_intdigest(x, 42) - ((xxhash.xxh64_intdigest(x, 42) >> 63) << 64): x for x in (rows[4][1].encode(), u.encode())}
+    assert (hashed[min(hashed)] == u.encode()) == any(r["n_removed"] for r in got if r["doc_id"] == 4)
+
+    words = " ".join(map(str, range(60)))
+    rows = [(1, "a " + words), (1, "a " + words), (2, "b " + words + " c"), (2, "other text"), (3, words + " d")]
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.dedup_words(widened(spark, rows)).collect()))
+    chosen = min(("b " + words + " c", "other text"), key=lambda x: (xxhash.xxh64_intdigest(x, 42) + (1 << 63)) % (1 << 64))
+    assert got == [(1, 61, 0), (1, 61, 0), (2, 2, 0), (2, 62, 60 if chosen != "other text" else 0), (3, 61, 60)]
+    kept = [r["text"] for r in substrings.without_repeats(widened(spark, rows)).collect()]
+    assert sorted(kept) == sorted(["a " + words, "a " + words, "other text", "b c" if chosen != "other text" else "b " + words + " c", "d"])
+
+
+def test_shards_of_one_key_are_merged(spark, monkeypatch):
+    rng = random.Random(8)
+    body = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    line = " this line of text stands in all documents, and in each among others "
+    texts = [body(90) + line + body(90) for _ in range(9000)]
+    texts += [texts[i][20:-20] + "!" for i in rng.sample(range(9000), 300)]
+    rows = list(enumerate(texts))
+    parts = []
+    whole = suffixes.shard_repeats
+
+    def counted(bodies, window):
+        parts.append(bodies.groupBy("key").agg(F.sum(F.length("body")).alias("n")).where(F.col("n") > suffixes.SHARD_BYTES).count())
+        return whole(bodies, window)
+
+    monkeypatch.setattr(suffixes, "shard_repeats", counted)
+    got = suffixes.dedup_bytes(spark.createDataFrame(rows, DOCS)).collect()
+    assert parts[0] > 0
+    expected = brute_bytes(rows)
+    for r in got:
+        assert (*tuple(r)[1:4], bytes(r["kept"])) == expected[r["doc_id"]], r["doc_id"]
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(0)
     for alphabet, n in ((2, 300), (1, 50), (26, 500), (2, 1)):
