@@ -25,7 +25,10 @@ SEED = 42
 
 
 def shingle_hashes(text: str | None, words: int) -> list[int]:
-    """Hashes of all runs of ``words`` words, of the whole of a shorter text; none for a text without words or a null."""
+    """Hashes of all runs of ``words`` words, of the whole of a shorter text; none for a text without words or a null.
+
+    The list grows with the text: some 40 bytes a word.
+    """
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return []
@@ -41,7 +44,7 @@ def shingle_hashes(text: str | None, words: int) -> list[int]:
 def of_hashes(hashes: list[int]) -> int:
     """64-bit SimHash of hashes; 0 for none."""
     total, sums = len(hashes), np.zeros(64, np.int64)
-    for at in range(0, total, 65_536):  # bounded memory on very long texts
+    for at in range(0, total, 65_536):  # bounded memory for the bits
         block = np.array(hashes[at : at + 65_536], dtype=">u8")
         sums += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(sums * 2 > total).tobytes(), "big")
@@ -78,7 +81,9 @@ def ball_links(points: DataFrame, radius: int = 2) -> DataFrame:
     half = (radius + 1) // 2
     masks = sorted({sum(1 << b for b in bits) for n in range(half + 1) for bits in combinations(range(64), n)})
     signed = ",".join(f"{m - (1 << 64) if m >> 63 else m}L" if m != 1 << 63 else "shiftleft(1L, 63)" for m in masks)
-    variants = points.select("rep", "fingerprint", F.explode(F.expr(f"array({signed})")).alias("mask")).select(F.struct("rep", "fingerprint").alias("p"), F.expr("fingerprint ^ mask").alias("variant"))
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = points.select("rep", "fingerprint").repartition(tasks, "fingerprint")  # few small files hold many fingerprints
+    variants = dealt.select("rep", "fingerprint", F.explode(F.expr(f"array({signed})")).alias("mask")).select(F.struct("rep", "fingerprint").alias("p"), F.expr("fingerprint ^ mask").alias("variant"))
     met = variants.groupBy("variant").agg(F.sort_array(F.collect_set("p")).alias("ps")).where(F.size("ps") > 1)
     if radius % 2:  # members of one bucket may be radius + 1 apart: look at all pairs of the bounded bucket
         stars = met.select(F.explode("ps").alias("a"), "ps").select("a", F.explode("ps").alias("b")).where("a.rep < b.rep")
