@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.common import cut, table
 from ferrule.llm.langid import UNKNOWN, annotate_languages, learn_profiles, training_rows
-from ferrule.llm.minhash import shingle_near_duplicates
+from ferrule.llm.minhash import shingle_near_duplicates, text_hash
 from ferrule.llm.packing import pack_documents
 from ferrule.llm.queries import tokenizer
 from ferrule.llm.secrets import redact, scan_secrets
@@ -33,12 +33,21 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, likeness of 0.8 and more) the document with the smallest id stays; rows without an id stay."""
+    """Of each group of near-duplicates (five-word shingles, likeness of 0.8 and more) one row stays, that of the smallest id.
+
+    Rows are told apart by id and text, so of an id with several texts only the
+    texts that are copies go; of rows with the same id and text one stays. Rows
+    without an id stay.
+    """
     groups = shingle_near_duplicates(docs, least=0.8, radius=2, words=5)
-    copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti")
-    single = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return single.unionByName(kept.where("doc_id is null")).select(docs.columns)
+    copies = groups.where("not kept").select("doc_id", F.col("text_hash").alias("_text_hash")).distinct()
+    kept = docs.withColumn("_text_hash", text_hash()).join(copies, ["doc_id", "_text_hash"], "left_anti")
+    same = ["doc_id", "_text_hash"]
+    repeated = cut(kept.where("doc_id is not null").groupBy(same).count().where("count > 1").select(same))
+    if repeated.isEmpty():
+        return kept.select(docs.columns)
+    one = kept.join(repeated, same, "left_semi").groupBy(same).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(repeated, same, "left_anti").select(docs.columns).unionByName(one)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
