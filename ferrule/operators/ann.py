@@ -209,6 +209,40 @@ def probe(queries: DataFrame, cells: DataFrame, book: np.ndarray, nprobe: int, k
     return top_k(pairs.select("qid", "doc_id", (-squared_distance("qv", "vec")).alias("score")), k).join(scanned, "qid")
 
 
+# Pivots and the triangle inequality.
+def inspected_share(queries: DataFrame, corpus: DataFrame, pivots: np.ndarray, skip_self: bool = True) -> DataFrame:
+    """(qid, share): candidates that no pivot rules out for the exact nearest neighbour.
+
+    A candidate x goes if |d(q, p) - d(p, x)| exceeds the nearest distance for some
+    pivot p. Distances to the pivots are worked out once a vector, and a task
+    keeps two numbers a query.
+    """
+    from .dense import knn
+
+    radius = {r["qid"]: float(np.sqrt(max(0.0, -r["score"]))) for r in knn(queries, corpus, 1, "euclidean", skip_self).collect()} if queries.count() <= MOST_QUERIES else None
+    if radius is None:
+        raise ValueError(f"at most {MOST_QUERIES} queries at once")
+    away = lambda x: np.sqrt(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+
+    def search(rows):
+        asked = [(qid, away(q[None, :])[0], radius[qid]) for qid, q in rows if qid in radius]
+
+        def run(batches):
+            kept, seen = np.zeros(len(asked)), np.zeros(len(asked))
+            for batch in batches:
+                if batch.num_rows:
+                    ids, far = batch.column(0).to_numpy(), away(_matrix(batch.column(1)))
+                    for i, (qid, own, r) in enumerate(asked):
+                        other = (ids != qid) | (not skip_self)
+                        kept[i] += (other & (np.round(np.abs(far - own), 9) <= round(r, 9)).all(axis=1)).sum()
+                        seen[i] += other.sum()
+            yield pa.RecordBatch.from_pydict({"qid": pa.array([a[0] for a in asked], pa.int64()), "kept": kept, "seen": seen})
+
+        return corpus.select("doc_id", F.col("vec").cast("array<double>").alias("v")).mapInArrow(run, "qid bigint, kept double, seen double")
+
+    return in_blocks(queries, search).groupBy("qid").agg((F.sum("kept") / F.sum("seen")).alias("share"))
+
+
 # Codes of residuals inside cells.
 def residual_variance(vectors: DataFrame, book: np.ndarray) -> dict[str, float]:
     """Total variance of the vectors and of what their cells' codewords leave of them."""

@@ -176,12 +176,42 @@ def bootstrap_se(samples: DataFrame, value: str, draws: int = 2000, seed: int =
 
 
 def paired_bootstrap(differences: DataFrame, draws: int = 2000, seed: int = 0) -> dict[str, float]:
-    """Mean difference, percentile interval and two-sided p: twice the smaller share of resampled means on one side of zero."""
+    """Mean difference, its resampled standard error and interval, and a two-sided p: how often resampled means, centred on none, lie as far out."""
     rows = differences.where("d is not null")
     mean = rows.agg(F.avg("d")).first()[0]
-    means = bootstrap_means(rows, "d", draws, seed)
-    s = means.agg(F.percentile("m", [0.025, 0.975]).alias("q"), F.avg((F.col("m") <= 0).cast("double")).alias("low"), F.avg((F.col("m") >= 0).cast("double")).alias("high")).first()
-    return {"mean": mean, "low": s["q"][0], "high": s["q"][1], "p": min(1.0, 2 * min(s["low"], s["high"]))}
+    if mean is None:
+        return {"mean": 0.0, "se": 0.0, "low": 0.0, "high": 0.0, "p": 1.0}
+    far = F.abs(F.col("m") - mean) >= abs(mean) - 1e-12
+    s = bootstrap_means(rows, "d", draws, seed).agg(F.percentile("m", [0.025, 0.975]).alias("q"), F.stddev_samp("m").alias("se"), F.count_if(far).alias("far")).first()
+    return {"mean": mean, "se": s["se"], "low": s["q"][0], "high": s["q"][1], "p": (s["far"] + 1) / (draws + 1)}
+
+
+def decay(samples: DataFrame, value: str, before: str, after: str) -> dict[str, float | bool]:
+    """What an unpaired and a paired look at two runs of the same queries say.
+
+    overlap: whether the two means' 95 % intervals overlap (an aggregate monitor
+    stays quiet); p: of the paired t-test; shift: the mean difference; gap: the
+    largest distance of the two distribution functions.
+    """
+    s = {r["leg"]: r for r in summary(samples.where(F.col("leg").isin(before, after)), value).collect()}
+    a, b = s[before], s[after]
+    t = paired_t(paired_differences(samples, value, after, before))
+    both = samples.where(F.col("leg").isin(before, after)).select(F.when(F.col("leg") == before, "ref").otherwise("cur").alias("g"), F.col(value).alias("x"))
+    return {"overlap": a["low"] <= b["high"] and b["low"] <= a["high"], "p": t["p"], "shift": t["mean"], "gap": ks_gap(both).first()["gap"]}
+
+
+def swap_bias(shown: DataFrame) -> dict[str, float]:
+    """Position bias from the same items judged first and last (qid, early, late): mean difference, paired t and sign-flip p."""
+    d = shown.select("qid", (F.col("early") - F.col("late")).alias("d"))
+    t = paired_t(d)
+    return {"bias": t["mean"], "t": t["t"], "t_p": t["p"], "n": t["n"]}
+
+
+def distribution_function(samples: DataFrame, x: str = "x") -> DataFrame:
+    """(x, share): at each distinct value the share of rows at or below it, summed in ranges."""
+    by = samples.groupBy(x).agg(F.count("*").alias("n"))
+    total = by.agg(F.sum("n").alias("total"))
+    return running_sums(by, x, {"up": "n"}).crossJoin(F.broadcast(total)).select(x, (F.col("up") / F.col("total")).alias("share"))
 
 
 def adjusted_p(tests: DataFrame, p: str = "p", by: str = "test") -> DataFrame:

@@ -77,6 +77,77 @@ def label_spread(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFra
     return now
 
 
+def local_moves(edges: DataFrame, labels: DataFrame, gamma: float = 1.0, rounds: int = 6, within: DataFrame | None = None) -> DataFrame:
+    """(node, label): rounds in which every second node (by hash) goes to the community around it of the largest modularity gain.
+
+    A node that gains nothing stays, equal gains go to the smaller label. With
+    ``within`` (node, label) communities are refined instead: a node moves only
+    inside its label there, only while it is alone, and only next to nodes that
+    do not move in this round, so refined communities stay connected.
+    """
+    links = both_ways(edges.where("src <> dst"))
+    if within is not None:
+        side = lambda c, name: within.select(F.col("node").alias(c), F.col("label").alias(name))
+        links = links.join(side("src", "_a"), "src").join(side("dst", "_b"), "dst").where("_a = _b").drop("_a", "_b")
+    links, strength = written(links), written(degrees(edges).select("node", "strength"))
+    two_m = 2 * (edges.agg(F.sum("w")).first()[0] or 0.0)
+    now, still = written(labels.select("node", "label")), 0
+    for step in range(2 * rounds):
+        turn = lambda c: F.pmod(F.xxhash64(c, F.lit(step // 2)), F.lit(2)) == step % 2  # noqa: B023, E731
+        own = now.join(strength, "node", "left").fillna(0.0, ["strength"])
+        total = own.groupBy("label").agg(F.sum("strength").alias("total"), F.count("*").alias("size"))
+        near = links.where(~turn("dst")) if within is not None else links
+        around = near.where(turn("src")).join(now.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.sum("w").alias("k"))
+        stay = own.where(turn("node")).select("node", "label", F.lit(0.0).alias("k"))
+        options = around.unionByName(stay).groupBy("node", "label").agg(F.sum("k").alias("k"))
+        judged = options.join(own.select("node", F.col("label").alias("own"), "strength"), "node").join(total, "label")
+        if within is not None:
+            alone = own.join(total.where("size = 1").select("label"), "label", "left_semi").select("node")
+            judged = judged.join(alone, "node", "left_semi")
+        rest = F.col("total") - F.when(F.col("label") == F.col("own"), F.col("strength")).otherwise(0.0)
+        gain = F.round(F.col("k") - gamma * F.col("strength") * rest / two_m, 9)
+        best = judged.groupBy("node").agg(F.min_by("label", F.struct((-gain).alias("g"), (F.col("label") != F.col("own")).alias("moves"), F.col("label"))).alias("best"))
+        new = written(now.join(best, "node", "left").select("node", F.coalesce("best", "label").alias("label"), F.col("label").alias("before")))
+        still = 0 if new.where("label <> before").limit(1).count() else still + 1
+        now = new.select("node", "label")
+        if still == 2:
+            break
+    return now
+
+
+def communities(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, refined: bool = True, levels: int = 10) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """(node, label), and of each level the number of communities and the modularity.
+
+    Every level moves nodes, makes its communities the nodes of a smaller graph and
+    goes on there until modularity no longer rises. ``refined``
+    aggregates by communities refined inside the moved ones, which start the
+    next level together, and in the end cuts every community in its connected
+    pieces.
+    """
+    whole = written(nodes.select("node", F.col("node").alias("label")))  # of each node of the graph, its node on this level
+    graph, start, history = written(edges), None, []
+    best, found = -1.0, whole
+    for _ in range(levels):
+        own = written(whole.select(F.col("label").alias("node")).distinct())
+        first = own.select("node", F.col("node").alias("label")) if start is None else start
+        moved = local_moves(graph, first, gamma)
+        named = written(whole.withColumnRenamed("label", "at").join(moved.withColumnRenamed("node", "at"), "at").select("node", "label"))
+        q = modularity(edges, named, gamma).first()[0] or 0.0
+        if q <= best + 1e-9:
+            break
+        best, found = q, named
+        history.append((named.select("label").distinct().count(), q))
+        parts = moved if not refined else local_moves(graph, own.select("node", F.col("node").alias("label")), gamma, within=moved)
+        start = None if not refined else written(parts.withColumnRenamed("label", "part").join(moved, "node").groupBy(F.col("part").alias("node")).agg(F.min("label").alias("label")))
+        graph = written(aggregate_graph(graph, parts))
+        whole = written(whole.withColumnRenamed("label", "at").join(parts.withColumnRenamed("node", "at"), "at").select("node", "label"))
+    if refined:
+        side = lambda c, name: found.select(F.col("node").alias(c), F.col("label").alias(name))
+        inside = edges.join(side("src", "_a"), "src").join(side("dst", "_b"), "dst").where("_a = _b").select("src", "dst", "w")
+        found = components(nodes, inside).withColumnRenamed("component", "label")
+    return found, history
+
+
 # Small graphs on the driver or inside one group: adjacency matrices.
 def dense_modularity(a: np.ndarray, labels: np.ndarray, gamma: float = 1.0) -> float:
     two_m, k = a.sum(), a.sum(axis=1)
@@ -210,6 +281,13 @@ def gap_dissimilarity(sentences: DataFrame, window: int = 3) -> DataFrame:
     return s.where("aa is not null").select("doc_id", "pos", F.when((F.col("aa") < 1e-24) | (F.col("bb") < 1e-24), 1.0).otherwise(1 - F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("gap"))
 
 
+def fixed_boundaries(sentences: DataFrame, k: int) -> DataFrame:
+    """(doc_id, pos): where k pieces of about equal length begin, the first left out; texts of fewer than k sentences have none."""
+    size = sentences.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    at = F.explode(F.array(*[F.bround(F.col("n") * i / F.lit(float(k))).cast("bigint") for i in range(1, k)])) if k > 1 else None
+    return size.select("doc_id", at.alias("pos")) if k > 1 else size.select("doc_id", F.col("n").alias("pos")).limit(0)
+
+
 def greedy_boundaries(sentences: DataFrame, k: int, window: int = 3) -> DataFrame:
     """(doc_id, pos): the k - 1 highest gaps of each document."""
     r = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc(F.round("gap", 9)), "pos"))

@@ -123,6 +123,39 @@ def permutation_loss(rows: DataFrame, score: Column) -> DataFrame:
     return x.withColumn("l", rest - F.col("s")).groupBy("qid").agg(F.sum("l").alias("loss"))
 
 
+def fit_listwise(rows: DataFrame, d: int, kind: str = "permutation", rounds: int = 30, rate: float = 0.5, ridge: float = 1e-3) -> list[float]:
+    """Gradient steps on the listwise losses: ``permutation`` (by grade) or ``top_one`` (of the gains).
+
+    Either gradient is a sum of a number a row times its features: the
+    softmax share a row has of what is left at each place, less what it should have.
+    """
+    w, n = np.zeros(d), max(1, rows.select("qid").distinct().count())
+    order = W.partitionBy("qid").orderBy(F.desc("grade"), "doc_id")
+    for _ in range(rounds):
+        s = rows.withColumn("s", linear(w.tolist()))
+        if kind == "top_one":
+            pull = s.select("x", (softmax(F.col("s"), "qid") - softmax(F.pow(F.lit(2.0), F.col("grade")) - 1, "qid")).alias("g"))
+        elif kind == "permutation":
+            e = s.withColumn("e", F.exp(F.col("s") - F.max("s").over(W.partitionBy("qid"))))
+            left = e.withColumn("left", F.sum("e").over(order.rowsBetween(0, W.unboundedFollowing)))
+            pull = left.select("x", (F.col("e") * F.sum(1 / F.col("left")).over(order.rowsBetween(W.unboundedPreceding, 0)) - 1).alias("g"))
+        else:
+            raise ValueError(f"unknown kind {kind}")
+        w = w - rate * (_vector_sum(pull, F.col("g"), "x") / n + ridge * w)
+    return w.tolist()
+
+
+def fit_pointwise(rows: DataFrame, d: int, ridge: float = 1e-3) -> list[float]:
+    """Weights and intercept (last) of the grades' least-squares fit, from one pass of sums."""
+    wide = rows.select(F.concat(F.col("x"), F.array(F.lit(1.0))).alias("x"), F.col("grade").cast("double").alias("y"))
+    b = _vector_sum(wide, F.col("y"), "x")
+    outer = wide.select("x", F.posexplode("x").alias("i", "u")).select("i", "u", F.posexplode("x").alias("j", "v")).groupBy("i", "j").agg(F.sum(F.col("u") * F.col("v")).alias("s"))
+    a = ridge * np.eye(d + 1)
+    for r in outer.collect():
+        a[r["i"], r["j"]] += r["s"]
+    return np.linalg.solve(a, b).tolist()
+
+
 def margin_error(scored: DataFrame) -> DataFrame:
     """(qid, loss): squared error of all score margins between a student s and a teacher t, from sums alone.
 

@@ -127,6 +127,14 @@ def residual_variance(spark, d):
     return spark.createDataFrame([(round(v["raw"], 6), round(v["residual"], 6))], "raw double, residual double")
 
 
+@book.query(f"""WITH pv AS (SELECT vec_id AS p, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 4), q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
+r AS (SELECT qid, min(list_distance(q.v, e.embedding::DOUBLE[])) AS r FROM q JOIN embeddings e ON e.vec_id <> qid GROUP BY 1), dq AS (SELECT qid, p, list_distance(q.v, pv.v) AS dq FROM q, pv), dx AS (SELECT vec_id, p, list_distance(embedding::DOUBLE[], pv.v) AS dx FROM embeddings, pv),
+k AS (SELECT qid, vec_id, bool_and(round(abs(dq - dx), 9) <= round(r, 9)) AS kept FROM dq JOIN dx USING (p) JOIN r USING (qid) WHERE vec_id <> qid GROUP BY ALL) SELECT qid, {rs('avg(kept::INT)')} AS share FROM k GROUP BY 1""")
+def inspected_share(spark, d):
+    """Candidates that the first four vectors as pivots leave for an exact nearest-neighbour search."""
+    return A.inspected_share(vector_queries(spark, d).select("qid", "vec"), vectors(spark, d).select("doc_id", "vec"), _book(spark, d)[:4]).select("qid", r("share").alias("share"))
+
+
 @book.query()
 def code_search_recall(spark, d):
     """Recall of asymmetric and symmetric search with trained codebooks, plain and after a balancing rotation."""

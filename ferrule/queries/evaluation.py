@@ -121,14 +121,14 @@ _WEIGHT = "(" + " + ".join(f"(u >= {x!r})::INT" for x in E.POISSON) + ")"
 
 @book.query(_APD + f"""w AS (SELECT test, draw, d, {_WEIGHT} AS w FROM (SELECT test, draw, d, {mixed_sql('qid', 'draw')} / {PRIME}.0::DOUBLE AS u FROM d, range(500) t(draw))),
 m AS (SELECT test, draw, sum(w * d) / sum(w) AS m FROM w GROUP BY ALL HAVING sum(w) > 0)
-SELECT test, {rs('quantile_cont(m, 0.025)')} AS low, {rs('quantile_cont(m, 0.975)')} AS high, {rs('least(1, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT)))')} AS p FROM m GROUP BY 1""")
+SELECT test, {rs('stddev_samp(m)')} AS se, {rs('quantile_cont(m, 0.025)')} AS low, {rs('quantile_cont(m, 0.975)')} AS high, {rs('(count_if(abs(m - o) >= abs(o) - 1e-12) + 1) / 501')} AS p FROM m JOIN (SELECT test, avg(d) AS o FROM d GROUP BY 1) USING (test) GROUP BY 1""")
 def paired_bootstrap(spark, d):
     ap = written(E.average_precision(run(spark, d), graded(spark, d)))
     rows = []
     for a, b in (("full", "head"), ("full", "tail"), ("head", "tail")):
         s = E.paired_bootstrap(E.paired_differences(ap, "ap", a, b), 500)
-        rows.append((f"{a}-{b}", *(round(float(s[k]), 6) for k in ("low", "high", "p"))))
-    return spark.createDataFrame(rows, "test string, low double, high double, p double")
+        rows.append((f"{a}-{b}", *(round(float(s[k]), 6) for k in ("se", "low", "high", "p"))))
+    return spark.createDataFrame(rows, "test string, se double, low double, high double, p double")
 
 
 @book.query(_RUN + _AP + f""", w AS (SELECT leg, draw, ap, {_WEIGHT} AS w FROM (SELECT leg, draw, ap, {mixed_sql('qid', 'draw')} / {PRIME}.0::DOUBLE AS u FROM ap, range(500) t(draw)))
@@ -205,6 +205,33 @@ def distribution_gap(spark, d):
     return E.ks_gap(_samples(spark, d)).select(r("gap").alias("gap"), "at")
 
 
+@book.query(f"WITH {_SAMPLES} SELECT x, {rs('share')} AS share FROM (SELECT x, sum(n) OVER (ORDER BY x) / sum(n) OVER () AS share FROM (SELECT x, count(*) AS n FROM s WHERE g = 'cur' GROUP BY 1))")
+def distribution_function(spark, d):
+    return E.distribution_function(_samples(spark, d).where("g = 'cur'")).select("x", r("share").alias("share"))
+
+
+@book.query(_RUN + _AP + f""", m AS (SELECT leg, avg(ap) AS m, 1.96 * stddev_samp(ap) / sqrt(count(*)) AS h FROM ap WHERE leg IN ('full', 'tail') GROUP BY 1),
+x AS (SELECT ap AS x, count_if(leg = 'full') AS a, count_if(leg = 'tail') AS b FROM ap GROUP BY 1), g AS (SELECT abs(sum(a) OVER (ORDER BY x) / sum(a) OVER () - sum(b) OVER (ORDER BY x) / sum(b) OVER ()) AS gap FROM x)
+SELECT (a.m - a.h <= b.m + b.h AND b.m - b.h <= a.m + a.h) AS overlap, {rs('b.m - a.m')} AS shift, {rs('(SELECT max(gap) FROM g)')} AS gap FROM m a, m b WHERE a.leg = 'full' AND b.leg = 'tail'""")
+def silent_decay(spark, d):
+    """The third leg as a decayed version of the first: what intervals and distribution functions see."""
+    s = E.decay(written(E.average_precision(run(spark, d), graded(spark, d))), "ap", "full", "tail")
+    return spark.createDataFrame([(bool(s["overlap"]), round(s["shift"], 6), round(s["gap"], 6))], "overlap boolean, shift double, gap double")
+
+
+_LOGIT = "ln(p / (1 - p))"
+
+
+@book.query("WITH " + CLAIMS_SQL + f""", j AS (SELECT 1 / (1 + exp(-({_LOGIT} + 0.3))) - 1 / (1 + exp(-({_LOGIT} - 0.3))) AS d FROM claims WHERE p > 0 AND p < 1)
+SELECT {rs('avg(d)')} AS bias, {rs('avg(d) / (stddev_samp(d) / sqrt(count(*)))')} AS t, count(*) AS n FROM j""")
+def swap_bias(spark, d):
+    """A judge whose log-odds rise by 0.3 for what is shown first and fall by as much for what is shown last."""
+    c = claims(spark, d).where("p > 0 and p < 1")
+    at = lambda shift: 1 / (1 + F.exp(-(F.log(F.col("p") / (1 - F.col("p"))) + shift)))
+    s = E.swap_bias(c.select("qid", at(0.3).alias("early"), at(-0.3).alias("late")))
+    return spark.createDataFrame([(round(s["bias"], 6), round(s["t"], 6), s["n"])], "bias double, t double, n long")
+
+
 _XBIN = _BIN.replace("(p >=", "(x >=")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fusion as X
 from ..plans.ranking import top_k
-from .base import RUN_SQL, Book, n, r, ranked, ranked_sql, rs, run
+from .base import RUN_DEPTH, RUN_SQL, Book, n, r, ranked, ranked_sql, rs, run
 
 book = Book()
 _RUN = f"WITH {RUN_SQL} "
@@ -53,17 +53,17 @@ def rank_discordance(spark, d):
     return X.discordant_pairs(run(spark, d), "full", "head")
 
 
-@book.query(_RUN + """, t AS (SELECT * FROM run WHERE rank <= 5), docs AS (SELECT DISTINCT qid, doc_id AS b FROM t)
+@book.query(_RUN + """, t AS (SELECT * FROM run), docs AS (SELECT DISTINCT qid, doc_id AS b FROM t)
 SELECT x.qid, x.doc_id AS a, docs.b, count(*) AS wins FROM t x JOIN docs ON docs.qid = x.qid AND docs.b <> x.doc_id LEFT JOIN t y ON y.qid = x.qid AND y.leg = x.leg AND y.doc_id = docs.b WHERE y.rank IS NULL OR x.rank < y.rank GROUP BY ALL""")
 def pairwise_majority(spark, d):
-    return X.majority(run(spark, d).where("rank <= 5")).select("qid", "a", "b", n("wins").alias("wins"))
+    return X.majority(run(spark, d)).select("qid", "a", "b", n("wins").alias("wins"))
 
 
 @book.query()
 def consensus_orders(spark, d):
-    """Exact consensus of the first two of each leg, footrule and Markov-chain consensus of the first five."""
+    """Footrule and Markov-chain consensus of the whole runs; the exact one, which tries all orders, of the first two of each leg."""
     every = run(spark, d)
-    parts = [X.consensus(every, m, depth).withColumn("method", F.lit(m)) for m, depth in (("kemeny", 2), ("footrule", 5), ("markov", 5))]
+    parts = [X.consensus(every, m, depth).withColumn("method", F.lit(m)) for m, depth in (("kemeny", 2), ("footrule", RUN_DEPTH), ("markov", RUN_DEPTH))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

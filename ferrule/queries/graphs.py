@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import graphs as G
+from ..plans.durable import written
 from ..plans.ranking import numbered
 from .base import RUN_SQL, Book, n, r, rs, run, vectors
 
@@ -59,6 +60,17 @@ def spread_communities(spark, d):
 
 @book.query()
 def community_hierarchy(spark, d):
+    """Communities and modularity of every level of the vectors' graph, with and without refinement."""
+    edges, nodes = written(_edges(spark, d)), vectors(spark, d).select(F.col("doc_id").alias("node"))
+    rows = []
+    for refined in (False, True):
+        _, levels = G.communities(nodes, edges, refined=refined, levels=3)
+        rows += [("refined" if refined else "plain", i, k, round(q, 6)) for i, (k, q) in enumerate(levels)]
+    return spark.createDataFrame(rows, "method string, level int, communities long, q double")
+
+
+@book.query()
+def label_communities(spark, d):
     """Connected communities of the graph of labels (as small as the number of labels)."""
     rows = G.aggregate_graph(_edges(spark, d), _labels(spark, d)).collect()
     names = sorted({x for row in rows for x in (row["src"], row["dst"])})
@@ -93,6 +105,11 @@ def gap_dissimilarity(spark, d):
     return G.gap_dissimilarity(_sentences(spark, d)).select("doc_id", "pos", r("gap").alias("gap"))
 
 
+@book.query(_SENT + "SELECT doc_id::BIGINT AS doc_id, round_even(n * i / 4.0::DOUBLE, 0)::BIGINT AS pos FROM (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), (SELECT unnest([1, 2, 3]) AS i) WHERE n >= 4")
+def fixed_boundaries(spark, d):
+    return G.fixed_boundaries(_sentences(spark, d), 4)
+
+
 @book.query(_GAP + "SELECT doc_id::BIGINT AS doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(gap, 9) DESC, pos) AS k FROM g) WHERE k < 4")
 def greedy_boundaries(spark, d):
     return G.greedy_boundaries(_sentences(spark, d), 4)

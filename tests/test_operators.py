@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import agreement, ann, dense, evaluation, fusion, generation, graphs, information, learning, lexical
+from ferrule.operators import agreement, ann, crossmodal, dense, evaluation, fusion, generation, graphs, information, learning, lexical, principle
 from ferrule.operators import relational as relational_ops
 from ferrule.plans import ranking
 from ferrule.sources import tables
@@ -341,3 +341,112 @@ def test_saved_index_ranks_alike(spark, tmp_path):
     ask = lexical.query_terms(spark.createDataFrame([(1, "beta gamma1"), (2, "gamma2")], "qid long, text string"))
     rows = [sorted((r["qid"], r["doc_id"], round(r["score"], 9)) for r in lexical.bm25_rank(i, ask, 30).collect()) for i in (index, again)]
     assert rows[0] == rows[1] and len(rows[0]) > 20
+
+
+def planted(seed=1, groups=4, size=25, inside=0.4, across=0.02):
+    import random
+
+    rng = random.Random(seed)
+    n = groups * size
+    edges = [(i, j, 1.0) for i in range(n) for j in range(i + 1, n) if rng.random() < (inside if i // size == j // size else across)]
+    return n, size, edges
+
+
+def test_communities_of_a_planted_graph(spark):
+    n, size, edges = planted()
+    nodes, e = spark.range(n).select(F.col("id").alias("node")), spark.createDataFrame(edges, "src long, dst long, w double")
+    truth = graphs.modularity(e, nodes.select("node", F.floor(F.col("node") / size).alias("label"))).first()[0]
+    for refined in (False, True):
+        labels, history = graphs.communities(nodes, e, refined=refined)
+        found = {r["node"]: r["label"] for r in labels.collect()}
+        assert len(found) == n and history == sorted(history, key=lambda h: h[1])
+        shared = np.array([found[i] for i in range(n)])
+        assert graphs.label_overlap(np.arange(n) // size, np.unique(shared, return_inverse=True)[1]) >= 0.95
+        assert graphs.modularity(e, labels).first()[0] >= truth - 0.02
+        if refined:  # every community is connected
+            inside = [(a, b) for a, b, _ in edges if found[a] == found[b]]
+            label = {i: i for i in range(n)}
+            for _ in range(n):
+                for a, b in inside:
+                    label[a] = label[b] = min(label[a], label[b])
+            assert len(set(label.values())) == len(set(found.values()))
+
+
+def test_listwise_and_pointwise_fits(spark):
+    rng = np.random.default_rng(3)
+    rows = [(q, i, rng.normal(size=2).tolist()) for q in range(30) for i in range(6)]
+    rows = [(q, i, x, int(np.clip(round(1.5 + 1.2 * x[0] - 0.4 * x[1]), 0, 3))) for q, i, x in rows]
+    df = spark.createDataFrame(rows, "qid long, doc_id long, x array<double>, grade long").cache()
+    for kind, loss in (("permutation", learning.permutation_loss), ("top_one", learning.top_one_loss)):
+        w = learning.fit_listwise(df, 2, kind)
+        before, after = (loss(df, learning.linear(v)).agg(F.sum("loss")).first()[0] for v in ([0.0, 0.0], w))
+        nudged = min(loss(df, learning.linear([w[0] + a, w[1] + b])).agg(F.sum("loss")).first()[0] for a, b in ((0.3, 0), (-0.3, 0), (0, 0.3), (0, -0.3)))
+        assert after < 0.8 * before and w[0] > 0 > w[1] and nudged > after - 1.0
+    with pytest.raises(ValueError):
+        learning.fit_listwise(df, 2, "other", 1)
+    x, y = np.array([[*r[2], 1.0] for r in rows]), np.array([r[3] for r in rows], float)
+    assert np.allclose(learning.fit_pointwise(df, 2), np.linalg.solve(x.T @ x + 1e-3 * np.eye(3), x.T @ y))
+
+
+def test_as_of_takes_one_row_whole(spark):
+    left = spark.createDataFrame([("a", 5), ("a", 0), ("b", 9)], "k string, t int")
+    right = spark.createDataFrame([("a", 1, 7, 1), ("a", 3, None, 2)], "k string, t int, v int, w int")
+    got = {(r["k"], r["t"]): (r["asof_v"], r["asof_w"]) for r in relational_ops.as_of(left, right, "k", "t", ["v", "w"]).collect()}
+    assert got == {("a", 5): (None, 2), ("a", 0): (None, None), ("b", 9): (None, None)}
+
+
+def test_isotonic_is_exact_and_pooled_in_ranges(spark):
+    rng = np.random.default_rng(5)
+    p = np.round(rng.normal(0, 3, 3000), 6)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-p))).astype(int)
+    t, v = evaluation.isotonic(spark.createDataFrame(list(zip(p.tolist(), y.tolist(), strict=True)), "p double, y int"))
+    blocks = []
+    for s in np.unique(p):
+        blocks.append([s, float(y[p == s].sum()), float((p == s).sum())])
+        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
+            _, b, n = blocks.pop()
+            blocks[-1][1] += b
+            blocks[-1][2] += n
+    assert t == [b[0] for b in blocks] and np.allclose(v, [b[1] / b[2] for b in blocks])
+
+
+def test_paired_bootstrap_and_decay(spark):
+    rng = np.random.default_rng(6)
+    hard = rng.normal(0.5, 0.2, 60)
+    rows = [("then", i, float(x)) for i, x in enumerate(hard)] + [("now", i, float(x - 0.02 + rng.normal(0, 0.005))) for i, x in enumerate(hard)]
+    samples = spark.createDataFrame(rows, "leg string, qid long, v double")
+    seen = evaluation.decay(samples, "v", "then", "now")
+    assert seen["overlap"] and seen["p"] < 1e-6 and abs(seen["shift"] + 0.02) < 0.005 and 0 < seen["gap"] < 0.3
+    d = evaluation.paired_differences(samples, "v", "now", "then")
+    b = evaluation.paired_bootstrap(d, 800)
+    assert b["p"] < 0.01 and b["low"] < seen["shift"] < b["high"] < 0
+    assert evaluation.paired_bootstrap(spark.createDataFrame([], "qid long, d double"))["p"] == 1.0
+
+
+def test_cones_and_shifts(spark):
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(40, 6)) + 2, rng.normal(size=(40, 6))
+    pairs = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y, strict=True))], "pair_id long, x array<double>, y array<double>")
+    gap = crossmodal.gap_vector(pairs)
+    assert np.allclose(gap, (x - y).mean(0))
+    at = {(r["pair_id"], r["side"]): r["vec"] for r in crossmodal.cones(pairs).collect()}
+    both = np.concatenate([x, y]) - np.concatenate([x, y]).mean(0)
+    _, s, _ = np.linalg.svd(both, full_matrices=False)
+    found = np.array([at[i, "x"] for i in range(40)] + [at[i, "y"] for i in range(40)])
+    assert found.shape == (80, 2) and np.allclose(np.sqrt((found**2).sum(0)), s[:2])
+    moved = crossmodal.shifted(pairs.select("pair_id", F.col("y").alias("vec")), gap, 1.0).orderBy("pair_id").collect()
+    assert np.allclose([r["vec"] for r in moved], y + gap)
+
+
+def test_ranking_principle_edges(spark):
+    rows = spark.createDataFrame([(1, 10, 1, 0.2), (1, 11, 2, 0.9), (1, 12, 3, 0.5), (2, 10, 1, 0.5)], "qid long, doc_id long, rank long, p double")
+    assert {r["qid"]: r["inversions"] for r in principle.inversions(rows).collect()} == {1: 2, 2: 0}
+    now = rows
+    for _ in range(3):  # as many steps as there are inversions sort a query
+        now = principle.bubble_step(now)
+    best = principle.by_probability(rows)
+    key = lambda df: {(r["qid"], r["doc_id"]): r["rank"] for r in df.collect()}
+    assert key(now) == key(best)
+    for k in (1, 2, 3):
+        a, b = (principle.expected_relevant(x, k).orderBy("qid").collect()[0]["expected"] for x in (rows, best))
+        assert a <= b + 1e-12
