@@ -60,12 +60,34 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def _check(spec: dict, path: str) -> None:
+    """An error unless the file says what this encoder does: its normaliser, pre-tokens, model flags and decoder are built in."""
+    model, steps = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    normal = [(n.get("type"), n.get("pattern"), n.get("content")) for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    told = {
+        "normalizer": normal == [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)],
+        "pre_tokenizer": len(steps) == 2
+        and steps[0].get("pattern") == {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+        and (steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True)
+        and steps[1].get("type") == "ByteLevel"
+        and not steps[1].get("add_prefix_space")
+        and not steps[1].get("use_regex"),
+        "decoder": spec.get("decoder") is None,
+        "model": model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+        "added_tokens": not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }
+    wrong = [name for name, ok in told.items() if not ok]
+    if wrong:
+        raise ValueError(f"{path}: unsupported {', '.join(wrong)}")
+
+
 class WordBpe:
     """Encoder and decoder over one tokenizers JSON file with word-end BPE."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec, path)
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -82,7 +104,7 @@ class WordBpe:
         self.joined = joined
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.first_added = min((c[:2] for c in self.added), default=None)
+        self.first_added = sorted({c[:2] for c in self.added})
         table = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.tokens = [table.get(i, "") for i in range(max(table) + 1)]
         ids = [self.vocab[c] for c in self.chars], [self.vocab[c + self.end] for c in self.chars]
@@ -211,7 +233,7 @@ class WordBpe:
 
     def _pieces(self, text: str) -> list:
         """Words of a text, and ids of the special tokens spelt out in it."""
-        if self.first_added and self.first_added in text:
+        if any(start in text for start in self.first_added):
             return [self.added[p] if p in self.added else self._plain(p) for p in self.split_added.split(text)]
         return [self._plain(text)]
 

@@ -60,14 +60,20 @@ def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 
 class Profiles:
-    """Profiles of all languages as one sorted code table with ranks."""
+    """Profiles of all languages: for each n-gram of any of them, the languages that have it and its place there.
+
+    Entries are as many as the profiles are long together.
+    """
 
     def __init__(self, by_lang: dict[str, np.ndarray], size: int):
         self.langs, self.size = sorted(by_lang), size
-        self.codes = np.unique(np.concatenate([np.empty(0, np.int64), *by_lang.values()]))
-        self.ranks = np.full((len(self.langs), len(self.codes) + 1), -1, np.int64)
-        for row, lang in zip(self.ranks, self.langs, strict=True):
-            row[np.searchsorted(self.codes, by_lang[lang])] = np.arange(len(by_lang[lang]))
+        code = np.concatenate([np.empty(0, np.int64), *(by_lang[x] for x in self.langs)])
+        lang = np.concatenate([np.empty(0, np.int64), *(np.full(len(by_lang[x]), i) for i, x in enumerate(self.langs))])
+        rank = np.concatenate([np.empty(0, np.int64), *(np.arange(len(by_lang[x])) for x in self.langs)])
+        order = np.lexsort((lang, code))
+        self.codes, begin = np.unique(code[order], return_index=True)
+        self.begin = np.append(begin, len(code))
+        self.lang, self.rank = lang[order], rank[order]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, 1 - normalised distance); ('und', 0) without letters."""
@@ -76,11 +82,12 @@ class Profiles:
             return UNKNOWN, 0.0
         codes = ranked(codes, counts, self.size)
         at = np.searchsorted(self.codes, codes)
-        at[(at == len(self.codes)) | (self.codes[np.minimum(at, len(self.codes) - 1)] != codes)] = len(self.codes)
-        ranks = self.ranks[:, at]
-        away = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(codes))))
-        distance = away.sum(axis=1) / (self.size * len(codes))
-        best = int(np.argmin(distance))
+        place = np.flatnonzero((at < len(self.codes)) & (self.codes[np.minimum(at, len(self.codes) - 1)] == codes))
+        first, n = self.begin[at[place]], self.begin[at[place] + 1] - self.begin[at[place]]
+        entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        saved = self.size - np.abs(self.rank[entry] - np.repeat(place, n))  # a missing n-gram is the profile's length away
+        distance = 1.0 - np.bincount(self.lang[entry], saved, len(self.langs)) / (self.size * len(codes))
+        best = int(np.argmin(distance))  # of equally near ones the first
         return self.langs[best], float(max(0.0, 1.0 - distance[best]))
 
 

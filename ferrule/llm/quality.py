@@ -141,7 +141,10 @@ def fit_lines(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray
     expectations), then looks again at the lines of bad documents: those that the
     evidence calls good become good, but the worst line of a bad document stays bad.
     """
-    x = np.vstack([d for d, _ in documents])
+    x = np.vstack([d for d, _ in documents]).astype(np.uint8)  # all features are 0 or 1
+    parts = range(0, len(x), 1 << 15)
+    times = lambda w: np.concatenate([x[a : a + (1 << 15)].astype(float) @ w for a in parts])
+    summed = lambda r: sum(x[a : a + (1 << 15)].astype(float).T @ r[a : a + (1 << 15)] for a in parts)
     size = np.fromiter((len(d) for d, _ in documents), np.int64, len(documents))
     begin = np.cumsum(size) - size
     doc = np.repeat(np.arange(len(documents)), size)
@@ -152,10 +155,10 @@ def fit_lines(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray
     for round_ in range(rounds):
         first, second = np.zeros(len(weights) + 1), np.zeros(len(weights) + 1)
         for step in range(1, steps + 1):
-            u = x @ weights
+            u = times(weights)
             f, b = (np.concatenate(p) for p in log_odds(np.split(u, begin[1:]), stay))
             p = _sigmoid(f + b)
-            grad = x.T @ ((y - p) * share) / len(documents) - 1e-3 * weights
+            grad = summed((y - p) * share) / len(documents) - 1e-3 * weights
             i, j = inner, inner + 1
             back = u[j] + b[j]
             like = np.logaddexp(stay, stay + f[i] + back)
@@ -166,7 +169,7 @@ def fit_lines(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray
             move = 0.15 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.98**step)) + 1e-8)
             weights, stay = weights + move[:-1], float(np.clip(stay + move[-1], -2.0, 2.0))
         if round_ < rounds - 1:
-            u = x @ weights
+            u = times(weights)
             worst = np.minimum.reduceat(u, begin)
             y = np.where(labels[doc] == 1, 1.0, ((u > 0) & (u > worst[doc])).astype(float))
     field = LineField(weights, stay)
@@ -186,11 +189,14 @@ def learn_quality(docs: DataFrame, labels: DataFrame, most: int = 4000, most_lin
     """Fit on at most ``most`` labelled documents, those with the smallest hashed ids.
 
     Of very long ones only documents with at most ``most_lines`` lines are used
-    to fit, so what the driver gets is bounded. None if only one label occurs.
+    to fit, and of an id's rows one text (that of the smallest hash), so what
+    the driver gets is bounded: a bit a feature and line. Ids with both labels are left
+    out. None if only one label occurs.
     """
-    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id").where("text is not null")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("bits", pa.binary()), ("sizes", pa.list_(pa.float64()))])
 
     def run(batches):
@@ -203,7 +209,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, most: int = 4000, most_lin
         return arrow_rows(schema, rows(), 1000)
 
     found = sorted(texts.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id bigint, quality int, bits binary, sizes array<double>").collect(), key=lambda r: (r["doc_id"], r["bits"]))
-    documents = [(np.unpackbits(np.frombuffer(r["bits"], np.uint8).reshape(len(r["sizes"]), -1), axis=1)[:, :N_ALL].astype(float), np.array(r["sizes"])) for r in found]
+    documents = [(np.unpackbits(np.frombuffer(r["bits"], np.uint8).reshape(len(r["sizes"]), -1), axis=1)[:, :N_ALL], np.array(r["sizes"])) for r in found]
     y = np.array([r["quality"] for r in found], float)
     if not len(y) or y.min() == y.max():
         return None

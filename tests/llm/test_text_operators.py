@@ -3,6 +3,7 @@
 import hashlib
 import re
 import unicodedata
+import zlib
 
 import numpy as np
 import pytest
@@ -58,6 +59,80 @@ def test_ngrams_against_brute_force():
     assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == found
 
 
+def brute_language(text, by_lang, size):
+    """Out-of-place distances by dictionaries."""
+    codes, counts = langid.ngrams(text)
+    own = [c for c, _ in sorted(zip(codes.tolist(), counts.tolist(), strict=True), key=lambda x: (-x[1], x[0]))][:size]
+    if not own:
+        return "und", 0.0
+    away = {}
+    for lang, profile in by_lang.items():
+        place = {c: i for i, c in enumerate(profile)}
+        away[lang] = sum(abs(i - place[c]) if c in place else size for i, c in enumerate(own)) / (size * len(own))
+    best = min(sorted(away), key=away.get)
+    return best, 1 - away[best]
+
+
+def test_language_distance_against_brute_force(spark, rows):
+    d = "/root/testdata/sf0.001"
+    docs = common.table(spark, d, "documents")
+    learnt = langid.learn_profiles(langid.training_rows(docs))
+    by_lang = {}
+    for k, code in enumerate(learnt.codes.tolist()):
+        for e in range(learnt.begin[k], learnt.begin[k + 1]):
+            by_lang.setdefault(learnt.langs[learnt.lang[e]], {})[int(learnt.rank[e])] = code
+    by_lang = {x: [v[i] for i in range(len(v))] for x, v in by_lang.items()}
+    counted = {}
+    for r in docs.collect():
+        if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            for c, n in zip(*langid.ngrams(r["text"]), strict=True):
+                counted.setdefault(r["lang"], {})[int(c)] = counted.get(r["lang"], {}).get(int(c), 0) + int(n)
+    assert by_lang == {x: [c for c, _ in sorted(v.items(), key=lambda y: (-y[1], y[0]))][:300] for x, v in counted.items()}
+    got = {r["doc_id"]: r for r in queries.op10_language_id(spark, d).collect()}
+    for r in docs.collect():
+        lang, score = brute_language(r["text"], by_lang, 300)
+        assert got[r["doc_id"]]["lang_pred"] == lang and abs(got[r["doc_id"]]["score"] - score) < 1e-9
+    twins = langid.Profiles({"b": np.array([97, 98]), "a": np.array([97, 98]), "c": np.array([], np.int64)}, 5)
+    assert twins.predict("a")[0] == "a" and twins.predict("zz") == ("a", 0.0)
+
+
+def brute_quality(text, field):
+    """Score of one document: evidence, marginals by summing over all labellings, length-weighted, logistic."""
+    x, size = quality.line_features(text)
+    u, total, good = x @ field.weights, 0.0, np.zeros(len(size))
+    for bits in range(1 << len(u)):
+        y = [(bits >> t) & 1 for t in range(len(u))]
+        w = np.exp(sum(a for a, b in zip(u, y, strict=True) if b) + field.stay * sum(a == b for a, b in zip(y, y[1:])))
+        total, good = total + w, good + w * np.array(y)
+    share = min(max(float((good / total * size).sum() / size.sum()), 1e-6), 1 - 1e-6)
+    return 1 / (1 + np.exp(-(field.slope * np.log(share / (1 - share)) + field.shift)))
+
+
+def test_quality_score_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs = common.table(spark, d, "documents")
+    field = quality.learn_quality(docs, quality.training_labels(common.table(spark, d, "labels")))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    short = {i: t for i, t in texts.items() if len(quality.line_features(t)[1]) <= 8}
+    short |= {10**6: None, 10**6 + 1: "", 10**6 + 2: "\n \n", 10**6 + 3: "word " * 40_000, 10**6 + 4: "A\nA\n\nB!"}
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(widened(spark, list(short.items())), field).collect()}
+    assert len(short) > 20
+    for i, t in short.items():
+        assert abs(got[i] - brute_quality(t, field)) < 1e-9, i
+    whole = {r["doc_id"]: r["score"] for r in queries.op1_quality(spark, d).collect()}
+    assert all(abs(whole[i] - brute_quality(t, field)) < 1e-9 for i, t in short.items() if i in whole)
+
+
+def test_quality_labels_that_conflict_and_rows_that_repeat(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = common.table(spark, d, "documents").select("doc_id", "text"), common.table(spark, d, "labels")
+    field = quality.learn_quality(docs, labels)
+    both = labels.unionByName(labels.where("doc_id % 7 = 0").withColumn("quality", 1 - F.col("quality")))
+    fewer = quality.learn_quality(docs, labels.where("doc_id % 7 <> 0"))
+    same = quality.learn_quality(docs.unionByName(docs), both)
+    assert np.allclose(same.weights, fewer.weights) and not np.allclose(field.weights, fewer.weights)
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     labels = common.table(spark, d, "labels")
