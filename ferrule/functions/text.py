@@ -32,3 +32,15 @@ def overlap(a: str | Column, b: str | Column, sep: str = "-") -> Column:
     x = F.col(a) if isinstance(a, str) else a
     y = F.col(b) if isinstance(b, str) else b
     return F.size(F.array_intersect(F.split(x, sep), F.split(y, sep)))
+
+
+#: What of a page is no text: scripts, styles, comments, then tags.
+PAGE_NOISE = ("(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "(?s)<!--.*?-->", "<[^>]*>")
+
+
+def page_text(html: str | Column) -> Column:
+    """Text of a raw page: scripts, styles, comments and tags give way to a space; a null page has none."""
+    c = F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit(""))
+    for pattern in PAGE_NOISE:
+        c = F.regexp_replace(c, pattern, " ")
+    return c

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import squared_distance
+from ..plans.durable import written
 from ..plans.ranking import top_k
 from .dense import _matrix, _table
 
@@ -195,6 +196,95 @@ def procrustes(cross: np.ndarray) -> np.ndarray:
     return (u @ v).T
 
 
+def _sums(vectors: DataFrame, make, vec: str = "vec") -> np.ndarray:
+    """Sum over all batches of ``make(matrix)``, an array of fixed shape; the driver gets one array a partition."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = make(_matrix(batch.column(0)))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"s": [np.ravel(total).tolist()]})
+
+    rows = vectors.select(F.col(vec).cast("array<double>").alias("v")).mapInArrow(run, "s array<double>").collect()
+    return sum(np.array(r["s"]) for r in rows)
+
+
+def train_rotated(vectors: DataFrame, d: int, m: int, k_star: int, rounds: int = 4, steps: int = 3, seed: int = 0) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
+    """A rotation and product codebooks trained in turn, and the distortion before each turn of the rotation.
+
+    Every round moves the codebooks a few steps on the rotated vectors and then turns
+    the space so that vectors come nearest to their codes (orthogonal
+    Procrustes). Neither step can raise the distortion.
+    """
+    turn, books, history = np.eye(d), None, []
+    for _ in range(rounds):
+        turned = _rotated(vectors, turn)
+        if books is None:
+            books = train_product(turned, d, m, k_star, steps, seed)
+        else:
+            for j, part in enumerate(subspaces(d, m)):
+                own = turned.select("doc_id", F.slice("vec", part.start + 1, part.stop - part.start).alias("vec"))
+                books[j] = lloyd(own, books[j], steps)[0]
+
+        def cross(x, turn=turn, books=books):
+            y = x @ turn.T
+            code = product_decode(product_codes(y, books), books)
+            return np.append(x.T @ code, ((y - code) ** 2).sum())
+
+        sums = _sums(vectors, cross)
+        history.append(float(sums[-1]))
+        turn = procrustes(sums[:-1].reshape(d, d))
+    return turn, books, history
+
+
+def _rotated(vectors: DataFrame, turn: np.ndarray) -> DataFrame:
+    from .dense import project
+
+    return project(vectors.select("doc_id", "vec"), turn)
+
+
+# Codewords that keep inner products of the best matches.
+def anisotropic_distances(x: np.ndarray, book: np.ndarray, eta: float) -> np.ndarray:
+    """Squared residuals with the part along x weighted ``eta`` times the part across it."""
+    unit = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+    whole = (x * x).sum(1)[:, None] - 2 * x @ book.T + (book * book).sum(1)[None, :]
+    along = ((x * unit).sum(1)[:, None] - unit @ book.T) ** 2
+    return np.maximum(whole, 0.0) + (eta - 1) * along
+
+
+def anisotropic_lloyd(vectors: DataFrame, book: np.ndarray, eta: float, rounds: int = 5) -> tuple[np.ndarray, list[float]]:
+    """Codebook and weighted distortion of each round: assign by the weighted distance, then solve each cell's least squares.
+
+    A cell's best codeword c solves sum(A_x) c = sum(A_x x) with
+    A_x = I + (eta - 1) u u^T, u being x at unit length; with eta = 1 it is the mean.
+    """
+    k, d = book.shape
+    history = []
+    for _ in range(rounds):
+
+        def sums(x, book=book):
+            far = anisotropic_distances(x, book, eta)
+            code = np.round(far, 9).argmin(axis=1)
+            unit = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+            out = np.zeros(k * (d * d + d + 1) + 1)
+            for c in range(k):
+                u, own = unit[code == c], x[code == c]
+                a = len(u) * np.eye(d) + (eta - 1) * u.T @ u
+                b = own.sum(0) + (eta - 1) * (u * (u * own).sum(1)[:, None]).sum(0)
+                out[c * (d * d + d + 1) : (c + 1) * (d * d + d + 1)] = np.concatenate([a.ravel(), b, [len(u)]])
+            out[-1] = far[np.arange(len(x)), code].sum()
+            return out
+
+        total = _sums(vectors, sums)
+        history.append(float(total[-1]))
+        parts = total[:-1].reshape(k, -1)
+        book = np.array([np.linalg.solve(part[: d * d].reshape(d, d), part[d * d : -1]) if part[-1] else old for part, old in zip(parts, book, strict=True)])
+    return book, history
+
+
 # Cells.
 def probe(queries: DataFrame, cells: DataFrame, book: np.ndarray, nprobe: int, k: int = 10) -> DataFrame:
     """Exact ranking inside each query's nprobe nearest cells: an equi-join on the cell.
@@ -431,34 +521,87 @@ class ProximityGraph:
             self.entry = next(iter(self.layers[-1])) if self.layers else -1
 
 
-def graph_search(queries: DataFrame, corpus: DataFrame, k: int = 10, width: int = 64, m: int = 8, layered: bool = True, shard_rows: int = 20_000, live: str | None = None) -> DataFrame:
-    """Graph search in shards: each shard builds its graph and answers every query; the best of all shards stay.
+_STORED = "shard bigint, doc_id bigint, vec array<double>, live boolean, links array<array<bigint>>, entry boolean"
+
+
+def _table_of(graph: ProximityGraph, shard: int, ids: np.ndarray, live: np.ndarray, left: list[int]) -> pa.Table:
+    """One row a node: its neighbours on each layer it is on."""
+    links = [[[int(ids[j]) for j in layer[i]] for layer in graph.layers if i in layer] for i in left]
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_(), pa.list_(pa.list_(pa.int64())), pa.bool_())
+    columns = [[shard] * len(left), [int(ids[i]) for i in left], [graph.x[i].tolist() for i in left], [bool(live[i]) for i in left], links, [i == graph.entry for i in left]]
+    return pa.table({n.split()[0]: pa.array(c, t) for n, c, t in zip(_STORED.split(", "), columns, kinds, strict=True)})
+
+
+def _restored(group: pa.Table, m: int) -> tuple[ProximityGraph, np.ndarray, np.ndarray]:
+    """A stored shard's graph, its ids and which of them are live."""
+    order = np.argsort(group.column("doc_id").to_numpy())
+    group = group.take(pa.array(order))
+    ids, graph = group.column("doc_id").to_numpy(), ProximityGraph.__new__(ProximityGraph)
+    place = {int(d): i for i, d in enumerate(ids)}
+    graph.x, graph.m, graph.work, graph.layers = _matrix(group.column("vec")), m, 0, []
+    for i, links in enumerate(group.column("links").to_pylist()):
+        while len(graph.layers) < len(links):
+            graph.layers.append({})
+        for layer, own in zip(graph.layers, links, strict=False):
+            layer[i] = [place[j] for j in own]
+    entry = np.flatnonzero(group.column("entry").to_numpy(zero_copy_only=False))
+    graph.entry = int(entry[0]) if len(entry) else -1
+    return graph, ids, group.column("live").to_numpy(zero_copy_only=False)
 
-    ``live`` names a boolean column of the corpus: rows where it is false are
-    walked through but never returned. Returns the ranking with ``work``, the
-    distances computed for the query.
-    """
-    return top_k(in_blocks(queries, lambda rows: _graph_search(rows, corpus, k, width, m, layered, shard_rows, live)), k)
 
+def store_graph(corpus: DataFrame, m: int = 8, layered: bool = True, shard_rows: int = 20_000, live: str | None = None) -> DataFrame:
+    """Adjacency (shard, doc_id, vec, live, links, entry) of the graphs of all shards, built once and written.
 
-def _graph_search(rows, corpus, k, width, m, layered, shard_rows, live) -> DataFrame:
+    ``live`` names a boolean column of the corpus: rows where it is false are
+    walked through but never returned.
+    """
     shards = max(1, -(-corpus.count() // shard_rows))
     flag = F.col(live) if live else F.lit(True)
 
-    def run(group):
+    def run(key, group):
         ids, x = group.column("doc_id").to_numpy(), _matrix(group.column("vec"))
         order = np.argsort(ids)
-        ids, x = ids[order], x[order]
-        passing = group.column("live").to_numpy(zero_copy_only=False)[order]
-        graph, out = ProximityGraph(x, m, layered=layered), []
-        for qid, v in rows:
+        graph = ProximityGraph(x[order], m, layered=layered)
+        return _table_of(graph, key[0].as_py(), ids[order], group.column("live").to_numpy(zero_copy_only=False)[order], list(range(len(ids))))
+
+    sharded = corpus.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", F.col("vec").cast("array<double>").alias("vec"), flag.alias("live"))
+    return written(sharded.groupBy("shard").applyInArrow(run, _STORED))
+
+
+def delete_from_graph(stored: DataFrame, gone: DataFrame, m: int = 8) -> DataFrame:
+    """The stored graph without the documents of ``gone`` (doc_id), whose neighbours are linked again among themselves; written."""
+
+    def run(key, group):
+        dead = group.column("gone").to_numpy(zero_copy_only=False)[np.argsort(group.column("doc_id").to_numpy())]
+        graph, ids, live = _restored(group, m)
+        graph.delete(set(np.flatnonzero(dead).tolist()))
+        return _table_of(graph, key[0].as_py(), ids, live, [i for i in range(len(ids)) if not dead[i]])
+
+    marked = stored.join(gone.select("doc_id").distinct().withColumn("gone", F.lit(True)), "doc_id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    return written(marked.select("shard", "doc_id", "vec", "live", "links", "entry", "gone").groupBy("shard").applyInArrow(run, _STORED))
+
+
+def search_graph(queries: DataFrame, stored: DataFrame, k: int = 10, width: int = 64, m: int = 8) -> DataFrame:
+    """Every shard answers every query from its stored graph; the best of all shards stay. ``work`` counts the distances computed for the query."""
+    return top_k(in_blocks(queries, lambda rows: _search_graph(rows, stored, k, width, m)), k)
+
+
+def _search_graph(rows, stored, k, width, m) -> DataFrame:
+    def run(group):
+        graph, ids, live = _restored(group, m)
+        out = []
+        for qid, v in rows if graph.entry >= 0 else ():
             graph.work = 0
-            found = [(d, int(ids[i])) for d, i in graph.search(v, k + 1, width, passing) if ids[i] != qid][:k]
+            found = [(d, int(ids[i])) for d, i in graph.search(v, k + 1, width, live) if ids[i] != qid][:k]
             out += [(qid, i, -d, graph.work) for d, i in found]
         return pa.table({n: pa.array([o[i] for o in out], t) for i, (n, t) in enumerate((("qid", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64()), ("work", pa.int64())))})
 
-    sharded = corpus.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", F.col("vec").cast("array<double>").alias("vec"), flag.alias("live"))
-    return sharded.groupBy("shard").applyInArrow(run, "qid bigint, doc_id bigint, score double, work bigint")
+    return stored.groupBy("shard").applyInArrow(run, "qid bigint, doc_id bigint, score double, work bigint")
+
+
+def graph_search(queries: DataFrame, corpus: DataFrame, k: int = 10, width: int = 64, m: int = 8, layered: bool = True, shard_rows: int = 20_000, live: str | None = None) -> DataFrame:
+    """search_graph() over a graph stored for this search."""
+    return search_graph(queries, store_graph(corpus, m, layered, shard_rows, live), k, width, m)
 
 
 # Filters.

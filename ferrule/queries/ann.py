@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.special import s_curve
+from ..functions.dice import PRIME, mixed
 from ..operators import ann as A
 from ..operators.dense import knn, recall_against
 from .base import Book, n, r, ranked, ranked_sql, rs, vector_queries, vectors
@@ -135,6 +136,20 @@ def inspected_share(spark, d):
     return A.inspected_share(vector_queries(spark, d).select("qid", "vec"), vectors(spark, d).select("doc_id", "vec"), _book(spark, d)[:4]).select("qid", r("share").alias("share"))
 
 
+@book.query()
+def rotated_codebooks(spark, d):
+    """Distortion of product codes while codebooks and rotation are trained in turn."""
+    _, _, history = A.train_rotated(vectors(spark, d).select("doc_id", "vec"), 64, _M, 16, rounds=3, steps=2)
+    return spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(history)], "round long, distortion double")
+
+
+@book.query()
+def anisotropic_codebook(spark, d):
+    """Weighted distortion of each round when the residual along a vector counts four times."""
+    _, history = A.anisotropic_lloyd(vectors(spark, d).select("doc_id", "vec"), _book(spark, d), 4.0, 4)
+    return spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(history)], "round long, distortion double")
+
+
 @book.query()
 def code_search_recall(spark, d):
     """Recall of asymmetric and symmetric search with trained codebooks, plain and after a balancing rotation."""
@@ -186,14 +201,30 @@ def graph_search_recall(spark, d):
     truth = knn(q, c, 10, "euclidean")
     out = None
     for layered in (False, True):
+        stored = A.store_graph(c, layered=layered)
         for width in (16, 64):
-            found = A.graph_search(q, c, 10, width, layered=layered)
+            found = A.search_graph(q, stored, 10, width)
             work = found.groupBy("qid").agg(F.max("work").alias("w")).agg(r(F.avg("w")).alias("work"))
             row = recall_against(found, truth).agg(r(F.avg("recall")).alias("recall")).crossJoin(work).select(F.lit(layered).alias("layered"), F.lit(width).cast("bigint").alias("width"), "recall", "work")
             out = row if out is None else out.unionByName(row)
     return out
 
 
+@book.query()
+def deleted_graph_recall(spark, d):
+    """Recall among the living when three tenths of the vectors are dead: left in the graph as tombstones, or taken out with repair."""
+    q, c = vector_queries(spark, d).select("qid", "vec"), vectors(spark, d).withColumn("live", mixed("doc_id", F.lit(0)) >= int(0.3 * PRIME))
+    truth = knn(q, c.where("live").select("doc_id", "vec"), 10, "euclidean")
+    marked, whole = A.store_graph(c, live="live"), A.store_graph(c)
+    repaired = A.delete_from_graph(whole, c.where("not live"))
+    few = A.search_graph(q, whole, 10, 64).join(c.where("live").select("doc_id"), "doc_id", "left_semi")
+    out = None
+    for how, found in (("dropped", few), ("tombstones", A.search_graph(q, marked, 10, 64)), ("repaired", A.search_graph(q, repaired, 10, 64))):
+        row = recall_against(found, truth).agg(r(F.avg("recall")).alias("recall")).select(F.lit(how).alias("how"), "recall")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 _PAIRS = f"SELECT q.vec_id AS qid, e.vec_id AS doc_id, e.label, -{_L2.format(a='q.embedding', b='e.embedding')} AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, content_tokens
+from ..functions.text import PAGE_NOISE, STOP_WORDS, content_tokens, page_text
 from ..operators import lexical as L
 from ..plans.ranking import top_k
 from ..sources.tables import table
@@ -223,3 +223,17 @@ _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 SELECT d.doc_id, coalesce(k, 0) AS n_content FROM documents d LEFT JOIN c USING (doc_id)""")
 def content_words(spark, d):
     return table(spark, d, "documents").select("doc_id", n(F.size(content_tokens("text"))).alias("n_content"))
+
+
+def _page_sql() -> str:
+    text = "coalesce(html, '')"
+    for pattern in PAGE_NOISE:
+        text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
+    return f"ptext AS (SELECT page_id AS doc_id, {text} AS text FROM pages), " + INDEX_SQL.replace("FROM documents", "FROM ptext")
+
+
+@book.query(f"WITH {_page_sql()} " + ranked_sql(_BM25, 5))
+def page_search_topk(spark, d):
+    """Benchmark passages against the texts of the raw pages."""
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), page_text("html").alias("text"))
+    return ranked(L.bm25_rank(L.stored_index(pages), _queries(spark, d), 5))

@@ -343,6 +343,49 @@ def test_saved_index_ranks_alike(spark, tmp_path):
     assert rows[0] == rows[1] and len(rows[0]) > 20
 
 
+def test_rotations_and_weighted_codebooks(spark):
+    rng = np.random.default_rng(12)
+    mix = rng.normal(size=(8, 8))
+    x = rng.normal(size=(400, 8)) * np.array([4, 3, 2, 1, 0.5, 0.5, 0.2, 0.1]) @ mix
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, vec array<double>").repartition(3)
+    turn, books, history = ann.train_rotated(df, 8, 2, 8, rounds=4)
+    assert np.allclose(turn @ turn.T, np.eye(8)) and all(b <= a + 1e-6 for a, b in zip(history, history[1:])) and history[-1] < history[0]
+    code = ann.product_decode(ann.product_codes(x @ turn.T, books), books)
+    assert ((x @ turn.T - code) ** 2).sum() <= history[-1] + 1e-6
+    for eta in (1.0, 5.0):
+        book, falls = ann.anisotropic_lloyd(df, x[:6], eta, 5)
+        assert all(b <= a + 1e-6 for a, b in zip(falls, falls[1:]))
+        far = ann.anisotropic_distances(x, book, eta)
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        r = x[0] - book[2]
+        along = (r @ unit[0]) ** 2
+        assert np.isclose(far[0, 2], eta * along + (r @ r - along))
+    plain, _ = ann.lloyd(df, x[:6], 5)
+    same, _ = ann.anisotropic_lloyd(df, x[:6], 1.0, 5)
+    assert np.allclose(plain, same)
+
+
+def test_stored_graphs_and_deletion(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(300, 6))
+    df = spark.createDataFrame([(i, v.tolist(), i % 3 > 0) for i, v in enumerate(x)], "doc_id long, vec array<double>, live boolean")
+    queries = df.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "vec")
+    stored = ann.store_graph(df, shard_rows=150)
+    assert stored.count() == 300 and stored.where("entry").count() == stored.select("shard").distinct().count() == 2
+    direct, again = ann.graph_search(queries, df, 5, 200, shard_rows=150), ann.search_graph(queries, stored, 5, 200)
+    key = lambda f: {(r["qid"], r["rank"]): r["doc_id"] for r in f.collect()}
+    exact = key(dense.knn(queries, df, 5, "euclidean"))
+    assert key(direct) == key(again) and sum(key(again)[k] == v for k, v in exact.items()) >= 0.95 * len(exact)
+    left = df.where("live")
+    truth = key(dense.knn(queries, left, 5, "euclidean"))
+    repaired = ann.delete_from_graph(stored, df.where("not live"))
+    links = {j for r in repaired.collect() for layer in r["links"] for j in layer}
+    assert repaired.count() == 200 and all(j % 3 for j in links)
+    for found in (ann.search_graph(queries, repaired, 5, 200), ann.search_graph(queries, ann.store_graph(df, shard_rows=150, live="live"), 5, 200)):
+        assert sum(key(found).get(k) == v for k, v in truth.items()) >= 0.95 * len(truth)
+    assert ann.search_graph(queries, ann.delete_from_graph(stored, df), 5).count() == 0
+
+
 def planted(seed=1, groups=4, size=25, inside=0.4, across=0.02):
     import random
 
