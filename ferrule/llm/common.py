@@ -83,6 +83,11 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 MOST_BROADCAST = 200_000
 
 
+def sent(small: DataFrame) -> DataFrame:
+    """``small`` (written before), to be sent to every task by a join if it has at most MOST_BROADCAST rows, else left to a shuffle."""
+    return F.broadcast(small) if small.count() <= MOST_BROADCAST else small
+
+
 def distinct_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, text) with one row an id (rows without an id go), and (doc_id, chosen) of the ids held by several rows.
 
@@ -92,10 +97,9 @@ def distinct_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """
     rows = id_and_text(docs).where("doc_id is not null")
     twice = cut(rows.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("chosen"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    n = twice.count()
-    if not n:
+    if twice.isEmpty():
         return rows, None
-    marked = rows.join(F.broadcast(twice) if n <= MOST_BROADCAST else twice, "doc_id", "left")
+    marked = rows.join(sent(twice), "doc_id", "left")
     one = marked.where(F.xxhash64("text") == F.col("chosen")).dropDuplicates(["doc_id"])
     return marked.where("chosen is null").unionByName(one).select("doc_id", "text"), twice
 
@@ -106,8 +110,7 @@ def with_ranges(docs: DataFrame, ranges: DataFrame, twice: DataFrame | None) ->
     if twice is None:
         return found
     (name,) = (c for c in ranges.columns if c != "doc_id")
-    chosen = twice.select("doc_id", F.struct("chosen").alias("_chosen"))
-    marked = found.join(F.broadcast(chosen) if twice.count() <= MOST_BROADCAST else chosen, "doc_id", "left")
+    marked = found.join(sent(twice.select("doc_id", F.struct("chosen").alias("_chosen"))), "doc_id", "left")
     own = F.col("_chosen").isNull() | (F.xxhash64(F.col("text").cast("string")) == F.col("_chosen.chosen"))
     return marked.withColumn(name, F.when(own, F.col(name))).drop("_chosen")
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, each, id_and_text, join_dealt
+from .common import arrow_rows, cut, each, id_and_text, join_dealt, sent
 from .components import connected_components
 from .simhash import SEED, ball_links, of_hashes, shingle_hashes
 
@@ -99,9 +99,9 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 def _sets_of(digests: DataFrame, points: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(digest, shingles), written, of these digests."""
-    wanted = cut(digests.distinct())
-    holders = points.join(wanted, "digest", "left_semi").select("doc_id").distinct()
-    return cut(shingle_sets(docs.join(holders, "doc_id", "left_semi"), words).join(wanted, "digest", "left_semi").dropDuplicates(["digest"]))
+    wanted = cut(points.join(digests.distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
+    texts = docs.join(sent(cut(wanted.select("doc_id").distinct())), "doc_id", "left_semi")
+    return cut(shingle_sets(texts, words).join(sent(wanted.select("digest")), "digest", "left_semi").dropDuplicates(["digest"]))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -199,7 +199,8 @@ def shingle_near_duplicates(docs: DataFrame, least: float = 0.8, radius: int = 2
     pairs = met.select("a", F.col("digest").alias("b")).distinct()
     sized = pairs.join(sizes.withColumnsRenamed({"digest": "a", "size": "na"}), "a").join(sizes.withColumnsRenamed({"digest": "b", "size": "nb"}), "b")
     stars = cut(sized.where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9).select("a", "b"))
-    alike = cut(_alike(stars, _sets_of(stars.select(F.col("a").alias("digest")).unionByName(stars.select(F.col("b").alias("digest"))), points, docs, words), least))
+    sets = _sets_of(stars.select(F.col("a").alias("digest")).unionByName(met.select("digest")), points, docs, words)
+    alike = cut(_alike(stars, sets, least))
 
     near = ball_links(by_print, radius).unionByName(alike.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     same = points.select("fingerprint", F.col("digest").alias("src")).join(by_print.withColumnRenamed("rep", "dst"), "fingerprint").where("src <> dst").select("src", "dst")
@@ -208,7 +209,7 @@ def shingle_near_duplicates(docs: DataFrame, least: float = 0.8, radius: int = 2
     placed = cut(met.join(own.withColumnRenamed("node", "digest"), "digest", "left").join(sizes, "digest").select("key", "digest", "size", F.coalesce("component", "digest").alias("component")))
     mixed = cut(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
     rest = cut(join_dealt(placed, mixed, ["key"], ["digest"]))  # the smallest was compared with all
-    late = cut(_late_links(rest, _sets_of(rest.select("digest"), points, docs, words), least))
+    late = cut(_late_links(rest, sets, least))
     over = connected_components(late).select(F.col("node").alias("component"), F.col("component").alias("top"))
     tops = (
         points.select("fingerprint", "digest")

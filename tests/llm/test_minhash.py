@@ -62,3 +62,50 @@ def test_components_against_brute_force(spark):
             label[a] = label[b] = low
     assert found == label
     assert minhash.shingle_near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_rows_of_one_id_are_told_apart_by_text(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"w{rng.randrange(10**5)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, a, "en", "x", 0), (2, b, "en", "x", 0), (2, a, "en", "x", 0), (3, c, "en", "x", 0), (3, c, "fr", "y", 1), (3, c, "fr", "y", 1), (None, a, "en", "x", 0), (None, a, "en", "x", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for part in (1, 5):  # whatever the order the rows come in
+        kept = corpus_pipeline.simhash_stage(spark, docs.repartition(part), "unused").collect()
+        assert sorted(map(tuple, kept), key=repr) == sorted([rows[0], rows[1], rows[3], rows[6], rows[7]], key=repr)
+
+
+def test_stage_against_brute_force_on_a_whole_table(spark):
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    sets = {i: set(simhash.shingle_hashes(t, 5)) for i, t in rows.items()}
+    prints = {i: simhash.fingerprint(t, 5) for i, t in rows.items()}
+    label = {i: i for i in rows}
+    links = [(a, b) for a in rows for b in rows if a < b and (5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0 or (prints[a] ^ prints[b]).bit_count() <= 2)]
+    for _ in rows:
+        before = dict(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.simhash_stage(spark, docs, "unused").collect()}
+    assert kept == {i: t for i, t in rows.items() if label[i] == i}
+
+
+def test_members_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(6):  # families whose members share keys but not always enough
+        text = " ".join(rng.sample(words, 200))
+        for k in range(25):
+            rows.append((100 * g + k, changed(rng, text, rng.choice([2, 4, 6, 9]))))
+    sets = {i: set(simhash.shingle_hashes(t, 5)) for i, t in rows}
+    prints = {i: simhash.fingerprint(t, 5) for i, t in rows}
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and (5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 2)]
+    for _ in rows:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    found = {r["doc_id"]: r["component_id"] for r in minhash.shingle_near_duplicates(widened(spark, rows)).collect()}
+    assert found == label and len(set(label.values())) < len(rows) and {r for r in label.values()} != {0}
