@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import cut, table
+from ferrule.llm.common import cut, sent, table
 from ferrule.llm.langid import UNKNOWN, annotate_languages, learn_profiles, training_rows
 from ferrule.llm.minhash import shingle_near_duplicates, text_hash
 from ferrule.llm.packing import pack_documents
@@ -40,8 +40,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     without an id stay.
     """
     groups = shingle_near_duplicates(docs, least=0.8, radius=2, words=5)
-    copies = groups.where("not kept").select("doc_id", F.col("text_hash").alias("_text_hash")).distinct()
-    kept = docs.withColumn("_text_hash", text_hash()).join(copies, ["doc_id", "_text_hash"], "left_anti")
+    copies = cut(groups.where("not kept").select("doc_id", F.col("text_hash").alias("_text_hash")).distinct())
+    kept = docs.withColumn("_text_hash", text_hash()).join(sent(copies), ["doc_id", "_text_hash"], "left_anti")
     same = ["doc_id", "_text_hash"]
     repeated = cut(kept.where("doc_id is not null").groupBy(same).count().where("count > 1").select(same))
     if repeated.isEmpty():
