@@ -199,6 +199,26 @@ def test_bpe_equals_the_library(spark, rows, reference_tokenizer):
     assert bpe.encode_documents(spark.createDataFrame([], DOCS), PATH).count() == 0
 
 
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    changes = {
+        "normalizer": lambda s: s["normalizer"]["normalizers"].pop(),
+        "pre_tokenizer": lambda s: s["pre_tokenizer"]["pretokenizers"][1].update(add_prefix_space=True),
+        "decoder": lambda s: s.update(decoder={"type": "ByteLevel"}),
+        "model": lambda s: s["model"].update(ignore_merges=True),
+        "added_tokens": lambda s: s["added_tokens"][0].update(lstrip=True),
+    }
+    for name, change in changes.items():
+        other = json.loads(json.dumps({**spec, "model": {**spec["model"], "merges": [], "vocab": {}}}))
+        change(other)
+        (tmp_path / "t.json").write_text(json.dumps(other))
+        with pytest.raises(ValueError, match=name):
+            bpe.WordBpe(str(tmp_path / "t.json"))
+
+
 def test_forced_boundaries_are_in_no_token():
     own = bpe.WordBpe(PATH)
     flat, start, stop, final = own.fragments([b"thing", b"z\xffq"])
