@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.durable import written
+from ..plans.durable import discard, written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -60,8 +60,10 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFra
         jump = low.select(F.col("node").alias("low"), F.col("low").alias("next"))
         new = written(low.join(jump, "low", "left").select("node", F.coalesce("next", "low").alias("new"), "label"))
         changed = new.where("new <> label").limit(1).count()
+        discard(now)
         now = new.select("node", F.col("new").alias("label"))
         if not changed:
+            discard(links)
             return now.withColumnRenamed("label", "component")
     raise RuntimeError("components did not settle")
 
@@ -73,7 +75,10 @@ def label_spread(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFra
         votes = links.join(now.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.sum("w").alias("v"))
         best = votes.groupBy("node").agg(F.min_by("label", F.struct(-F.round("v", 9), F.col("label"))).alias("best"))
         turn = F.pmod(F.xxhash64("node", F.lit(step // 2)), F.lit(2)) == step % 2
-        now = written(now.join(best, "node", "left").select("node", F.when(turn, F.coalesce("best", "label")).otherwise(F.col("label")).alias("label")))
+        new = written(now.join(best, "node", "left").select("node", F.when(turn, F.coalesce("best", "label")).otherwise(F.col("label")).alias("label")))
+        discard(now)
+        now = new
+    discard(links)
     return now
 
 
@@ -109,9 +114,12 @@ def local_moves(edges: DataFrame, labels: DataFrame, gamma: float = 1.0, rounds:
         best = judged.groupBy("node").agg(F.min_by("label", F.struct((-gain).alias("g"), (F.col("label") != F.col("own")).alias("moves"), F.col("label"))).alias("best"))
         new = written(now.join(best, "node", "left").select("node", F.coalesce("best", "label").alias("label"), F.col("label").alias("before")))
         still = 0 if new.where("label <> before").limit(1).count() else still + 1
+        discard(now)
         now = new.select("node", "label")
         if still == 2:
             break
+    discard(links)
+    discard(strength)
     return now
 
 

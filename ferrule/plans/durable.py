@@ -24,3 +24,12 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a written table that nothing reads any more."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        if path.getName().startswith("written-"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
