@@ -7,6 +7,7 @@ hit, or without any relevant document, keeps a row with value 0.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -82,13 +83,19 @@ def reversals(a: DataFrame, b: DataFrame, key: str = "leg", value: str = "mean")
 
 
 # Graded metrics.
-def gain(kind: str, grade: str = "grade") -> Column:
+def gain(kind: str | Callable[[Column], Column], grade: str = "grade") -> Column:
+    """A named gain of the grade, or any function of its column."""
     g = F.col(grade).cast("double")
+    if callable(kind):
+        return kind(g)
     return {"linear": g, "exponential": F.pow(F.lit(2.0), g) - 1}[kind]
 
 
-def discount(kind: str, rank: str | Column = "rank", p: float = 0.85) -> Column:
+def discount(kind: str | Callable[[Column], Column], rank: str | Column = "rank", p: float = 0.85) -> Column:
+    """A named discount of the rank, or any function of its column."""
     i = F.col(rank) if isinstance(rank, str) else rank
+    if callable(kind):
+        return kind(i)
     return {"log2": 1.0 / F.log2(i + 1.0), "geometric": F.pow(F.lit(p), i - 1.0), "reciprocal": 1.0 / i}[kind]
 
 

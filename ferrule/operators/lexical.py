@@ -53,11 +53,11 @@ def stored_index(docs: DataFrame, text: str = "text", tokenizer=tokens) -> Lexic
     return LexicalIndex(half.postings, half.docs, written(half.terms), written(half.stats))
 
 
-def save_index(index: LexicalIndex, folder: str) -> None:
+def save_index(index: LexicalIndex, folder: str, mode: str = "errorifexists") -> None:
     """Write an index once, postings ranged and sorted by term: a term's postings lie in few row groups, whose statistics let scans skip the rest."""
-    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/postings")
+    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{folder}/postings")
     for name in ("docs", "terms", "stats"):
-        getattr(index, name).write.parquet(f"{folder}/{name}")
+        getattr(index, name).write.mode(mode).parquet(f"{folder}/{name}")
 
 
 def load_index(spark: SparkSession, folder: str) -> LexicalIndex:

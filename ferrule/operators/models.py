@@ -176,18 +176,78 @@ def fit_stump(rows: DataFrame, d: int, edges: list[list[float]]) -> Stump:
     return chosen or Stump(0, 0.0, 0.0, 0.0)
 
 
-def fit_boosted(rows: DataFrame, d: int, rounds: int = 10, rate: float = 0.1, bins: int = 16) -> list[Stump]:
-    """Boosting: each round a stump is fitted to the forces of the scores so far. rows: (qid, doc_id, x, grade)."""
+class Tree:
+    """Splits and values of nodes numbered as in a heap: node i has the children 2i (at or below the threshold) and 2i + 1."""
+
+    def __init__(self, splits: dict[int, tuple[int, float]], values: dict[int, float]):
+        self.splits, self.values = splits, values
+
+    def node(self, x: str = "x", at: int = 1) -> Column:
+        """The leaf a row comes to."""
+        if at not in self.splits:
+            return F.lit(at)
+        feature, threshold = self.splits[at]
+        return F.when(F.col(x)[feature] <= threshold, self.node(x, 2 * at)).otherwise(self.node(x, 2 * at + 1))
+
+    def column(self, x: str = "x", at: int = 1) -> Column:
+        if at not in self.splits:
+            return F.lit(float(self.values.get(at, 0.0)))
+        feature, threshold = self.splits[at]
+        return F.when(F.col(x)[feature] <= threshold, self.column(x, 2 * at)).otherwise(self.column(x, 2 * at + 1))
+
+
+def fit_tree(rows: DataFrame, d: int, edges: list[list[float]], depth: int = 2, least: int = 1) -> Tree:
+    """A regression tree of the forces by squared error: a level costs one sum and count a node, feature and bin.
+
+    A node is split where that lowers the error most and leaves at least
+    ``least`` rows on either side.
+    """
+    from .evaluation import bin_of
+
+    tree, open_nodes = Tree({}, {}), [1]
+    bins = F.array(*[F.struct(F.lit(j).alias("j"), bin_of(F.col("x")[j], [float("-inf"), *edges[j], float("inf")]).alias("b")) for j in range(d)])
+    for _ in range(depth):
+        placed = rows.select("force", tree.node().alias("node"), F.explode(bins).alias("e")).where(F.col("node").isin(open_nodes))
+        sums = placed.groupBy("node", "e.j", "e.b").agg(F.sum("force").alias("s"), F.count("*").alias("n")).collect()
+        made = []
+        for node in open_nodes:
+            best, chosen = -np.inf, None
+            for j in range(d):
+                s, n = np.zeros(len(edges[j]) + 1), np.zeros(len(edges[j]) + 1)
+                for r in sums:
+                    if r["node"] == node and r["j"] == j:
+                        s[r["b"]], n[r["b"]] = r["s"], r["n"]
+                if n.sum():
+                    tree.values.setdefault(node, s.sum() / n.sum())
+                left, ln = np.cumsum(s)[:-1], np.cumsum(n)[:-1]
+                right, rn = s.sum() - left, n.sum() - ln
+                fits = (ln >= least) & (rn >= least)
+                gain = np.where(fits, left**2 / np.maximum(ln, 1) + right**2 / np.maximum(rn, 1), -np.inf) - (s.sum() ** 2 / n.sum() if n.sum() else 0.0)
+                if len(gain) and gain.max() > max(best, 0.0) + 1e-12:
+                    i = int(gain.argmax())
+                    best, chosen = gain[i], (j, float(np.nextafter(edges[j][i], -np.inf)), left[i] / ln[i], right[i] / rn[i])
+            if chosen:
+                tree.splits[node] = chosen[:2]
+                tree.values[2 * node], tree.values[2 * node + 1] = chosen[2:]
+                made += [2 * node, 2 * node + 1]
+        open_nodes = made
+        if not made:
+            break
+    return tree
+
+
+def fit_boosted(rows: DataFrame, d: int, rounds: int = 10, rate: float = 0.1, bins: int = 16, depth: int = 1) -> list[Stump | Tree]:
+    """Boosting: each round a stump (or a tree of ``depth`` levels) is fitted to the forces of the scores so far. rows: (qid, doc_id, x, grade)."""
     quantiles = rows.agg(*[F.percentile(F.col("x")[j], [i / bins for i in range(1, bins)]).alias(f"q{j}") for j in range(d)]).first()
     edges = [sorted(set(quantiles[f"q{j}"])) for j in range(d)]
-    stumps: list[Stump] = []
+    stumps: list[Stump | Tree] = []
     for _ in range(rounds):
         forces = lambda_forces(rows, boosted_score(stumps, rate)).join(rows.select("qid", "doc_id", "x"), ["qid", "doc_id"])
-        stumps.append(fit_stump(forces, d, edges))
+        stumps.append(fit_stump(forces, d, edges) if depth == 1 else fit_tree(forces, d, edges, depth))
     return stumps
 
 
-def boosted_score(stumps: list[Stump], rate: float = 0.1) -> Column:
+def boosted_score(stumps: list[Stump | Tree], rate: float = 0.1) -> Column:
     out = F.lit(0.0)
     for s in stumps:
         out = out + rate * s.column()

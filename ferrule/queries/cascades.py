@@ -142,14 +142,15 @@ def retained_components(spark, d):
 
 @book.query()
 def boosted_ranker(spark, d):
-    """Stumps boosted on the forces: each round's feature and the mean loss of the order by grade after it."""
-    rows = _rows(spark, d).cache()
-    stumps = M.fit_boosted(rows, 3, 3)
+    """Stumps and trees of two levels boosted on the forces: the mean loss of the order by grade after each round."""
+    rows = written(_rows(spark, d))
     out = None
-    for i in range(len(stumps) + 1):
-        loss = L.permutation_loss(rows, M.boosted_score(stumps[:i])).agg(r(F.avg("loss")).alias("loss"))
-        row = loss.select(n(F.lit(i)).alias("rounds"), "loss")
-        out = row if out is None else out.unionByName(row)
+    for depth in (1, 2):
+        trees = M.fit_boosted(rows, 3, 3, depth=depth)
+        for i in range(len(trees) + 1):
+            loss = L.permutation_loss(rows, M.boosted_score(trees[:i])).agg(r(F.avg("loss")).alias("loss"))
+            row = loss.select(n(F.lit(depth)).alias("depth"), n(F.lit(i)).alias("rounds"), "loss")
+            out = row if out is None else out.unionByName(row)
     return out
 
 

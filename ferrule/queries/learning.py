@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine
 from ..operators import learning as L
 from ..operators.dense import knn
+from ..plans.durable import written
 from .base import LEGS, RUN_SQL, Book, graded, n, r, rs, vector_queries, vectors
 
 book = Book()
@@ -107,3 +108,17 @@ def fitted_rankers(spark, d):
     force = L.fit_lambda(rows, 3, rounds=3)
     out = spark.createDataFrame([("pairwise", *[round(float(w), 4) for w in pairwise]), ("force", *[round(float(w), 4) for w in force])], "method string, w0 double, w1 double, w2 double")
     return out
+
+
+@book.query()
+def listwise_fits(spark, d):
+    """Weights fitted on the two listwise losses and by least squares on the grades, with both mean losses."""
+    rows = written(_rows(spark, d))
+    fits = {"permutation": L.fit_listwise(rows, 3, "permutation", 10), "top_one": L.fit_listwise(rows, 3, "top_one", 10), "pointwise": L.fit_pointwise(rows, 3)[:3]}
+    out = None
+    for name, w in fits.items():
+        score = L.linear(w)
+        row = L.permutation_loss(rows, score).agg(r(F.avg("loss")).alias("permutation")).crossJoin(L.top_one_loss(rows, score).agg(r(F.avg("loss")).alias("top_one")))
+        row = row.select(F.lit(name).alias("fit"), "permutation", "top_one")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -130,3 +130,19 @@ def test_retained_component(spark):
     assert tuple(C.retained_component(nodes, edges, 1.0).first()) == (30, 30)
     kept, largest = C.retained_component(nodes, edges, 0.5).first()
     assert largest <= kept < 30
+
+
+def test_trees_of_two_levels(spark):
+    rng = np.random.default_rng(21)
+    x = rng.random((400, 2))
+    force = np.where(x[:, 0] > 0.5, np.where(x[:, 1] > 0.5, 13.0, 9.0), np.where(x[:, 1] > 0.3, 0.5, -2.0))
+    df = spark.createDataFrame([(i, v.tolist(), float(f)) for i, (v, f) in enumerate(zip(x, force, strict=True))], "doc_id long, x array<double>, force double")
+    edges = [[i / 10 for i in range(1, 10)]] * 2
+    error = {}
+    for depth in (1, 2):
+        tree = M.fit_tree(df, 2, edges, depth)
+        error[depth] = df.select(F.avg(F.pow(F.col("force") - tree.column(), 2))).first()[0]
+    stump = M.fit_stump(df, 2, edges)
+    assert np.isclose(error[1], df.select(F.avg(F.pow(F.col("force") - stump.column(), 2))).first()[0])
+    assert error[2] < 0.01 < error[1] and len(tree.splits) == 3
+    assert M.fit_tree(df.withColumn("force", F.lit(1.0)), 2, edges, 2).splits == {}
