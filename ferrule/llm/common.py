@@ -123,17 +123,19 @@ def join_dealt(left: DataFrame, right: DataFrame, on: list[str], spread: list[st
     them all (1 in 1024 with few tasks) is dealt in parts by a hash of
     ``spread``, and its row of ``right`` is repeated for each part. There are
     fewer such keys than four a task, whatever the input, so they go to
-    every task; without one the join is a plain one. ``n`` goes.
+    every task; without one the join is a plain one. ``n`` goes. Tasks hash
+    their keys of ``right``, which are fewer than their rows of ``left``, so
+    neither side is sorted.
     """
     share = max(1024, 4 * int(right.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     total = right.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
     limit = int(total["n"]) // share + 1
     if total["most"] <= limit:
-        return left.join(right.drop("n"), on)
+        return left.join(right.drop("n").hint("shuffle_hash"), on)
     hot = F.broadcast(right.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("_parts")))
     dealt = left.join(hot, on, "left").withColumn("_part", F.expr(f"if(_parts is null, 0, cast(pmod(xxhash64({', '.join(spread)}), _parts) as int))")).drop("_parts")
     copied = right.drop("n").join(hot, on, "left").withColumn("_part", F.explode(F.expr("sequence(0, coalesce(_parts, 1) - 1)"))).drop("_parts")
-    return dealt.join(copied, [*on, "_part"]).drop("_part")
+    return dealt.join(copied.hint("shuffle_hash"), [*on, "_part"]).drop("_part")
 
 
 def arrow_rows(schema: pa.Schema, rows: Iterable[tuple], size: int = 20_000) -> Iterator[pa.RecordBatch]:
