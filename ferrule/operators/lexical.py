@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..plans.durable import written
 from ..plans.ranking import numbered, top_k
+from ..sources.tables import spread
 
 
 @dataclass
@@ -48,7 +49,7 @@ def _index_of(postings: DataFrame, lengths: DataFrame) -> LexicalIndex:
 
 def stored_index(docs: DataFrame, text: str = "text", tokenizer=tokens) -> LexicalIndex:
     """build_index() with postings, lengths and terms written once to the shared folder, so no query tokenises twice."""
-    lazy = build_index(docs, text, tokenizer)
+    lazy = build_index(spread(docs.select("doc_id", text)), text, tokenizer)
     half = _index_of(written(lazy.postings), written(lazy.docs))
     return LexicalIndex(half.postings, half.docs, written(half.terms), written(half.stats))
 
