@@ -181,6 +181,14 @@ def slices(batches: Iterable[pa.RecordBatch], most: int = 4_000_000, rows: int =
             yield [c.to_pylist() for c in batch.slice(at, step).columns]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def add_columns(df: DataFrame, inputs: list[str], fields: list[StructField], types: list[pa.DataType], work: Callable[..., list[list]]) -> DataFrame:
     """``df`` with columns computed by ``work`` from the Python values of ``inputs``; fields of the same name are replaced.
 

@@ -137,14 +137,14 @@ def identify_languages(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
-def annotate_languages(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """All rows and columns of ``docs`` with lang_pred and score added (or replaced)."""
+def annotate_languages(docs: DataFrame, profiles: Profiles, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All rows and columns of ``docs`` with lang_pred and score (or what ``names`` says) added or replaced."""
 
     def work(texts):
         found = [profiles.predict(t) for t in texts]
         return [[x for x, _ in found], [y for _, y in found]]
 
-    return add_columns(docs, ["text"], [StructField("lang_pred", StringType()), StructField("score", DoubleType())], [pa.string(), pa.float64()], work)
+    return add_columns(docs, ["text"], [StructField(names[0], StringType()), StructField(names[1], DoubleType())], [pa.string(), pa.float64()], work)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

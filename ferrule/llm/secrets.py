@@ -132,10 +132,10 @@ def _uncovered(span: str, base: str) -> str:
       a -> if(a.at < {span}.end, concat(a.out, array({part("a.at", f"{span}.end")})), a.out))"""
 
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` (all its columns) with ``secret_spans`` added or replaced.
+def scan_secrets(docs: DataFrame, column: str = "secret_spans") -> DataFrame:
+    """Every row of ``docs`` (all its columns) with ``column`` added or replaced.
 
-    secret_spans is array<struct<start, kind, end, value>> by start, then kind;
+    It is array<struct<start, kind, end, value>> by start, then kind;
     positions are code points, end exclusive, kind indexes KINDS, value is the
     matched text (for assign the assigned value). Base spans always stay; what of
     an entropy span lies outside all of them stays too, in one or more spans.
@@ -146,7 +146,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
       {_matches("[0-9a-f]{24,}", 2, "true")}))"""
     every = f"array_sort(concat(base, flatten(transform({_entropy()}, e -> {_uncovered('e', 'base')}))))"
     spans = _let("text", "coalesce(text, '')", _let("base", base, every, _NO_SPANS), _NO_SPANS)
-    return docs.withColumn("secret_spans", F.expr(spans))
+    return docs.withColumn(column, F.expr(spans))
 
 
 def spans_string(spans: Column) -> Column:
@@ -155,17 +155,17 @@ def spans_string(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(scanned: DataFrame, mask: str = "<SECRET>") -> DataFrame:
+def redact(scanned: DataFrame, mask: str = "<SECRET>", column: str = "secret_spans") -> DataFrame:
     """The rows of scan_secrets with every span of text, overlapping or touching ones merged, replaced by ``mask``.
 
-    secret_spans goes; text stays null where it was null.
+    The spans' column goes; text stays null where it was null.
     """
     # of spans in order, how far those before reach; one that begins beyond ends a gap
-    steps = """aggregate(secret_spans, named_struct('at', 0L, 'out', cast(array() as array<struct<from:bigint,to:bigint>>)), (a, s) -> named_struct('at', greatest(a.at, s.end), 'out',
+    steps = f"""aggregate(`{column}`, named_struct('at', 0L, 'out', cast(array() as array<struct<from:bigint,to:bigint>>)), (a, s) -> named_struct('at', greatest(a.at, s.end), 'out',
       if(s.start > a.at or size(a.out) = 0, concat(a.out, array(named_struct('from', a.at, 'to', s.start))), a.out)))"""
-    text = f"""if(size(secret_spans) = 0, text, aggregate(array({steps}), '', (_z, g) ->
+    text = f"""if(size(`{column}`) = 0, text, aggregate(array({steps}), '', (_z, g) ->
       concat(array_join(transform(g.out, x -> concat(substr(text, cast(x.from + 1 as int), cast(x.to - x.from as int)), {_lit(mask)})), ''), substr(text, cast(g.at + 1 as int)))))"""
-    return scanned.withColumn("text", F.expr(text)).drop("secret_spans")
+    return scanned.withColumn("text", F.expr(text)).drop(column)
 
 
 def count_kind(spans: Column, kind: int) -> Column:

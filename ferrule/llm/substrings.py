@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField
 
-from .common import add_columns, arrow_rows, cut, discard, distinct_documents, each, id_and_text, join_dealt, with_ranges
+from .common import add_columns, arrow_rows, cut, discard, distinct_documents, each, free_name, id_and_text, join_dealt, with_ranges
 from .repeats import Rolling, by_document, covered, mix, resolve, signed, sliding
 
 ROUNDS = 3
@@ -174,7 +174,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Null and repeated ids as in dedup_words.
     """
     unique, twice = distinct_documents(docs)
-    ranges = by_document(repeated_ranges(unique, window), "repeated_ranges")
+    name = free_name(docs, "repeated_ranges")
+    ranges = by_document(repeated_ranges(unique, window), name)
     pieces = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
     def work(texts, found):
@@ -190,6 +191,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out.append(text)
         return [out]
 
-    marked = with_ranges(docs.drop("repeated_ranges"), ranges, twice)
-    out = add_columns(marked, ["text", "repeated_ranges"], [StructField("text", StringType())], [pa.string()], work)
-    return out.where("text is not null or repeated_ranges is null").select(docs.columns)
+    marked = with_ranges(docs, ranges, twice)
+    out = add_columns(marked, ["text", name], [StructField("text", StringType())], [pa.string()], work)
+    return out.where(F.col("text").isNotNull() | F.col(name).isNull()).select(docs.columns)
