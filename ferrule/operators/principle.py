@@ -28,7 +28,7 @@ def by_probability(ranking: DataFrame) -> DataFrame:
 
 
 def inversions(ranking: DataFrame) -> DataFrame:
-    """(qid, inversions): pairs that stand in the wrong order.
+    """(qid, inversions, n): pairs that stand in the wrong order, and how many documents are ranked (a lone one has no pair).
 
     Each group is merge-sorted, counting what a later document passes, so no pair is formed.
     """
@@ -42,9 +42,9 @@ def inversions(ranking: DataFrame) -> DataFrame:
 
     def one(key, group):
         order = np.argsort(group.column("rank").to_numpy(), kind="stable")
-        return pa.table({"qid": pa.array([key[0].as_py()], pa.int64()), "inversions": pa.array([count(group.column("p").to_numpy()[order])[1]], pa.int64())})
+        return pa.table({"qid": pa.array([key[0].as_py()], pa.int64()), "inversions": pa.array([count(group.column("p").to_numpy()[order])[1]], pa.int64()), "n": pa.array([group.num_rows], pa.int64())})
 
-    return ranking.select("qid", "rank", F.col("p").cast("double")).groupBy("qid").applyInArrow(one, "qid bigint, inversions bigint")
+    return ranking.select("qid", "rank", F.col("p").cast("double")).groupBy("qid").applyInArrow(one, "qid bigint, inversions bigint, n bigint")
 
 
 def bubble_step(ranking: DataFrame) -> DataFrame:

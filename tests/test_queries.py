@@ -46,3 +46,13 @@ def test_contract(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["qid", "doc_id", "score", "rank"]
+
+
+def test_order_inversions_of_a_lone_document(spark, monkeypatch):
+    from ferrule.queries import principle
+
+    ranked = [(1, 10, 1, 0.2), (1, 11, 2, 0.9), (1, 12, 3, 0.5), (2, 10, 1, 0.5), (3, 10, 1, 0.5), (3, 11, 2, 0.5)]
+    monkeypatch.setattr(principle, "_ranking", lambda spark, d: spark.createDataFrame(ranked, "qid long, doc_id long, rank long, p double"))
+    sql = f"WITH rk(qid, doc_id, rank, p) AS (VALUES {', '.join(map(str, ranked))}) " + principle.book.sql["order_inversions"].removeprefix(principle._BASE)
+    got = {r["qid"]: r["inversions"] for r in principle.order_inversions(spark, "").collect()}
+    assert got == dict(duckdb.sql(sql).fetchall()) == {1: 2, 2: None, 3: 0}
