@@ -14,6 +14,7 @@ import re
 import sys
 import unicodedata
 from functools import cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ def _ranges(first: str, extra: list, top: int) -> str:
 def _pattern(top: int) -> re.Pattern:
     """Pre-token pattern for texts whose characters are at most ``top``."""
     letters, numbers = _ranges("L", NEW_LETTERS, top), _ranges("N", NEW_NUMBERS, top)
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACES}{letters}{numbers}]+")
+    return re.compile(f"[{letters}]+|[{numbers}]|'(?:[stmd]|re|ve|ll)|[^{SPACES}{letters}{numbers}]+")
 
 
 def _byte_chars() -> list[str]:
@@ -81,6 +82,18 @@ def _check(spec: dict, path: str) -> None:
         raise ValueError(f"{path}: unsupported {', '.join(wrong)}")
 
 
+class Words(dict):
+    """Ids of known words; any other is None and noted in ``unknown``."""
+
+    unknown: dict[str, None]
+
+    def __missing__(self, word: str) -> None:
+        self.unknown[word] = None
+
+    def look(self, words: list[str]) -> tuple:
+        return itemgetter(*words)(self) if len(words) > 1 else tuple(map(self.__getitem__, words))
+
+
 class WordBpe:
     """Encoder and decoder over one tokenizers JSON file with word-end BPE."""
 
@@ -108,14 +121,15 @@ class WordBpe:
         table = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.tokens = [table.get(i, "") for i in range(max(table) + 1)]
         ids = [self.vocab[c] for c in self.chars], [self.vocab[c + self.end] for c in self.chars]
-        self.byte_ids = np.array(ids, np.int64)
+        self.byte_ids = np.array(ids, np.int32).ravel()  # from 256 up: at the end of a word
         merged = [(self.vocab[a] << 32 | self.vocab[b], r, self.vocab[a + b]) for (a, b), r in self.rank.items()]
         merged.sort()
         self.pair_keys = np.array([k for k, _, _ in merged] + [1 << 62], np.int64)
-        self.pair_ranks = np.array([r for _, r, _ in merged] + [NO_MERGE], np.int64)
-        self.made = np.zeros(len(self.rank), np.int64)
+        self.pair_ranks = np.array([r for _, r, _ in merged] + [NO_MERGE], np.int32)
+        self.made = np.zeros(len(self.rank), np.int32)
         self.made[[r for _, r, _ in merged]] = [i for _, _, i in merged]
-        self.words: dict[str, bytes] = {}
+        self.byte_ranks = self._ranks(self.byte_ids[:256, None], self.byte_ids)
+        self.words = Words()
 
     def fragments(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All bytes of the words, and each fragment's start, end and whether it ends its word."""
@@ -158,21 +172,23 @@ class WordBpe:
         return dict(zip(words, (ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 32 | b
+        key = a.astype(np.int64) << 32 | b
         at = np.searchsorted(self.pair_keys, key)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_MERGE)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], np.int32(NO_MERGE))
 
     def _merge_many(self, flat, start, length, final, width) -> tuple[np.ndarray, np.ndarray]:
         """Merge the leftmost lowest-ranked pair of every row until none has one."""
         n = len(start)
         col = np.arange(width)
         inside = col < length[:, None]
-        s = np.where(inside, self.byte_ids[0][flat[np.minimum(start[:, None] + col, len(flat) - 1)]], NOTHING)
+        code = flat[np.minimum(start[:, None] + col, len(flat) - 1)].astype(np.int16)
         tail = np.flatnonzero(final)
-        s[tail, length[tail] - 1] = self.byte_ids[1][flat[start[tail] + length[tail] - 1]]
+        code[tail, length[tail] - 1] += 256
+        s = np.where(inside, self.byte_ids[code], np.int32(NOTHING))
         done, count = s.copy(), length.copy()
         row = np.arange(n)
-        ranks = np.pad(self._ranks(s[:, :-1], s[:, 1:]), ((0, 0), (1, 1)), constant_values=NO_MERGE)  # ranks[:, j + 1] is of symbols j and j + 1
+        ranks = np.full((n, width + 1), NO_MERGE, np.int32)  # ranks[:, j + 1] is of symbols j and j + 1
+        ranks[:, 1:-1] = np.where(inside[:, 1:], self.byte_ranks[code[:, :-1] & 255, code[:, 1:]], np.int32(NO_MERGE))
         while len(row):
             j = ranks.argmin(axis=1)
             low = ranks[np.arange(len(row)), j]
@@ -241,21 +257,22 @@ class WordBpe:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
         pieces = [self._pieces(t or "") for t in texts]
         known = self.words
-        unknown: set[str] = set()
-        for ps in pieces:
-            for p in ps:
-                if not isinstance(p, int):
-                    unknown |= set(p).difference(known)
-        new = list(unknown)
+        known.unknown = {}
+        found = [[p if isinstance(p, int) else known.look(p) for p in ps] for ps in pieces]
+        new = known.unknown
         if len(known) + len(new) > WORD_CACHE:
-            known = {w: known[w] for ps in pieces for p in ps if not isinstance(p, int) for w in p if w in known}
-            self.words = dict(known) if len(known) + len(new) <= WORD_CACHE else {}
-        if new:
-            got = self.learn(new)
-            known.update(got)
-            if known is not self.words and len(self.words) + len(got) <= WORD_CACHE:
-                self.words.update(got)
-        return [b"".join(p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(known.__getitem__, p)) for p in ps) for ps in pieces]
+            used = {w: known[w] for ps in pieces for p in ps if not isinstance(p, int) for w in p if w not in new}
+            self.words = Words(used if len(used) + len(new) <= WORD_CACHE else {})
+        got = self.learn(list(new)) if new else {}
+        if len(self.words) + len(got) <= WORD_CACHE:
+            self.words.update(got)
+
+        def ids(piece, own) -> bytes:
+            if isinstance(own, int):
+                return own.to_bytes(4, "little")
+            return b"".join([got[w] if x is None else x for w, x in zip(piece, own, strict=True)] if None in own else own)
+
+        return [b"".join(map(ids, ps, own)) if len(ps) > 1 else ids(ps[0], own[0]) for ps, own in zip(pieces, found, strict=True)]
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_many([text])[0], "<u4")
@@ -269,7 +286,7 @@ class WordBpe:
 def load(path: str) -> WordBpe:
     """One encoder a worker process and file; other operators' tasks empty its words."""
     bpe = WordBpe(path)
-    CACHES.append(lambda: setattr(bpe, "words", {}))
+    CACHES.append(lambda: setattr(bpe, "words", Words()))
     return bpe
 
 

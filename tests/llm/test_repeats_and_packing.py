@@ -385,3 +385,16 @@ def test_queries_have_their_contracted_columns(spark, sf_dir):
     assert set(queries.QUERIES) == set(expected)
     for name, columns in expected.items():
         assert queries.QUERIES[name](spark, sf_dir).columns[: len(columns)] == columns
+
+
+def test_words_are_looked_up_once_and_byte_pairs_in_a_table(reference_tokenizer):
+    own = bpe.WordBpe(PATH)
+    for a, b in (("t", "h"), ("e", "r"), ("q", "z"), ("\xff", "0")):
+        for end in ("", own.end):
+            pair = own.chars.index(a) if a in own.chars else 0, own.chars.index(b) + 256 * bool(end)
+            assert own.byte_ranks[pair] == own.rank.get((own.chars[pair[0]], b + end), bpe.NO_MERGE)
+    text = "the other queen's 12 thé <|endoftext|> the"
+    for _ in range(2):  # unknown words are noted by the lookup that finds the known ones
+        ids = own.encode_many([text, None, "", "the"])
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [reference_tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "", "", "the")]
+    assert not own.words.unknown and own.words.look(["the", "unheard-of"])[1] is None and list(own.words.unknown) == ["unheard-of"]
