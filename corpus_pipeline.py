@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import cut, free_name, sent, table
+from ferrule.llm.common import cut, fewer, free_name, sent, table
 from ferrule.llm.langid import UNKNOWN, annotate_languages, learn_profiles, training_rows
 from ferrule.llm.minhash import shingle_near_duplicates, text_hash
 from ferrule.llm.packing import pack_documents
@@ -52,9 +52,9 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     kept = docs.withColumn(own, text_hash()).join(sent(copies), same, "left_anti")
     repeated = cut(kept.where("doc_id is not null").groupBy(same).count().where("count > 1").select(same))
     if repeated.isEmpty():
-        return kept.select(docs.columns)
+        return fewer(kept.select(docs.columns))
     one = kept.join(repeated, same, "left_semi").groupBy(same).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return kept.join(repeated, same, "left_anti").select(docs.columns).unionByName(one)
+    return fewer(kept.join(repeated, same, "left_anti").select(docs.columns).unionByName(one))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -284,10 +284,11 @@ class WordBpe:
 
 @cache
 def load(path: str) -> WordBpe:
-    """One encoder a worker process and file; other operators' tasks empty its words."""
-    bpe = WordBpe(path)
-    CACHES.append(lambda: setattr(bpe, "words", Words()))
-    return bpe
+    """One encoder a worker process and file, until another operator's task drops it."""
+    return WordBpe(path)
+
+
+CACHES.append(load.cache_clear)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, each, id_and_text, join_dealt, sent
+from .common import arrow_rows, cut, each, fewer, gathered, id_and_text, join_dealt, sent
 from .components import connected_components
 from .simhash import SEED, ball_links, of_hashes, shingle_hashes
 
@@ -188,19 +188,19 @@ def shingle_near_duplicates(docs: DataFrame, least: float = 0.8, radius: int = 2
     rows keep their repeats. An empty table gives an empty result.
     """
     docs = id_and_text(docs).where("doc_id is not null")
-    prints = cut(shingle_prints(docs, words))
+    prints = cut(fewer(shingle_prints(docs, words)))
     points = cut(prints.groupBy("fingerprint", "digest").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     by_print = cut(points.groupBy("fingerprint").agg(F.min("digest").alias("rep")))
 
     keyed = points.select(F.explode("bands").alias("key"), "digest")
-    first = cut(keyed.groupBy("key").agg(F.min("digest").alias("a"), F.count("*").alias("n")).where("n > 1"))
-    met = cut(join_dealt(keyed, first, ["key"], ["digest"]).where("digest <> a"))
+    first = cut(gathered(keyed.groupBy("key").agg(F.min("digest").alias("a"), F.count("*").alias("n")).where("n > 1")))
+    met = cut(gathered(join_dealt(keyed, first, ["key"], ["digest"]).where("digest <> a")))
     sizes = points.select("digest", "size")
     pairs = met.select("a", F.col("digest").alias("b")).distinct()
     sized = pairs.join(sizes.withColumnsRenamed({"digest": "a", "size": "na"}), "a").join(sizes.withColumnsRenamed({"digest": "b", "size": "nb"}), "b")
     stars = cut(sized.where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9).select("a", "b"))
     sets = _sets_of(stars.select(F.col("a").alias("digest")).unionByName(met.select("digest")), points, docs, words)
-    alike = cut(_alike(stars, sets, least))
+    alike = cut(gathered(_alike(stars, sets, least)))
 
     near = ball_links(by_print, radius).unionByName(alike.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     same = points.select("fingerprint", F.col("digest").alias("src")).join(by_print.withColumnRenamed("rep", "dst"), "fingerprint").where("src <> dst").select("src", "dst")
@@ -209,7 +209,7 @@ def shingle_near_duplicates(docs: DataFrame, least: float = 0.8, radius: int = 2
     placed = cut(met.join(own.withColumnRenamed("node", "digest"), "digest", "left").join(sizes, "digest").select("key", "digest", "size", F.coalesce("component", "digest").alias("component")))
     mixed = cut(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
     rest = cut(join_dealt(placed, mixed, ["key"], ["digest"]))  # the smallest was compared with all
-    late = cut(_late_links(rest, sets, least))
+    late = cut(gathered(_late_links(rest, sets, least)))
     over = connected_components(late).select(F.col("node").alias("component"), F.col("component").alias("top"))
     tops = (
         points.select("fingerprint", "digest")

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_dealt
+from .common import cut, gathered, join_dealt
 
 BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -69,17 +69,19 @@ class Resolved(NamedTuple):
     open: DataFrame
 
 
-def resolve(spans: DataFrame, seen: DataFrame, place: Column, done: Callable[[], None] = lambda: None) -> Resolved:
+def resolve(spans: DataFrame, seen: DataFrame, place: Column, done: Callable[[], None] = lambda: None, few: bool = False) -> Resolved:
     """Settle spans whose whole content occurs at an earlier place.
 
     ``spans``: doc_id, key, digest, first, last. ``seen`` (key, n) are the keys that
     occur at several places and how often. ``place`` orders occurrences (a struct or the id).
-    ``done`` is called when spans are read no more. Counts are combined before
-    every shuffle, so a passage that a third of all documents share costs one row
-    a task; rows are joined to hot keys in parts.
+    ``done`` is called when spans are read no more. With ``few`` the keys seen and
+    their spans are shuffled once more, to be written to few files. Counts are
+    combined before every shuffle, so a passage that a third of all documents share
+    costs one row a task; rows are joined to hot keys in parts.
     """
     where = ["doc_id", "first"]
-    shared = cut(join_dealt(spans, cut(seen.select("key", "n")), ["key"], where))
+    less = gathered if few else lambda df: df
+    shared = cut(less(join_dealt(spans, cut(less(seen.select("key", "n"))), ["key"], where)))
     done()
     first = cut(shared.groupBy("key", "digest").agg(F.min(place).alias("origin"), F.count("*").alias("n")))
     several = cut(first.groupBy("key").agg(F.count("*").alias("digests"), F.sum("n").alias("n")).where("digests > 1").select("key", "n"))
