@@ -12,6 +12,7 @@ from .embeddings import embedding_near_duplicates
 from .fingerprints import digest_classes, edited_prints, fingerprints, with_classes
 from .langid import identify_languages, learn_profiles, training_rows
 from .packing import pack_documents
+from .pages import extract_pages
 from .quality import learn_quality, score_quality, training_labels
 from .secrets import count_kind, scan_documents, spans_string
 from .simhash import simhash_near_duplicates
@@ -90,6 +91,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, profiles).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
@@ -101,6 +106,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_substrings": op9_substrings,
     "op10_language_id": op10_language_id,
+    "op13_html": op13_html,
 }
 
 #: The others hash with XXH64, tokenize or learn, which SQL can't say.
