@@ -80,3 +80,16 @@ cov AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS k FROM win JOIN firs
 u AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM words),
 kept AS (SELECT u.doc_id, count(cov.k) AS removed, string_agg(w, ' ' ORDER BY u.k) FILTER (WHERE cov.k IS NULL) AS t FROM u LEFT JOIN cov ON cov.doc_id = u.doc_id AND cov.k = u.k GROUP BY 1)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)"""
+
+OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER w)::INTEGER AS rank, s.other AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other)
+QUALIFY rank <= 5
+"""

@@ -11,6 +11,7 @@ from .common import cut, fold, table
 from .embeddings import embedding_near_duplicates
 from .fingerprints import digest_classes, edited_prints, fingerprints, with_classes
 from .langid import identify_languages, learn_profiles, training_rows
+from .negatives import mine_hard_negatives
 from .packing import pack_documents
 from .pages import extract_pages
 from .quality import learn_quality, score_quality, training_labels
@@ -91,6 +92,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, profiles).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0, positives=5, k=5, low=80, high=100, scale=256.0)
+
+
 def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -106,8 +113,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_substrings": op9_substrings,
     "op10_language_id": op10_language_id,
+    "op11_negatives": op11_negatives,
     "op13_html": op13_html,
 }
 
 #: The others hash with XXH64, tokenize or learn, which SQL can't say.
-ORACLE_SQL: dict[str, str] = {"op2_secrets": oracle.OP2, "op3_embeddings": oracle.OP3, "op7_suffixes": oracle.OP7, "op9_substrings": oracle.OP9}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": oracle.OP2, "op3_embeddings": oracle.OP3, "op7_suffixes": oracle.OP7, "op9_substrings": oracle.OP9, "op11_negatives": oracle.OP11}

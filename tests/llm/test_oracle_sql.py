@@ -13,10 +13,11 @@ from .test_text_operators import SECRETS
 def hostile(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("hostile"))
     rows = list(dict(hostile_texts(seed=9)).items()) + [(3000 + i, t) for i, t in dict(SECRETS).items()]
-    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(*r, ("en", "fr", None)[r[0] % 3]) for r in rows], DOCS + ", lang string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
     base = [r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").limit(30).collect()]
     near = [[x + 0.002 * ((i + k) % 7 - 3) for k, x in enumerate(base[0])] for i in range(12)]
-    spark.createDataFrame(list(enumerate(base + near + [base[5], base[5]])), "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    vectors = [(100 * i if i % 3 else i, e, i % 4 if i % 9 else None) for i, e in enumerate(base + near + [base[5], base[5]])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
