@@ -93,3 +93,22 @@ FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same AND 8
 WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other)
 QUALIFY rank <= 5
 """
+
+OP12 = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+one AS (SELECT lang, w[i] AS x, count(*) AS f FROM starts GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY ALL),
+two AS (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS f FROM starts WHERE i < len(w) GROUP BY ALL),
+three AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f FROM starts WHERE i + 1 < len(w) GROUP BY ALL HAVING count(*) >= 10),
+longer AS (SELECT lang, x, y, max(f) AS m FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY ALL),
+cuts AS (
+  SELECT t.lang, t.x || ' ' || t.y AS phrase, t.f AS a, 1 AS k, p.f AS l, q.f AS r FROM two t JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN one q ON q.lang = t.lang AND q.x = t.y
+    LEFT JOIN longer g ON g.lang = t.lang AND g.x = t.x AND g.y = t.y WHERE t.f >= 10 AND (g.m IS NULL OR 100 * g.m < 50 * t.f)
+  UNION ALL SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 1, p.f, q.f FROM three t JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN two q ON q.lang = t.lang AND q.x = t.y AND q.y = t.z
+  UNION ALL SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 2, p.f, q.f FROM three t JOIN two p ON p.lang = t.lang AND p.x = t.x AND p.y = t.y JOIN one q ON q.lang = t.lang AND q.x = t.z),
+scored AS (SELECT *, (1000000 * a::HUGEINT * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT s.lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM scored s JOIN total t ON t.lang = s.lang
+WINDOW w AS (PARTITION BY s.lang ORDER BY score DESC, a DESC, phrase) QUALIFY rank <= 2000
+"""

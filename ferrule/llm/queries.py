@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .bpe import decode_documents, encode_documents
+from .collocations import collocations
 from .common import cut, fold, table
 from .embeddings import embedding_near_duplicates
 from .fingerprints import digest_classes, edited_prints, fingerprints, with_classes
@@ -98,6 +99,10 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0, positives=5, k=5, low=80, high=100, scale=256.0)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=10, longest=3, share=50, top=2000)
+
+
 def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -114,8 +119,9 @@ QUERIES = {
     "op9_substrings": op9_substrings,
     "op10_language_id": op10_language_id,
     "op11_negatives": op11_negatives,
+    "op12_collocations": op12_collocations,
     "op13_html": op13_html,
 }
 
 #: The others hash with XXH64, tokenize or learn, which SQL can't say.
-ORACLE_SQL: dict[str, str] = {"op2_secrets": oracle.OP2, "op3_embeddings": oracle.OP3, "op7_suffixes": oracle.OP7, "op9_substrings": oracle.OP9, "op11_negatives": oracle.OP11}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": oracle.OP2, "op3_embeddings": oracle.OP3, "op7_suffixes": oracle.OP7, "op9_substrings": oracle.OP9, "op11_negatives": oracle.OP11, "op12_collocations": oracle.OP12}
