@@ -43,20 +43,10 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fewer(df: DataFrame) -> DataFrame:
-    """``df`` in a quarter as many partitions as a shuffle has (two for each core at least), merged without a shuffle.
-
-    For what tasks write that stream their rows. Every file costs the processes
-    that Spark's local file system starts for it, and an open by each reader.
-    """
-    spark = df.sparkSession
-    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)))
-
-
 def gathered(df: DataFrame) -> DataFrame:
     """``df``, few rows made by many tasks, shuffled to partitions of the session's advised size, so they are written to few files."""
     return df.hint("rebalance")
@@ -77,6 +67,9 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Most bytes a Parquet writer holds before it writes a row group; every writing task has one, so executors stay small.
+GROUP_BYTES = 16 << 20
+
 #: Most bytes of an Arrow batch that goes to a Python worker.
 BATCH_BYTES = 1 << 20
 
@@ -173,7 +166,10 @@ def _batch(schema: pa.Schema, held: list[tuple]) -> pa.RecordBatch:
 #: What empties a worker's caches; workers are used again by other operators' tasks.
 CACHES: list[Callable[[], None]] = []
 
-_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _trim = lambda _: None
 
 
 def release() -> None:

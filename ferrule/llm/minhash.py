@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, each, fewer, gathered, id_and_text, join_dealt, sent
+from .common import arrow_rows, cut, each, gathered, id_and_text, join_dealt, sent
 from .components import connected_components
 from .simhash import SEED, ball_links, of_hashes, shingle_hashes
 
@@ -188,7 +188,7 @@ def shingle_near_duplicates(docs: DataFrame, least: float = 0.8, radius: int = 2
     rows keep their repeats. An empty table gives an empty result.
     """
     docs = id_and_text(docs).where("doc_id is not null")
-    prints = cut(fewer(shingle_prints(docs, words)))
+    prints = cut(shingle_prints(docs, words))
     points = cut(prints.groupBy("fingerprint", "digest").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     by_print = cut(points.groupBy("fingerprint").agg(F.min("digest").alias("rep")))
 

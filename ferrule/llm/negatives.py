@@ -24,7 +24,7 @@ cost what one row costs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -299,65 +299,97 @@ def _sent(batch: pa.RecordBatch, at: np.ndarray, leaf: np.ndarray, blocks: int |
     return pa.RecordBatch.from_arrays([*part.columns, size, pa.array(leaf), pa.array([blocks] * len(at), pa.int32())], names=[*_NAMES, "dim", "leaf", "blocks"])
 
 
-def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole vectors."""
-    if not x.size or not q.size:
-        return np.zeros(len(x), np.int64)
-    bound = int(np.abs(x).max()) * int(np.abs(q).max()) * len(q)
+def _product(x: np.ndarray, q: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Exact inner products of rows of whole vectors: by floating point while it can't round, else by integers."""
+    bound = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * x.shape[1]
     if bound < 1 << 53:
-        return (x.astype(float) @ q.astype(float)).astype(np.int64)
-    if bound <= _MOST:
-        return x @ q
-    raise OverflowError("inner products may pass 64 bits")
-
-
-def nearest_first(block: dict, q: np.ndarray, q2: float, low: np.ndarray, top: np.ndarray, lo: int, hi: int, kth: int, wanted: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """The first k of (-score, id) among the wanted members whose score is in [lo, hi]: leaves by their greatest possible score, until none left can be as good."""
-    best: list[tuple[int, int]] = []
-    floor = max(lo, kth)
-    reach = np.flatnonzero((low <= hi) & (top >= floor))
-    reach = reach[np.argsort(-np.minimum(top[reach], hi), kind="stable")]
+        y, z = q.astype(float), x.astype(float)
+        return lambda some, part: (y[some] @ z[part].T).astype(np.int64)
+    if bound > _MOST:
+        raise OverflowError("inner products may pass 64 bits")
+    return lambda some, part: q[some] @ x[part].T
+
+
+@dataclass
+class Search:
+    """Asked rows that meet one block: the vector each has (``which`` of q), its label, window and bound, and what the tree says of each leaf."""
+
+    q: np.ndarray
+    which: np.ndarray
+    label: np.ndarray
+    floor: np.ndarray
+    hi: np.ndarray
+    low: np.ndarray
+    top: np.ndarray
+
+
+def nearest_first(block: dict, ask: Search, same: bool, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(asked row, score, id): of each asked row the first k wanted members with a score from floor to hi.
+
+    Every row goes through the leaves by the greatest score they can hold in its
+    window, one, two, four, ... at a time, and ends where no leaf left can hold
+    one as good as its k-th. Rows that are at the same leaf take it together.
+    """
+    product = _product(block["v"], ask.q)
+    floor = ask.floor.copy()
+    reach = (ask.low <= ask.hi[:, None]) & (ask.top >= floor[:, None])
+    turn = np.argsort(np.argsort(np.where(reach, -np.minimum(ask.top, ask.hi[:, None]), np.inf), axis=1, kind="stable"), axis=1, kind="stable")
+    who, score, name = (np.empty(0, np.int64) for _ in range(3))
     at, step = 0, 1
-    while at < len(reach) and top[reach[at]] >= floor:
-        now = reach[at : at + step]
-        rows = np.concatenate([np.arange(block["starts"][j], block["starts"][j + 1]) for j in now.tolist()])
-        rows = rows[wanted[rows]]
-        s = _scores(block["v"][rows], q)
-        good = (s >= floor) & (s <= hi)
-        if good.any():
-            new = [(-score, i) for r, score in zip(rows[good].tolist(), s[good].tolist(), strict=True) for i in block["held"][r]]
-            best = sorted(best + new)[:k]
-            if len(best) == k:
-                floor = max(floor, -best[-1][0])
+    while at < turn.shape[1]:
+        need = reach & (turn >= at) & (turn < at + step) & (ask.top >= floor[:, None])
+        found = []
+        for j in np.flatnonzero(need.any(axis=0)).tolist():
+            rows = np.flatnonzero(need[:, j])
+            part = slice(block["starts"][j], block["starts"][j + 1])
+            some, back = np.unique(ask.which[rows], return_inverse=True)
+            s = product(some, part)[back]
+            good = (s >= floor[rows, None]) & (s <= ask.hi[rows, None]) & ((block["label"][part][None, :] == ask.label[rows, None]) == same)
+            i, m = np.nonzero(good)
+            found.append((rows[i], s[i, m], m + part.start))
+        if found:
+            row, value, member = (np.concatenate(c) for c in zip(*found, strict=True))
+            held = block["held"][member]
+            there = np.arange(held.shape[1])[None, :] < block["holds"][member][:, None]
+            times = block["holds"][member]
+            who, score, name = np.append(who, np.repeat(row, times)), np.append(score, np.repeat(value, times)), np.append(name, held[there])
+            order = np.lexsort((name, -score, who))
+            who, score, name = who[order], score[order], name[order]
+            first = np.flatnonzero(np.diff(who, prepend=-1))
+            place = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
+            who, score, name, place = (c[place < k] for c in (who, score, name, place))
+            last = place == k - 1
+            floor[who[last]] = np.maximum(floor[who[last]], score[last])
         at, step = at + step, 2 * step
-    return best
+    return who, score, name
 
 
 def _answers(asked: pa.Table, blocks: pa.Table, same: bool, k: int, most: float) -> pa.Table:
-    found: list[tuple[int, int, int, int]] = []
+    found: list[tuple] = []
     if asked.num_rows and blocks.num_rows:
         row = blocks.slice(0, 1).to_pylist()[0]
         n = row["n"]
-        x, labels = np.frombuffer(row["v"], np.int64).reshape(n, -1), np.frombuffer(row["label"], np.int64)
-        block = {"v": x, "starts": row["starts"], "held": row["held"]}
+        holds = np.array([len(h) for h in row["held"]])
+        held = np.zeros((n, max(1, int(holds.max()))), np.int64)
+        held[np.arange(held.shape[1])[None, :] < holds[:, None]] = np.concatenate(row["held"])
+        block = {"v": np.frombuffer(row["v"], np.int64).reshape(n, -1), "label": np.frombuffer(row["label"], np.int64), "starts": row["starts"], "held": held, "holds": holds}
         points = sorted({p for above in row["vantage"] for p in above})
         column = {p: i for i, p in enumerate(points)}
-        q = _vectors(asked["v"])
+        bounds = [([column[p] for p in a], np.array(s), np.array(g)) for a, s, g in zip(row["vantage"], row["least"], row["greatest"], strict=True)]
+        anchors, wins = np.asarray(asked["anchor"]), np.asarray(asked["win"])
+        _, one, which = np.unique(anchors, return_index=True, return_inverse=True)
+        q = _vectors(asked["v"].take(pa.array(one)))
         y = q.astype(float)
         q2 = _norm2(y)
-        who, win, label, lo, hi, kth = (asked[c].to_pylist() for c in ("anchor", "win", "label", "lo", "hi", "kth"))
-        bounds = [([column[p] for p in a], np.array(s), np.array(g)) for a, s, g in zip(row["vantage"], row["least"], row["greatest"], strict=True)]
-        for at in range(0, len(q), 512):
-            part = slice(at, at + 512)
-            apart = np.sqrt(np.maximum(q2[part, None] + most - 2 * (y[part] @ x[points].astype(float).T), 0))
-            reach = [_reach(q2[part], apart[:, a], s, g, most) for a, s, g in bounds]
-            low, top = np.stack([r[0] for r in reach], axis=1), np.stack([r[1] for r in reach], axis=1)
-            for i in range(len(low)):
-                j = at + i
-                wanted = (labels == label[j]) == same
-                best = nearest_first(block, q[j], q2[j], low[i], top[i], lo[j], hi[j], _LEAST if kth[j] is None else kth[j], wanted, k)
-                found += [(who[j], win[j], -s, v) for s, v in best]
-    columns = list(zip(*found, strict=True)) or [[]] * 4
+        apart = np.sqrt(np.maximum(q2[:, None] + most - 2 * (y @ block["v"][points].astype(float).T), 0)) if points else np.empty((len(q), 0))
+        low, top = (np.stack(c, axis=1) for c in zip(*(_reach(q2, apart[:, a], s, g, most) for a, s, g in bounds), strict=True))
+        label, hi = np.asarray(asked["label"]), np.asarray(asked["hi"])
+        floor = np.maximum(np.asarray(asked["lo"]), np.asarray(asked["kth"].fill_null(_LEAST)))
+        for at in range(0, len(which), 1024):
+            p = slice(at, at + 1024)
+            i, score, name = nearest_first(block, Search(q, which[p], label[p], floor[p], hi[p], low[which[p]], top[which[p]]), same, k)
+            found.append((anchors[p][i], wins[p][i], score, name))
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.empty(0, np.int64)] * 4
     return pa.table([pa.array(c, pa.int64()) for c in columns], names=["anchor", "win", "score", "id"])
 
 

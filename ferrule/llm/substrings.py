@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField
 
-from .common import add_columns, arrow_rows, cut, discard, distinct_documents, each, fewer, free_name, gathered, id_and_text, join_dealt, with_ranges
+from .common import add_columns, arrow_rows, cut, discard, distinct_documents, each, free_name, gathered, id_and_text, join_dealt, with_ranges
 from .repeats import Rolling, by_document, covered, mix, resolve, signed, sliding
 
 ROUNDS = 3
@@ -128,10 +128,10 @@ def _open_windows(docs: DataFrame, ranges: DataFrame, window: int) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, first, last): starts of windows whose words also start in a document with a smaller id. ``docs`` has one row an id."""
-    spans = cut(fewer(window_spans(docs, window)))
+    spans = cut(window_spans(docs, window))
     seen = spans.groupBy("key").agg((F.min("doc_id") < F.max("doc_id")).alias("several"), F.count("*").alias("n")).where("several")
     found = resolve(spans, seen, F.col("doc_id"), lambda: discard(spans), few=True)
-    windows = cut(fewer(_open_windows(docs, found.open, window)))
+    windows = cut(_open_windows(docs, found.open, window))
     origin = cut(gathered(windows.groupBy("a", "b").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("origin < most").drop("most")))
     late = join_dealt(windows, origin, ["a", "b"], ["doc_id", "at"]).where("doc_id > origin").select("doc_id", F.col("at").alias("first"), F.col("at").alias("last"))
     return found.settled.unionByName(late)
@@ -163,7 +163,7 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         return arrow_rows(schema, rows(), 500)
 
-    return fewer(with_ranges(id_and_text(docs), ranges, twice).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"))
+    return with_ranges(id_and_text(docs), ranges, twice).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -192,4 +192,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     marked = with_ranges(docs, ranges, twice)
     out = add_columns(marked, ["text", name], [StructField("text", StringType())], [pa.string()], work)
-    return fewer(out.where(F.col("text").isNotNull() | F.col(name).isNull()).select(docs.columns))
+    return out.where(F.col("text").isNotNull() | F.col(name).isNull()).select(docs.columns)

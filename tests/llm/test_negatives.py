@@ -73,9 +73,9 @@ def test_nothing_to_find(spark):
 def test_large_components_are_exact():
     q = np.array([(1 << 30) + 1, 3, 5], np.int64)
     x = np.array([[(1 << 30) + 7, 1, 1], [1, 1, 1]], np.int64)
-    assert negatives._scores(x, q).tolist() == [int(a) for a in (x.astype(object) @ q.astype(object))]
+    assert negatives._product(x, q[None, :])(slice(None), slice(None)).tolist() == [[int(a) for a in (x.astype(object) @ q.astype(object))]]
     with pytest.raises(OverflowError):
-        negatives._scores(x << 5, q << 5)
+        negatives._product(x << 5, q[None, :] << 5)
 
 
 def test_bounds_hold_for_every_member():

@@ -4,7 +4,7 @@ import public_tokenizers
 import pyarrow as pa
 
 import corpus_pipeline
-from ferrule.llm import bpe, common, minhash, repeats, substrings
+from ferrule.llm import bpe, common
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -39,44 +39,6 @@ def test_stages_on_hostile_rows(spark):
             assert set(found) == {-1, *range(11)} - {6}
 
 
-def test_stages_write_few_files(spark, monkeypatch):
-    """What the two stages write in between, and give, from 40 partitions: every file starts processes beside the executor's JVM."""
-    words = [f"w{i}" for i in range(400)]
-    rows = [(i, " ".join(words[i % 7 * 50 :][:120] + [f"own{i}x{j}" for j in range(60)]), "en", "x", 5) for i in range(240)]
-    docs = spark.createDataFrame(rows, KIND).repartition(40)
-    files = []
-
-    def counted(df):
-        out = common.cut(df)
-        files.append(len(out.inputFiles()))
-        return out
-
-    for module in (substrings, repeats, minhash, corpus_pipeline):
-        monkeypatch.setattr(module, "cut", counted)
-    most = max(2 * spark.sparkContext.defaultParallelism, 40 // 4)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "40")
-    try:
-        for stage in (corpus_pipeline.simhash_stage, corpus_pipeline.substring_stage):
-            files.clear()
-            out = common.cut(stage(spark, docs, "unused"))
-            assert max(files) <= most and len(out.inputFiles()) <= most
-            texts = {r["doc_id"]: r["text"] for r in out.collect()}
-            if stage is corpus_pipeline.simhash_stage:
-                assert len(texts) == len(rows)
-            else:
-                earlier, kept = set(), {}
-                for i, text, *_ in rows:
-                    own = text.split()
-                    windows = [tuple(own[k : k + 50]) for k in range(len(own) - 49)]
-                    gone = {k + j for k, w in enumerate(windows) if w in earlier for j in range(50)}
-                    earlier |= set(windows)
-                    kept[i] = [w for k, w in enumerate(own) if k not in gone]
-                assert {i: t.split() for i, t in texts.items()} == kept
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-
-
 def test_other_operators_drop_the_encoder():
     """A worker that packed holds no tokenizer's tables while it runs another stage, and small slices while it packs."""
     bpe.load(public_tokenizers.path("word_bpe_49k.json"))

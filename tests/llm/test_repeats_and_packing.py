@@ -347,15 +347,17 @@ def test_pipeline_stages_against_brute_force(spark, reference_tokenizer, monkeyp
     first = found["language"]
     assert 9001 not in first and 9002 not in first and 9003 in first
     prints = {i: simhash.fingerprint(r["text"], 5) for i, r in first.items()}
+    sets = {i: set(simhash.shingle_hashes(r["text"], 5)) for i, r in first.items()}
+    # the stage's rule: a likeness of 0.8 and more, or two bits at most
+    near = {(a, b) for a in prints for b in prints if bin(prints[a] ^ prints[b]).count("1") <= 2 or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0}
     label = {i: i for i in prints}
     changed = True
     while changed:
         changed = False
-        for a in prints:
-            for b in prints:
-                if bin(prints[a] ^ prints[b]).count("1") <= 2 and label[a] != label[b]:
-                    label[a] = label[b] = min(label[a], label[b])
-                    changed = True
+        for a, b in near:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
     kept = {i for i in prints if label[i] == i}
     assert set(found["near_duplicates"]) == kept and 9003 not in kept
     words = brute_words([(i, found["near_duplicates"][i]["text"]) for i in kept])
@@ -381,6 +383,9 @@ def test_queries_have_their_contracted_columns(spark, sf_dir):
         "op8_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         "op9_substrings": ["doc_id", "n_words", "n_removed", "kept_sha256"],
         "op10_language_id": ["doc_id", "held_out", "lang_pred", "score"],
+        "op11_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+        "op12_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+        "op13_html": ["page_id", "url", "text", "n_chars"],
     }
     assert set(queries.QUERIES) == set(expected)
     for name, columns in expected.items():
