@@ -9,6 +9,11 @@ document's share of good text, which a two-parameter logistic turns into a score
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+from itertools import islice
+from math import exp, log1p
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,17 +41,12 @@ _EDGES = np.array([
 ])
 N_OWN = _EDGES.size
 N_ALL = 3 * N_OWN + 3
+#: Lines whose features are held at once, and lines whose evidence is.
+LINES, HELD_LINES = 4096, 1 << 16
 
 
-def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features in steps of every line that isn't blank, with their neighbours', and the lines' lengths.
-
-    Each of ten measures is told by which of its four bounds it exceeds. A text
-    without a line has one line of length one without features.
-    """
-    lines = [x for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n") if x.strip()]
-    if not lines:
-        return np.zeros((1, N_ALL)), np.ones(1)
+def _own_features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Which bounds each of ten measures of each line exceeds, and the lines' lengths."""
     measures = np.empty((len(lines), len(_EDGES)))
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     start = np.cumsum(size) - size
@@ -67,11 +67,36 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         row[7] = n
     measures[:, 7] = letters / measures[:, 7]
     measures[:, 8] = np.log(size)
-    own = (measures[:, :, None] > _EDGES).reshape(len(lines), N_OWN).astype(np.float64)
+    return (measures[:, :, None] > _EDGES).reshape(len(lines), N_OWN), size.astype(np.float64)
+
+
+def feature_blocks(text: str | None, step: int = LINES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features in steps of every line that isn't blank, with their neighbours', and the lines' lengths, ``step`` lines at a time.
+
+    Each of ten measures is told by which of its four bounds it exceeds. A text
+    without a line has one line of length one without features.
+    """
+    lines = (x.removesuffix(b"\n") for x in io.BytesIO((text or "").encode("utf-8", "surrogatepass")) if x.strip())
+    blocks = iter(lambda: list(islice(lines, step)), [])
+    now = next(blocks, None)
+    if now is None:
+        yield np.zeros((1, N_ALL)), np.ones(1)
+        return
     none = np.zeros((1, N_OWN))
-    ends = np.zeros((len(lines), 3))
-    ends[:, 0], ends[0, 1], ends[-1, 2] = 1, 1, 1
-    return np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none]), ends]), size.astype(np.float64)
+    before, (own, size), first = none, _own_features(now), 1
+    while own is not None:
+        ahead = next(blocks, None)
+        following, lengths = _own_features(ahead) if ahead else (None, None)
+        ends = np.zeros((len(own), 3))
+        ends[:, 0], ends[0, 1], ends[-1, 2] = 1, first, following is None
+        yield np.hstack([own, np.vstack([before, own[:-1]]), np.vstack([own[1:], none if following is None else following[:1]]), ends]), size
+        before, own, size, first = own[-1:], following, lengths, 0
+
+
+def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """All of feature_blocks() at once."""
+    x, size = zip(*feature_blocks(text), strict=True)
+    return np.vstack(x), np.concatenate(size)
 
 
 def _padded(chains: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +112,22 @@ def _pass(u: float | np.ndarray, a: np.ndarray, stay: float) -> np.ndarray:
     return np.logaddexp(0.0, stay + a) - np.logaddexp(stay, a) + u
 
 
+def _alone(u: list[float], stay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward log-odds of one long chain, as log_odds() has them."""
+
+    def step(a: float) -> float:
+        return max(0.0, stay + a) + log1p(exp(-abs(stay + a))) - max(stay, a) - log1p(exp(-abs(stay - a)))
+
+    f, b = np.empty(len(u)), np.zeros(len(u))
+    a = f[0] = u[0]
+    for t in range(1, len(u)):
+        f[t] = a = step(a) + u[t]
+    a = 0.0
+    for t in range(len(u) - 2, -1, -1):
+        b[t] = a = step(u[t + 1] + a)
+    return f, b
+
+
 def log_odds(evidence: list[np.ndarray], stay: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Forward and backward log-odds of 'good' for each line of each chain.
 
@@ -100,6 +141,10 @@ def log_odds(evidence: list[np.ndarray], stay: float) -> tuple[list[np.ndarray],
         to = at
         while to < len(order) and len(evidence[order[to]]) <= most:
             to += 1
+        if to == at + 1 and len(evidence[order[at]]) > LINES:
+            forward[order[at]], backward[order[at]] = _alone(evidence[order[at]].tolist(), stay)
+            at = to
+            continue
         u, length = _padded([evidence[i] for i in order[at:to]])
         f, b = u.copy(), np.zeros_like(u)
         for t in range(1, u.shape[1]):
@@ -125,11 +170,23 @@ class LineField:
 
     def shares(self, documents: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Length-weighted mean of the lines' marginals of 'good', for each document."""
-        f, b = log_odds([x @ self.weights for x, _ in documents], self.stay)
-        return np.array([(_sigmoid(p + q) * n).sum() / n.sum() for p, q, (_, n) in zip(f, b, documents, strict=True)])
+        return self._weighed([(x @ self.weights, n) for x, n in documents])
+
+    def _weighed(self, evidence: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        f, b = log_odds([u for u, _ in evidence], self.stay)
+        return np.array([(_sigmoid(p + q) * n).sum() / n.sum() for p, q, (_, n) in zip(f, b, evidence, strict=True)])
+
+    def evidence(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The evidence and length of each line of a text; features are held for LINES lines at once, so a text's lines cost a few numbers each."""
+        u, n = zip(*((x @ self.weights, n) for x, n in feature_blocks(text)), strict=True)
+        return np.concatenate(u), np.concatenate(n)
 
     def scores(self, documents: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        share = np.clip(self.shares(documents), 1e-6, 1 - 1e-6)
+        return self.scores_of([(x @ self.weights, n) for x, n in documents])
+
+    def scores_of(self, evidence: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Scores of documents told by the evidence of their lines."""
+        share = np.clip(self._weighed(evidence), 1e-6, 1 - 1e-6)
         return _sigmoid(self.slope * np.log(share / (1 - share)) + self.shift)
 
 
@@ -202,7 +259,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, most: int = 4000, most_lin
     def run(batches):
         def rows():
             for doc_id, text, quality in each(batches, 64):
-                x, n = line_features(text)
+                x, n = next(feature_blocks(text, most_lines + 1))
                 if len(n) <= most_lines:
                     yield doc_id, quality, np.packbits(x.astype(bool), axis=1).tobytes(), n.tolist()
 
@@ -221,23 +278,26 @@ def score_quality(docs: DataFrame, field: LineField | None) -> DataFrame:
 
     score is 0 to 1, higher for likelier good. Null and empty texts score what a
     line without features does; without a fitted field every score is 0.5.
-    Repeated rows keep their repeats; an empty table stays empty.
+    Repeated rows keep their repeats; an empty table stays empty. A worker holds
+    the features of LINES lines and some 50 bytes for each line of the documents
+    scored together (HELD_LINES lines, or one document).
     """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
         def rows():
-            held: list = []
+            held, lines = [], 0
             for doc_id, text in each(batches):
-                held.append((doc_id, *line_features(text)))
-                if len(held) == 256:
+                held.append((doc_id, *(field.evidence(text) if field else (None, ()))))
+                lines += len(held[-1][2])
+                if len(held) == 256 or lines >= HELD_LINES:
                     yield from done(held)
-                    held = []
+                    held, lines = [], 0
             yield from done(held)
 
         def done(held):
             if held:
-                scores = field.scores([h[1:] for h in held]) if field else np.full(len(held), 0.5)
+                scores = field.scores_of([h[1:] for h in held]) if field else np.full(len(held), 0.5)
                 yield from zip([h[0] for h in held], scores.tolist(), strict=True)
 
         return arrow_rows(schema, rows())
