@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import agreement, ann, cascades, crossmodal, dense, evaluation, fusion, generation, graphs, information, learning, lexical, principle, relational, sampling
+from .queries import agreement, ann, cascades, crossmodal, dense, evaluation, factor, fusion, generation, graphs, information, learning, lexical, principle, relational, sampling
 
-MODULES = (lexical, dense, fusion, evaluation, agreement, generation, information, learning, ann, graphs, cascades, relational, principle, crossmodal, sampling)
+MODULES = (lexical, dense, fusion, evaluation, agreement, generation, information, learning, ann, graphs, cascades, relational, principle, crossmodal, sampling, factor)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:
