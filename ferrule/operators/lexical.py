@@ -145,6 +145,22 @@ def vsm_scores(index: LexicalIndex, queries: DataFrame, variant: str = "smooth",
     return scores.join(doc_norm, "doc_id").join(query_norm, "qid").select("qid", "doc_id", (F.col("score") / (F.col("dn") * F.col("qn"))).alias("score"))
 
 
+def vsm_contributions(index: LexicalIndex, queries: DataFrame, norms: DataFrame, variant: str = "smooth", sub: bool = True) -> DataFrame:
+    """(qid, doc_id, term, contribution): each shared term's part of the cosine; ``norms`` (doc_id, dn) are the lengths of the documents' weights."""
+    own = index.with_stats(queries.join(index.terms, "term")).select("qid", "term", ((sublinear("qtf") if sub else F.col("qtf").cast("double")) * idf(variant)).alias("qw"))
+    query_norm = own.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
+    met = own.join(document_weights(index, variant, sub), "term").join(norms, "doc_id").join(query_norm, "qid")
+    return met.select("qid", "doc_id", "term", (F.col("qw") * F.col("w") / (F.col("dn") * F.col("qn"))).alias("contribution"))
+
+
+def ql_contributions(index: LexicalIndex, queries: DataFrame, pairs: DataFrame, mu: float = 2000.0) -> DataFrame:
+    """(qid, doc_id, term, matched, contribution) of the given pairs: c(t,q) ln P(t|d) of every known query term, also of those a document lacks."""
+    known = index.with_stats(queries.join(index.terms, "term")).select("qid", "term", "qtf", (F.col("cf") / F.col("coll_len")).alias("pc"))
+    every = pairs.select("qid", "doc_id").join(known, "qid").join(index.docs, "doc_id")
+    met = every.join(index.postings.select("doc_id", "term", "tf"), ["doc_id", "term"], "left")
+    return met.select("qid", "doc_id", "term", F.col("tf").isNotNull().alias("matched"), (F.col("qtf") * F.log((F.coalesce("tf", F.lit(0)) + mu * F.col("pc")) / (F.col("dl") + mu))).alias("contribution"))
+
+
 def vsm_rank(index: LexicalIndex, queries: DataFrame, k: int = 10, **options) -> DataFrame:
     return top_k(vsm_scores(index, queries, **options), k)
 

@@ -33,37 +33,36 @@ def _queries(spark, d):
 
 @book.query(f"WITH {INDEX_SQL} SELECT term, df, cf FROM terms")
 def index_terms(spark, d):
-    return _index(spark, d).terms.select("term", n("df").alias("df"), n("cf").alias("cf"))
+    return _forward(spark, d).terms.select("term", n("df").alias("df"), n("cf").alias("cf"))
 
 
 @book.query(f"WITH {INDEX_SQL} SELECT n, {rs('avgdl')} AS avgdl, coll_len FROM coll")
 def index_statistics(spark, d):
-    return _index(spark, d).stats.select("n", r("avgdl").alias("avgdl"), "coll_len")
+    return _forward(spark, d).stats.select("n", r("avgdl").alias("avgdl"), "coll_len")
 
 
 @book.query(f"WITH {INDEX_SQL} " + ranked_sql(_BM25, 10))
 def bm25_topk(spark, d):
-    return ranked(L.bm25_rank(_index(spark, d), _queries(spark, d)))
+    return ranked(forward.bm25_rank(_forward(spark, d), _queries(spark, d)))
 
 
 @book.query(f"WITH {INDEX_SQL} " + ranked_sql(_BM25.replace(_TF, f"tf * ({K1} + 1) / (tf + {K1})"), 10))
 def bm25_without_length(spark, d):
-    return ranked(L.bm25_rank(_index(spark, d), _queries(spark, d), b=0.0))
+    return ranked(forward.bm25_rank(_forward(spark, d), _queries(spark, d), b=0.0))
 
 
 @book.query(f"""WITH {INDEX_SQL}, raw AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS x FROM terms, coll)
 SELECT term, {rs("CASE WHEN x < 0 THEN 0.25 * (SELECT avg(x) FROM raw) ELSE x END")} AS idf FROM raw""")
 def okapi_idf_floor(spark, d):
-    return L.okapi_idf(_index(spark, d)).select("term", r("idf").alias("idf"))
+    return L.okapi_idf(_forward(spark, d)).select("term", r("idf").alias("idf"))
 
 
 @book.query(f"""WITH {INDEX_SQL}, best AS (SELECT qid, doc_id FROM ({ranked_sql(_BM25, 1)}))
 SELECT q.qid, p.doc_id, q.term, {rs(f'{_IDF} * {_TF}')} AS contribution FROM (SELECT DISTINCT qid, term FROM qt) q JOIN postings p USING (term) JOIN terms USING (term) JOIN lens USING (doc_id) JOIN best b ON b.qid = q.qid AND b.doc_id = p.doc_id, coll""")
 def bm25_explanations(spark, d):
-    index, queries = _index(spark, d), _queries(spark, d)
-    parts = L.bm25_contributions(index, queries)
-    best = top_k(parts.groupBy("qid", "doc_id").agg(F.sum("contribution").alias("score")), 1).select("qid", "doc_id")
-    return parts.join(best, ["qid", "doc_id"]).select("qid", "doc_id", "term", r("contribution").alias("contribution"))
+    index, queries = _forward(spark, d), _queries(spark, d)
+    parts = forward.explained(index, forward.bm25_rank(index, queries, 1), queries, L.bm25_contributions)
+    return parts.select("qid", "doc_id", "term", r("contribution").alias("contribution"))
 
 
 _GRID = [(k1, b) for k1 in (0.9, 1.5) for b in (0.0, 0.4, 0.75)]
@@ -87,17 +86,32 @@ dn AS (SELECT doc_id, sqrt(sum(w * w)) AS dn FROM w GROUP BY 1), qn AS (SELECT q
 
 @book.query(f"WITH {INDEX_SQL}, {_W} " + ranked_sql("SELECT qid, doc_id, sum(qw * w) / (any_value(dn) * any_value(qn)) AS score FROM qw JOIN w USING (term) JOIN dn USING (doc_id) JOIN qn USING (qid) GROUP BY ALL", 10))
 def tfidf_cosine_topk(spark, d):
-    return ranked(L.vsm_rank(_index(spark, d), _queries(spark, d)))
+    return ranked(forward.vsm_rank(_forward(spark, d), _queries(spark, d)))
+
+
+_VSM = "SELECT qid, doc_id, sum(qw * w) / (any_value(dn) * any_value(qn)) AS score FROM qw JOIN w USING (term) JOIN dn USING (doc_id) JOIN qn USING (qid) GROUP BY ALL"
+
+
+@book.query(f"""WITH {INDEX_SQL}, {_W}, best AS (SELECT qid, doc_id FROM ({ranked_sql(_VSM, 1)}))
+SELECT b.qid, b.doc_id, term, {rs("qw * w / (dn * qn)")} AS contribution FROM best b JOIN qw USING (qid) JOIN w ON w.doc_id = b.doc_id AND w.term = qw.term JOIN dn ON dn.doc_id = b.doc_id JOIN qn ON qn.qid = b.qid""".replace("b.doc_id, term,", "b.doc_id, qw.term,"))
+def tfidf_explanations(spark, d):
+    """What each shared term adds to the cosine of a query's best document."""
+    index, queries = _forward(spark, d), _queries(spark, d)
+    best = written(forward.vsm_rank(index, queries, 1))
+    own = index.only(best)
+    norms = L.document_weights(own).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+    parts = L.vsm_contributions(own, queries, norms).join(best.select("qid", "doc_id"), ["qid", "doc_id"])
+    return parts.select("qid", "doc_id", "term", r("contribution").alias("contribution"))
 
 
 @book.query(f"WITH {INDEX_SQL}, {_W} " + ranked_sql("SELECT qid, doc_id, sum(qw * w) AS score FROM qw JOIN w USING (term) GROUP BY ALL", 10))
 def tfidf_inner_product_topk(spark, d):
-    return ranked(L.vsm_rank(_index(spark, d), _queries(spark, d), normalized=False))
+    return ranked(forward.vsm_rank(_forward(spark, d), _queries(spark, d), normalized=False))
 
 
 @book.query(f"WITH {INDEX_SQL} SELECT DISTINCT term, df, {rs('log2(n / df)')} AS bits, {rs('ln(1 + n / df)')} AS smooth FROM qt JOIN terms USING (term), coll")
 def idf_table(spark, d):
-    index = _index(spark, d)
+    index = _forward(spark, d)
     own = index.with_stats(_queries(spark, d).select("term").distinct().join(index.terms, "term"))
     return own.select("term", n("df").alias("df"), r(L.idf_bits()).alias("bits"), r(L.idf("smooth")).alias("smooth"))
 
@@ -110,23 +124,34 @@ _QLJ = f"SELECT h.qid, h.doc_id, sum(k.qtf * ln((1 - {LAM}) * coalesce(p.tf, 0)
 
 @book.query(f"WITH {INDEX_SQL}, {_KNOWN} " + ranked_sql(_QLD, 10))
 def query_likelihood_dirichlet(spark, d):
-    return ranked(L.ql_rank(_index(spark, d), _queries(spark, d), 10, "dirichlet", MU))
+    return ranked(forward.ql_rank(_forward(spark, d), _queries(spark, d), 10, MU))
+
+
+@book.query(f"""WITH {INDEX_SQL}, {_KNOWN}, best AS (SELECT qid, doc_id FROM ({ranked_sql(_QLD, 1)}))
+SELECT b.qid, b.doc_id, k.term, p.tf IS NOT NULL AS matched, {rs(f"k.qtf * ln((coalesce(p.tf, 0) + {MU} * k.pc) / (l.dl + {MU}))")} AS contribution
+FROM best b JOIN known k USING (qid) JOIN lens l ON l.doc_id = b.doc_id LEFT JOIN postings p ON p.doc_id = b.doc_id AND p.term = k.term""")
+def likelihood_explanations(spark, d):
+    """What each known query term, there or not, adds to the likelihood of a query's best document."""
+    index, queries = _forward(spark, d), _queries(spark, d)
+    best = written(forward.ql_rank(index, queries, 1, MU).select("qid", "doc_id"))
+    parts = L.ql_contributions(index.only(best), queries, best, MU)
+    return parts.select("qid", "doc_id", "term", "matched", r("contribution").alias("contribution"))
 
 
 @book.query(f"WITH {INDEX_SQL}, {_KNOWN} " + ranked_sql(_QLJ, 10))
 def query_likelihood_jelinek_mercer(spark, d):
-    return ranked(L.ql_rank(_index(spark, d), _queries(spark, d), 10, "jm", LAM))
+    return ranked(forward.ql_rank(_forward(spark, d), _queries(spark, d), 10, method="jm", lam=LAM))
 
 
 @book.query(f"""WITH {INDEX_SQL}, {_KNOWN}, s AS ({_QLD}), qs AS (SELECT qid, sum(qtf) AS q, sum(qtf * ln(qtf)) AS qlq FROM known GROUP BY 1)
 {ranked_sql("SELECT qid, doc_id, score / q - qlq / q + ln(q) AS score FROM s JOIN qs USING (qid)", 10)}""")
 def negative_kl_topk(spark, d):
-    return ranked(top_k(L.neg_kl_scores(_index(spark, d), _queries(spark, d), "dirichlet", MU), 10))
+    return ranked(forward.ql_rank(_forward(spark, d), _queries(spark, d), 10, MU, divergence=True))
 
 
 @book.query(f"WITH {INDEX_SQL}, {_KNOWN} SELECT term, {rs('pc')} AS p, {rs('-log2(pc)')} AS bits FROM (SELECT DISTINCT term, pc FROM known)")
 def collection_model(spark, d):
-    index = _index(spark, d)
+    index = _forward(spark, d)
     p = F.col("cf") / F.col("coll_len")
     return index.with_stats(_queries(spark, d).select("term").distinct().join(index.terms, "term")).select("term", r(p).alias("p"), r(-F.log2(p)).alias("bits"))
 
@@ -143,9 +168,9 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(p, 9) DE
 
 @book.query(_RM1 + f" SELECT qid, term, {rs('p')} AS p, k AS rank FROM ranked WHERE k <= 10")
 def relevance_model_terms(spark, d):
-    index, queries = _index(spark, d), _queries(spark, d)
-    feedback = L.ql_rank(index, queries, 5, "dirichlet", MU)
-    model = top_k(L.relevance_model(index, feedback, queries, MU), 10, score="p", tie="term")
+    index, queries = _forward(spark, d), _queries(spark, d)
+    feedback = written(forward.ql_rank(index, queries, 5, MU))
+    model = top_k(L.relevance_model(index.only(feedback), feedback, queries, MU), 10, score="p", tie="term")
     return model.select("qid", "term", r("p").alias("p"), n("rank").alias("rank"))
 
 
@@ -239,4 +264,4 @@ def _page_sql() -> str:
 def page_search_topk(spark, d):
     """Benchmark passages against the texts of the raw pages."""
     pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), page_text("html").alias("text"))
-    return ranked(L.bm25_rank(L.stored_index(pages), _queries(spark, d), 5))
+    return ranked(forward.bm25_rank(forward.forward_index(pages), _queries(spark, d), 5))
