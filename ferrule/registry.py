@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import agreement, ann, cascades, codes, crossmodal, dense, evaluation, factor, fits, fusion, generation, graphs, information, learning, lexical, principle, relational, sampling
+from .queries import agreement, ann, cascades, codes, crossmodal, dense, evaluation, factor, fits, fusion, generation, graphs, information, learning, lexical, principle, relational, sampling, spectral
 
-MODULES = (lexical, dense, fusion, evaluation, agreement, generation, information, learning, ann, graphs, cascades, relational, principle, crossmodal, sampling, factor, codes, fits)
+MODULES = (lexical, dense, fusion, evaluation, agreement, generation, information, learning, ann, graphs, cascades, relational, principle, crossmodal, sampling, factor, codes, fits, spectral)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:
