@@ -38,6 +38,8 @@ NEAREST, PLACES = 7, 8
 PAIRS = [(i, j) for i in range(NEAREST) for j in range(i + 1, NEAREST) if i + j + 2 <= PLACES]
 #: Most dimensions that get pivots of their own.
 MOST_DIMENSIONS = 4096
+#: Most bytes of all pivots, which every worker holds, and likenesses to pivots worked out at once.
+PIVOT_BYTES, LIKENESSES = 64 << 20, 1 << 20
 #: Members of a list from which it is cut, and of a block then.
 LIST, BLOCK = 2048, 1024
 _BITS = 14
@@ -69,26 +71,39 @@ def pivots_for(n: int) -> int:
 def choose_pivots(reps: DataFrame, size: int | None = None, apart: float = 0.7) -> dict[int, np.ndarray]:
     """Unit pivots of each dimension, no two of them with a cosine above ``apart``.
 
-    Candidates are the vectors whose hashed ids are below a bound that lets
-    about twice as many of each dimension through as it gets pivots (all the
-    driver ever sees), taken in turn if they are far from those taken before:
+    Dimensions get pivots while all together take PIVOT_BYTES at most, the most
+    frequent first; vectors of others use seeded directions. Candidates are the
+    vectors whose hashed ids are below a bound that lets about twice as many of
+    each dimension through as it gets pivots (all the driver ever sees), taken
+    in turn if they are far from those taken before:
     near copies as pivots would shuffle each other's ranks. Seeded random
     directions fill up.
     """
     rows = reps.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(MOST_DIMENSIONS).collect()
-    sizes = {r["dim"]: size or pivots_for(r["n"]) for r in rows}
+    sizes, room = {}, PIVOT_BYTES
+    for r in rows:
+        wanted = size or pivots_for(r["n"])
+        if wanted * r["dim"] * 4 <= room:
+            sizes[r["dim"]] = wanted
+            room -= wanted * r["dim"] * 4
+    rows = [r for r in rows if r["dim"] in sizes]
     if not rows:
         return {}
     bounds = reps.sparkSession.createDataFrame([(r["dim"], min(1.0, 2 * sizes[r["dim"]] / r["n"]) * float(1 << 63)) for r in rows], "dim int, bound double")
     near = reps.withColumn("dim", F.size("embedding")).join(F.broadcast(bounds), "dim").where(F.shiftrightunsigned(F.xxhash64("rep"), 1) <= F.col("bound"))
-    by_dim: dict[int, list] = {}
-    for row in sorted(near.select("rep", "embedding").collect(), key=lambda r: (r["rep"] is None, r["rep"] or 0, r["embedding"])):
-        by_dim.setdefault(len(row["embedding"]), []).append(np.array(row["embedding"], np.float64))
-    return {d: _apart(_unit(np.stack(v)), sizes[d], apart) for d, v in by_dim.items()}
+    found = near.orderBy("rep", F.xxhash64("embedding")).select("dim", "embedding").toArrow()
+    of, out = found.column("dim").to_numpy(), {}
+    for d in np.unique(of).tolist():
+        own = found.column("embedding").filter(pa.array(of == d)).combine_chunks()
+        x = np.empty((len(own), d), np.float32)
+        for at in range(0, len(x), 1024):  # scaled in double precision, a part at a time
+            x[at : at + 1024] = _unit(np.asarray(own.slice(at, 1024).flatten(), np.float64).reshape(-1, d))
+        out[d] = _apart(x, sizes[d], apart)
+    return out
 
 
 def _apart(candidates: np.ndarray, size: int, apart: float) -> np.ndarray:
-    taken = np.empty((size, candidates.shape[1]))
+    taken = np.empty((size, candidates.shape[1]), np.float32)
     n = 0
     for at in range(0, len(candidates), 256):
         block = candidates[at : at + 256]
@@ -116,8 +131,10 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ordered_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The nearest pivots of unit vectors, nearest first; -1 where there are fewer."""
-    near = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :NEAREST] if len(pivots) <= 64 else _first(x @ pivots.T)
+    """The nearest pivots of unit vectors, nearest first; -1 where there are fewer. Rows go in parts, so LIKENESSES (or one row's) are held."""
+    x, step = x.astype(pivots.dtype), max(1, LIKENESSES // max(1, len(pivots)))
+    choose = (lambda s: np.argsort(-s, axis=1, kind="stable")[:, :NEAREST]) if len(pivots) <= 64 else _first
+    near = np.concatenate([choose(x[at : at + step] @ pivots.T) for at in range(0, len(x), step)]) if len(x) else np.empty((0, min(NEAREST, len(pivots))), int)
     return np.pad(near, ((0, 0), (0, NEAREST - near.shape[1])), constant_values=-1)
 
 
@@ -162,7 +179,7 @@ def index_rows(reps: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 at = np.flatnonzero(sizes == d)
                 x = _unit(values[offsets[at][:, None] + np.arange(d)])
                 own = pivots[d] if d in pivots else _apart(np.empty((0, d)), LEAST_PIVOTS, 1.0)  # a rare dimension: seeded directions
-                near = np.concatenate([ordered_pivots(x[i : i + 1024], own) for i in range(0, len(x), 1024)])
+                near = ordered_pivots(x, own)
                 keys[at] = d << 2 * _BITS | list_keys(near)
                 wide = near.astype(np.int64)
                 packed[at, 0] = wide[:, 0] | wide[:, 1] << 16 | wide[:, 2] << 32 | wide[:, 3] << 48

@@ -1,5 +1,8 @@
 """Pivots: their number, and the share of near pairs that meet in a list whatever it is."""
 
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -56,3 +59,33 @@ def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
     v = np.array([r[1] for r in rows])
     v /= np.linalg.norm(v, axis=1)[:, None]
     assert got == {i: (int((v[i] @ v.T >= 0.95).sum()) - 1, 0) for i in range(300)}
+
+
+def test_many_pivots_of_many_dimensions_take_little_memory():
+    """Growth of a process that orders 16,384 pivots of 768 dimensions for 4096 vectors, beside the pivots themselves."""
+    code = """
+import resource, numpy as np
+from ferrule.llm import embeddings
+rng = np.random.default_rng(1)
+pivots = rng.normal(size=(16_384, 768)).astype(np.float32)
+x = rng.normal(size=(4096, 768))
+embeddings.ordered_pivots(x[:8], pivots)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+near = embeddings.ordered_pivots(x, pivots)
+assert near.shape == (4096, embeddings.NEAREST)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout.split()[-1]) < 100
+
+
+def test_pivots_of_all_dimensions_are_bounded(spark, monkeypatch):
+    """Dimensions beyond the bound get no pivots of their own, and their vectors are still linked."""
+    monkeypatch.setattr(embeddings, "PIVOT_BYTES", 512 * 6 * 4)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(40)] + [(100 + i, rng.normal(size=4).tolist()) for i in range(30)]
+    rows += [(200, rows[0][1]), (201, [x * 1.001 for x in rows[45][1]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert set(embeddings.choose_pivots(df.selectExpr("vec_id as rep", "embedding"))) == {6}
+    got = {r["vec_id"]: r for r in embeddings.embedding_near_duplicates(df).collect()}
+    assert got[200]["component_id"] == 0 and got[201]["component_id"] == 105 and got[105]["n_links"] >= 1
