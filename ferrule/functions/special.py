@@ -200,6 +200,8 @@ def symmetric_capacity(p: float) -> float:
 
 
 def fano_floor_loose(h_cond: float, k: int) -> float:
+    if k < 2:
+        raise ValueError("there must be two answers at least")
     return max(0.0, (h_cond - 1) / math.log2(k))
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.special import s_curve
 from ..functions.dice import PRIME, mixed
 from ..operators import ann as A
 from ..operators.dense import knn, recall_against
-from .base import Book, n, r, ranked, ranked_sql, rs, vector_queries, vectors
+from .base import RUN_SQL, Book, n, r, ranked, ranked_sql, rs, run, vector_queries, vectors
 
 book = Book()
 K = 16
@@ -188,10 +189,14 @@ def hash_table_topk(spark, d):
     return ranked(A.rerank(A.hash_candidates(q, c, _PLANES), q, c))
 
 
-@book.query(f"SELECT k::BIGINT AS k, l::BIGINT AS l, p, {rs('1 - pow(1 - pow(p, k), l)')} AS probability FROM (SELECT unnest([4, 8]) AS k), (SELECT unnest([1, 4, 16]) AS l), (SELECT unnest([0.5, 0.7, 0.9])::DOUBLE AS p)")
+@book.query(f"""WITH {RUN_SQL}, p AS (SELECT 1 - acos(greatest(-1, least(1, score))) / pi() AS p FROM run WHERE leg = 'full' AND rank <= 10)
+SELECT k::BIGINT AS k, l::BIGINT AS l, count(*) AS pairs, {rs('avg(1 - pow(1 - pow(p, k), l))')} AS probability FROM p, (SELECT unnest([4, 8]) AS k), (SELECT unnest([1, 4, 16]) AS l) GROUP BY k, l""")
 def collision_curve(spark, d):
-    rows = [(k, t, p, round(s_curve(p, k, t), 6)) for k in (4, 8) for t in (1, 4, 16) for p in (0.5, 0.7, 0.9)]
-    return spark.createDataFrame(rows, "k long, l long, p double, probability double")
+    """Chance that a query and one of its ten nearest share a bucket in one of l tables of k signs, over all such pairs."""
+    near = run(spark, d).where("leg = 'full' and rank <= 10").select((1 - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "score"))) / math.pi).alias("p"))
+    shapes = F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(t).cast("bigint").alias("l")) for k in (4, 8) for t in (1, 4, 16)])).alias("s")
+    chance = 1 - F.pow(1 - F.pow("p", "k"), "l")
+    return near.select("p", shapes).select("p", "s.*").groupBy("k", "l").agg(F.count("*").alias("pairs"), r(F.avg(chance)).alias("probability"))
 
 
 @book.query()
