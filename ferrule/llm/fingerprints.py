@@ -1,8 +1,9 @@
 """Canonical exact digests with DataFrame functions only.
 
 A text's canonical form is: canonical composition (Unicode NFC), lower case, and
-every run of white space folded to one space with none at the ends. Its digest is
-two chained XXH64 values, 128 bits. Digests only bucket: texts count as copies
+every run of white space folded to one space with none at the ends. Case is
+folded by lower case alone: sharp s and ss, or the two lower-case sigmas, stay
+different. Its digest is two chained XXH64 values, 128 bits. Digests only bucket: texts count as copies
 if their canonical bytes are equal inside a bucket.
 
 Spark has no normalisation function, so composition is built from strings that
