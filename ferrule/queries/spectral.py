@@ -17,7 +17,7 @@ LABELS = list(range(10))
 
 @book.query()
 def spectral_communities(spark, d):
-    """Ten communities by the leading eigenvectors of the vectors' graph: size of each, the eigenvalue of its rank, and the modularity."""
+    """Ten communities by the leading eigenvectors of the vectors' graph: size of each, the eigenvalue of its rank (a lower bound after twelve rounds), and the modularity."""
     edges, nodes = written(_edges(spark, d)), vectors(spark, d).select(F.col("doc_id").alias("node"))
     linked = written(nodes.join(G.degrees(edges).select("node"), "node", "left_semi"))
     labels, values = S.spectral_communities(linked, edges, 10, rounds=12)
