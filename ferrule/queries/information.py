@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import orthogonal_part
 from ..operators import information as I
 from ..operators.dense import knn, mean_direction
+from ..plans.durable import written
 from .base import RUN_SQL, Book, n, r, rs, vector_queries, vectors, walk_sql
 
 book = Book()
@@ -114,8 +115,8 @@ def context_selection(spark, d):
 def second_hop(spark, d):
     """Two hops: the query is replaced by what its nearest document says beyond it; documents already read are skipped."""
     q, c = vector_queries(spark, d).select("qid", "vec"), vectors(spark, d).select("doc_id", "vec")
-    first = knn(q, c, 1, "cosine").select("qid", "doc_id")
-    asked = first.join(c, "doc_id").join(q.withColumnRenamed("vec", "qv"), "qid").select("qid", orthogonal_part("vec", "qv").alias("vec"))
+    first = written(knn(q, c, 1, "cosine").select("qid", "doc_id"))
+    asked = written(first.join(c, "doc_id").join(q.withColumnRenamed("vec", "qv"), "qid").select("qid", orthogonal_part("vec", "qv").alias("vec")))
     hop = knn(asked, c, 2, "cosine").join(first, ["qid", "doc_id"], "left_anti")
     best = hop.groupBy("qid").agg(F.min_by("doc_id", "rank").alias("second"))
     return first.withColumnRenamed("doc_id", "first").join(best, "qid")
