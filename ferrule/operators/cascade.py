@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.special import normal_quantile
 from ..functions.vectors import dot
+from ..plans.durable import written
 from ..plans.ranking import top_k
 from .ann import assign
 
@@ -41,12 +43,52 @@ def centroid_scores(scores: DataFrame, cells: DataFrame, candidates: DataFrame)
     return best.groupBy("qid", "doc_id").agg(F.sum("s").alias("score"))
 
 
+# Documents that own the same cells are candidates of the same queries with the same centroid score, so queries
+# meet the different sets of cells (of 16 cells and four tokens at most 2516), not the documents.
+def cell_sets(cells: DataFrame, k: int = 1) -> DataFrame:
+    """(set, first, n, docs): the different sets of cells that documents own, each with its smallest document, their number and the k smallest."""
+    own = written(cells.groupBy("doc_id").agg(F.sort_array(F.collect_set("cell")).alias("set")))
+    size = own.groupBy("set").agg(F.count("*").alias("n"))
+    place = F.row_number().over(W.partitionBy("set").orderBy("doc_id"))
+    docs = own.withColumn("place", place).where(F.col("place") <= k).groupBy("set").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
+    return written(docs.join(size, "set").select("set", F.col("docs")[0].alias("first"), "n", "docs"))
+
+
+def _probed_sets(scores: DataFrame, sets: DataFrame, nprobe: int) -> DataFrame:
+    """(qid, set, first, n): sets that share a cell with the query's nprobe best of each token; each pair once, by its smallest shared cell."""
+    best = top_k(scores, nprobe, ["qid", "qtok"], "s", "cell")
+    best = best.groupBy("qid").agg(F.sort_array(F.collect_set("cell")).alias("probed")).select("qid", "probed", F.explode("probed").alias("cell"))
+    owned = sets.select("set", "first", "n", F.explode("set").alias("cell"))
+    return best.join(owned, "cell").where(F.array_min(F.array_intersect("probed", "set")) == F.col("cell")).select("qid", "set", "first", "n")
+
+
+def candidate_counts(scores: DataFrame, cells: DataFrame, nprobe: int) -> DataFrame:
+    """(qid, candidates): how many documents probe_candidates() gives, without naming them."""
+    return _probed_sets(scores, cell_sets(cells), nprobe).groupBy("qid").agg(F.sum("n").alias("candidates"))
+
+
+def centroid_topk(scores: DataFrame, cells: DataFrame, nprobe: int, k: int) -> DataFrame:
+    """(qid, doc_id, score, rank): the k best of probe_candidates() by centroid_scores().
+
+    The k best documents lie in the k best sets (ties to the smaller first
+    document) and there among the k smallest, so no more are looked at.
+    """
+    sets = cell_sets(cells, k)
+    row = F.sort_array(F.collect_list(F.struct("cell", "s")))
+    table = scores.groupBy("qid", "qtok").agg(F.map_from_arrays(F.transform(row, lambda x: x["cell"]), F.transform(row, lambda x: x["s"])).alias("of"))
+    table = table.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("qtok", F.map_entries("of").alias("of")))), lambda x: F.map_from_entries(x["of"])).alias("tokens"))
+    most = lambda of: F.array_max(F.transform("set", lambda c: F.try_element_at(of, c)))
+    score = F.aggregate("tokens", F.lit(0.0), lambda total, of: total + most(of))
+    found = top_k(_probed_sets(scores, sets, nprobe).join(table, "qid").select("qid", "first", score.alias("score")), k, tie="first")
+    docs = sets.select("first", F.explode("docs").alias("doc_id"))
+    return top_k(found.drop("rank").join(docs, "first").select("qid", "doc_id", "score"), k)
+
+
 def token_cascade(query_tokens: DataFrame, doc_tokens: DataFrame, book: np.ndarray, nprobe: int = 2, keep: int = 40, k: int = 10) -> DataFrame:
     """Candidates by cells, the best ``keep`` by centroids, exact late interaction on these: (qid, doc_id, score, rank)."""
     from .dense import maxsim
 
-    cells, scores = token_cells(doc_tokens, book), token_scores(query_tokens, book)
-    kept = top_k(centroid_scores(scores, cells, probe_candidates(scores, cells, nprobe)), keep).select("qid", "doc_id")
+    kept = centroid_topk(token_scores(query_tokens, book), token_cells(doc_tokens, book), nprobe, keep).select("qid", "doc_id")
     return top_k(maxsim(query_tokens, doc_tokens.select("doc_id", "dvec"), kept), k)
 
 
