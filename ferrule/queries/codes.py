@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import ann as A
 from ..operators import codes as C
-from ..operators.dense import knn, maxsim, recall_against
+from ..operators.cascade import centroid_topk, token_cells, token_scores
+from ..operators.dense import knn, maxsim_topk, recall_against
 from ..plans.durable import written
 from ..plans.ranking import top_k
 from .ann import _ADC, _CODES, _L2, _M, _PARTS, K, _books
@@ -108,14 +109,15 @@ def compressed_cascade_recall(spark, d):
     """Recall of the whole cascade over coded tokens against exact late interaction with every document, by bits and survivors."""
     q, tokens, centroids = _parts(spark, d)
     reach = C.residual_reach(tokens, centroids)
-    every = q.select("qid").distinct().crossJoin(F.broadcast(tokens.select("doc_id").distinct())).where("qid <> doc_id")
-    truth = written(top_k(maxsim(q, tokens.select("doc_id", "dvec"), every), 10).select("qid", "doc_id"))
+    truth = written(maxsim_topk(q, tokens.select("doc_id", "dvec"), 10).select("qid", "doc_id"))
+    # cells, and so survivors, don't depend on the bits, and few survivors are the first of many
+    kept = written(centroid_topk(token_scores(q, centroids), token_cells(tokens, centroids), 4, 160).select("qid", "doc_id", F.col("rank").alias("place")))
     out = None
     for bits in (1, 2, 4):
-        encoded = written(C.encode_tokens(tokens, centroids, bits, reach))
+        encoded = C.encode_tokens(tokens, centroids, bits, reach)
+        scored = written(C.compressed_maxsim(q, encoded, kept.select("qid", "doc_id"), centroids, bits, reach).join(kept, ["qid", "doc_id"]).where("qid <> doc_id"))
         for keep in (40, 160):
-            found = C.compressed_cascade(q, encoded, centroids, bits, reach, nprobe=4, keep=keep, k=11).where("qid <> doc_id")
-            found = top_k(found.select("qid", "doc_id", "score"), 10)
+            found = top_k(scored.where(F.col("place") <= keep).select("qid", "doc_id", "score"), 10)
             row = recall_against(found, truth).agg(F.lit(bits).cast("bigint").alias("bits"), F.lit(keep).cast("bigint").alias("keep"), r(F.avg("recall")).alias("recall"))
             out = row if out is None else out.unionByName(row)
     return out

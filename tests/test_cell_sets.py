@@ -3,6 +3,7 @@
 import numpy as np
 
 from ferrule.operators import cascade as C
+from ferrule.operators import dense
 from ferrule.plans.ranking import top_k
 
 
@@ -24,3 +25,16 @@ def test_sets_against_documents(spark):
 def test_copies_add_no_pairs(spark):
     cells = spark.createDataFrame([(i, i % 4) for i in range(4000)], "doc_id long, cell long")
     assert sorted(map(tuple, C.cell_sets(cells, 2).select("first", "n", "docs").collect())) == [(i, 1000, [i, i + 4]) for i in range(4)]
+
+
+def test_late_interaction_with_every_document(spark, monkeypatch):
+    monkeypatch.setattr(dense, "MOST_COLLECTED", 4)  # several blocks of queries and tiles
+    monkeypatch.setattr(dense, "TILE_ROWS", 8)
+    monkeypatch.setattr(dense, "TILE_SCORES", 20)
+    x = np.random.default_rng(4).integers(-2, 3, (40, 4, 3)).astype(float)
+    docs = spark.createDataFrame([(i, t, v.tolist()) for i, doc in enumerate(x) for t, v in enumerate(doc[: 1 + i % 4])], "doc_id long, dtok int, dvec array<double>")
+    queries = docs.where("doc_id % 4 = 2").selectExpr("doc_id as qid", "dtok as qtok", "dvec as qvec")
+    pairs = queries.select("qid").distinct().crossJoin(docs.select("doc_id").distinct()).where("qid <> doc_id")
+    plain = lambda df: sorted((r["qid"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
+    expected = plain(top_k(dense.maxsim(queries, docs, pairs), 5))
+    assert len(expected) == 50 and plain(dense.maxsim_topk(queries, docs, 5)) == expected
