@@ -14,6 +14,11 @@ def _double(x: Column) -> Column:
     return x.cast("double")
 
 
+def _once(value: Column, f) -> Column:
+    """f(value) with the value worked out once a row: inside a lambda a column would be worked out again for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def dot(a: str | Column, b: str | Column) -> Column:
     """Inner product."""
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: _double(x) * _double(y)), F.lit(0.0), lambda s, x: s + x)
@@ -50,8 +55,8 @@ def scale(a: str | Column, by: float | Column) -> Column:
 
 def normalize(a: str | Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n == 0, F.transform(_c(a), _double)).otherwise(F.transform(_c(a), lambda x: _double(x) / n))
+    scaled = lambda v, n: F.when(n == 0, F.transform(v, _double)).otherwise(F.transform(v, lambda x: _double(x) / n))
+    return _once(_c(a), lambda v: _once(norm(v), lambda n: scaled(v, n)))
 
 
 def add(a: str | Column, b: str | Column, weight: float = 1.0) -> Column:
@@ -93,8 +98,7 @@ def sign_bits(rows: list[list[float]], a: str | Column) -> Column:
 
 def orthogonal_part(read: str | Column, query: str | Column) -> Column:
     """What a read vector says beyond a unit query, at unit length."""
-    p = dot(read, query)
-    return normalize(F.zip_with(_c(read), _c(query), lambda x, y: _double(x) - p * _double(y)))
+    return normalize(_once(dot(read, query), lambda p: F.zip_with(_c(read), _c(query), lambda x, y: _double(x) - p * _double(y))))
 
 
 def residual_parts(x: str | Column, approx: str | Column) -> tuple[Column, Column]:
