@@ -27,6 +27,15 @@ def test_copies_add_no_pairs(spark):
     assert sorted(map(tuple, C.cell_sets(cells, 2).select("first", "n", "docs").collect())) == [(i, 1000, [i, i + 4]) for i in range(4)]
 
 
+def test_equal_queries_meet_the_sets_once(spark):
+    scores = spark.createDataFrame([(q, t, c, float((q * 7 + t * 3 + c * 5) % 4)) for q in range(0, 600) for t in range(2) for c in range(5)], "qid long, qtok int, cell long, s double")
+    cells = spark.createDataFrame([(i, (i * i + j) % 5) for i in range(200) for j in range(1 + i % 2)], "doc_id long, cell long")
+    asked, sets = C.probed_cells(scores, 1).select("probed").distinct(), C.cell_sets(cells)
+    assert asked.count() <= 4 and C.met_sets(asked, sets).count() <= 4 * sets.count()  # 600 queries met them before
+    every = C.probe_candidates(scores, cells, 1)
+    assert sorted(C.candidate_counts(scores, cells, 1).collect()) == sorted(every.groupBy("qid").count().collect())
+
+
 def test_late_interaction_with_every_document(spark, monkeypatch):
     monkeypatch.setattr(dense, "MOST_COLLECTED", 4)  # several blocks of queries and tiles
     monkeypatch.setattr(dense, "TILE_ROWS", 8)
