@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from ..plans.durable import written
 from ..plans.ranking import running_sums
 
 
@@ -28,15 +29,17 @@ def answer_scores(support: DataFrame, facts: DataFrame) -> DataFrame:
 def conformal_quantile(scores: DataFrame, alpha: float, score: str = "s") -> float:
     """The ceil((1 - alpha)(n + 1))-th smallest score; infinity beyond n.
 
-    Only the order statistic is taken, from running counts of the distinct scores.
+    Only the order statistic is taken, from running counts of the distinct
+    scores, which are written, so that the scores are worked out once.
     """
     import math
 
-    n = scores.count()
+    by = written(scores.groupBy(score).agg(F.count("*").alias("c")))
+    n = by.agg(F.sum("c")).first()[0] or 0
     k = math.ceil((1 - alpha) * (n + 1))
     if k > n or n == 0:
         return math.inf
-    counts = running_sums(scores.groupBy(score).agg(F.count("*").alias("c")), score, {"up": "c"})
+    counts = running_sums(by, score, {"up": "c"})
     return counts.where(F.col("up") >= k).agg(F.min(score)).first()[0]
 
 

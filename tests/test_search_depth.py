@@ -1,8 +1,10 @@
-"""Queries ask the exact search for no more rows than they read."""
+"""Queries ask the exact search for no more rows than they read, and read what it found once."""
+
+import random
 
 import pytest
 
-from ferrule.queries import base, graphs
+from ferrule.queries import base, generation, graphs
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -31,3 +33,20 @@ def test_edges_search_to_their_own_depth(spark, asked):
     got = graphs._edges(spark, FOLDER).groupBy().sum("w").first()[0]
     assert asked == [5, 5, 5]
     assert got == pytest.approx(sum(1 / r["rank"] for r in base.run(spark, FOLDER).where("rank <= 5").collect()))
+
+
+@pytest.mark.parametrize(("module", "name"), [(generation, "conformal_quantile")])
+def test_claims_are_worked_out_once(spark, monkeypatch, module, name):
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rng = random.Random(4)
+    rows = [(20 * (i // 10), i, i % 10 + 1, rng.random(), rng.randrange(2)) for i in range(200)]
+    kind = "qid long, doc_id long, rank long, p double, y int"
+    monkeypatch.setattr(module, "claims", lambda spark, d: spark.createDataFrame(rows, kind).mapInArrow(tell, kind))
+    assert getattr(module, name)(spark, "").collect()
+    assert seen.value == len(rows)
