@@ -175,7 +175,7 @@ def pooled_auc(spark, d):
 @book.query()
 def recalibration(spark, d):
     """Errors of raw, logistic and step-function scores, fitted on the first half of the queries, told on the rest."""
-    every = claims(spark, d)
+    every = written(claims(spark, d))  # every step of the fits reads them
     middle = every.agg(F.percentile("qid", 0.5)).first()[0]
     fit, rest = every.where(F.col("qid") <= middle), every.where(F.col("qid") > middle)
     a, b = E.platt(fit)

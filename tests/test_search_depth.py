@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ferrule.queries import base, generation, graphs
+from ferrule.queries import base, evaluation, generation, graphs
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -35,7 +35,7 @@ def test_edges_search_to_their_own_depth(spark, asked):
     assert got == pytest.approx(sum(1 / r["rank"] for r in base.run(spark, FOLDER).where("rank <= 5").collect()))
 
 
-@pytest.mark.parametrize(("module", "name"), [(generation, "conformal_quantile")])
+@pytest.mark.parametrize(("module", "name"), [(evaluation, "recalibration"), (generation, "conformal_quantile")])
 def test_claims_are_worked_out_once(spark, monkeypatch, module, name):
     seen = spark.sparkContext.accumulator(0)
 
