@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dice import PRIME, mixed
 from ..operators import ann as A
 from ..operators.dense import knn, recall_against
+from ..plans.durable import written
 from .base import RUN_SQL, Book, n, r, ranked, ranked_sql, rs, run, vector_queries, vectors
 
 book = Book()
@@ -208,7 +209,7 @@ def graph_search_recall(spark, d):
     for layered in (False, True):
         stored = A.store_graph(c, layered=layered)
         for width in (16, 64):
-            found = A.search_graph(q, stored, 10, width)
+            found = written(A.search_graph(q, stored, 10, width))  # read for recall and for work
             work = found.groupBy("qid").agg(F.max("work").alias("w")).agg(r(F.avg("w")).alias("work"))
             row = recall_against(found, truth).agg(r(F.avg("recall")).alias("recall")).crossJoin(work).select(F.lit(layered).alias("layered"), F.lit(width).cast("bigint").alias("width"), "recall", "work")
             out = row if out is None else out.unionByName(row)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ferrule.queries import base, evaluation, generation, graphs
+from ferrule.queries import ann, base, evaluation, generation, graphs
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -50,3 +50,23 @@ def test_claims_are_worked_out_once(spark, monkeypatch, module, name):
     monkeypatch.setattr(module, "claims", lambda spark, d: spark.createDataFrame(rows, kind).mapInArrow(tell, kind))
     assert getattr(module, name)(spark, "").collect()
     assert seen.value == len(rows)
+
+
+def test_graphs_are_searched_once(spark, monkeypatch):
+    asked = spark.sparkContext.accumulator(0)
+
+    def told(queries, stored, k, width):
+        def tell(batches):
+            for batch in batches:
+                asked.add(batch.num_rows)
+                yield batch
+
+        found = search(queries, stored, k, width)
+        return found.mapInArrow(tell, found.schema)
+
+    search = ann.A.search_graph
+    monkeypatch.setattr(ann.A, "search_graph", told)
+    monkeypatch.setattr(ann, "vectors", lambda spark, d: base.vectors(spark, d).where("doc_id < 200"))
+    monkeypatch.setattr(ann, "vector_queries", lambda spark, d: base.vector_queries(spark, d).where("qid < 200"))
+    assert len(ann.graph_search_recall(spark, FOLDER).collect()) == 4
+    assert asked.value == 4 * 10 * 10  # four searches of ten queries for ten rows each
