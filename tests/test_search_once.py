@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ferrule.operators import ann
+from ferrule.operators import ann, graphs
+from ferrule.queries import graphs as graph_queries
 
 
 FOLDER = "/root/testdata/sf0.01"
@@ -32,3 +34,19 @@ def test_cell_sums_scan_once(spark):
     assert counts.tolist() == np.bincount(cell, minlength=5).tolist()
     assert np.allclose(sums, [x[cell == k].sum(axis=0) for k in range(5)])
     assert total == pytest.approx(apart.min(axis=1).sum())
+
+
+def test_hierarchy_of_both_methods_moves_the_first_level_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    of = np.repeat(np.arange(4), 8)
+    links = [(i, j, 1.0) for i in range(32) for j in range(i + 1, 32) if rng.random() < (0.7 if of[i] == of[j] else 0.06)]
+    edges, nodes = spark.createDataFrame(links, "src long, dst long, w double"), spark.range(32).select(F.col("id").alias("doc_id"))
+    monkeypatch.setattr(graph_queries, "_edges", lambda spark, d: edges)
+    monkeypatch.setattr(graph_queries, "vectors", lambda spark, d: nodes)
+    want = [(name, i, n, round(q, 6)) for name, refined in (("plain", False), ("refined", True)) for i, (n, q) in enumerate(graphs.communities(nodes.withColumnRenamed("doc_id", "node"), edges, refined=refined, levels=3)[1])]
+    moves, cut = [], []
+    local_moves = graphs.local_moves
+    monkeypatch.setattr(graphs, "local_moves", lambda e, labels, *more, **named: moves.append(labels.where("node <> label").count() == 0 and "within" not in named and labels.count() == 32) or local_moves(e, labels, *more, **named))
+    monkeypatch.setattr(graphs, "components", lambda *a: cut.append(a))
+    assert [tuple(r) for r in graph_queries.community_hierarchy(spark, "").collect()] == want
+    assert sum(moves) == 1 and not cut  # the pieces of the last communities are not part of the result
