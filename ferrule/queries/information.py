@@ -23,7 +23,7 @@ prior AS (SELECT qid, a, sum(pd * p) AS prior FROM post JOIN rd USING (qid, doc_
 
 def _parts(spark, d):
     q, c = vector_queries(spark, d), vectors(spark, d)
-    top = knn(q, c, 10, "cosine")
+    top = written(knn(q, c, 10, "cosine"))  # read up to four times
     retrieval = I.retrieval_distribution(top, TAU_DOC)
     pairs = top.join(c.select("doc_id", F.col("vec").alias("dvec")), "doc_id").join(q.select("qid", F.col("vec").alias("qvec")), "qid")
     protos = mean_direction(c, ["label"]).select(F.col("label").alias("a"), F.col("mu").alias("proto"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrule.operators import ann, graphs
+from ferrule.queries import base, information
 from ferrule.queries import graphs as graph_queries
 
 
@@ -50,3 +51,11 @@ def test_hierarchy_of_both_methods_moves_the_first_level_once(spark, monkeypatch
     monkeypatch.setattr(graphs, "components", lambda *a: cut.append(a))
     assert [tuple(r) for r in graph_queries.community_hierarchy(spark, "").collect()] == want
     assert sum(moves) == 1 and not cut  # the pieces of the last communities are not part of the result
+
+
+@pytest.mark.parametrize(("module", "name"), [(information, "conditional_information")])
+def test_neighbours_are_searched_once(spark, monkeypatch, module, name):
+    seen, search = spark.sparkContext.accumulator(0), module.knn
+    monkeypatch.setattr(module, "knn", lambda q, c, *more: search(q, told(c.select("doc_id", "vec"), seen), *more))
+    assert getattr(module, name)(spark, FOLDER).collect()
+    assert seen.value == base.vectors(spark, FOLDER).count()
