@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dice import PRIME, mixed_sql
 from ..operators import sampling as S
-from ..operators.dense import knn, mean_direction
+from ..operators.dense import knn, knn_of_equals, mean_direction
 from ..plans.durable import written
 from .base import RUN_SQL, Book, r, rs, run, vector_queries, vectors
 
@@ -79,10 +79,10 @@ al(alpha) AS (VALUES (0.0::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)), m AS (SELECT
 t AS (SELECT alpha, m.qid, e.label, row_number() OVER (PARTITION BY alpha, m.qid ORDER BY round(list_cosine_similarity(m.v, e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS k FROM m JOIN embeddings e ON e.vec_id <> m.qid) """
 
 
-def _precision(spark, d, moved, k=10):
+def _precision(spark, d, moved, k=10, search=knn):
     labels = vectors(spark, d).select("doc_id", "label")
     own = vector_queries(spark, d).select("qid", "qlabel")
-    found = knn(moved, vectors(spark, d).select("doc_id", "vec"), k, "cosine").join(labels, "doc_id").join(own, "qid")
+    found = search(moved, vectors(spark, d).select("doc_id", "vec"), k, "cosine").join(labels, "doc_id").join(own, "qid")
     return found.groupBy("qid").agg((F.count_if(F.col("label") == F.col("qlabel")) / k).alias("p")).agg(r(F.avg("p")).alias("precision"))
 
 
@@ -131,7 +131,7 @@ def hypothetical_answers(spark, d):
     out = None
     for share in (0.0, 0.3, 1.0):
         asked = S.hypothetical_centroids(gold, misled, share).withColumnRenamed("centroid", "vec")
-        row = _precision(spark, d, asked).select(F.lit(share).alias("share"), "precision")
+        row = _precision(spark, d, asked, search=knn_of_equals).select(F.lit(share).alias("share"), "precision")
         out = row if out is None else out.unionByName(row)
     return out
 

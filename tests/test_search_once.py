@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import ann, graphs
-from ferrule.queries import base, information
+from ferrule.operators import ann, dense, graphs
+from ferrule.queries import base, information, sampling
 from ferrule.queries import graphs as graph_queries
 
 
@@ -59,3 +59,20 @@ def test_neighbours_are_searched_once(spark, monkeypatch, module, name):
     monkeypatch.setattr(module, "knn", lambda q, c, *more: search(q, told(c.select("doc_id", "vec"), seen), *more))
     assert getattr(module, name)(spark, FOLDER).collect()
     assert seen.value == base.vectors(spark, FOLDER).count()
+
+
+def test_equal_queries_ask_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (60, 3)).astype(float)  # many ties
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, vec array<double>").repartition(3)
+    vec = {i: x[i % 3].tolist() for i in range(0, 60, 4)}  # ids of the corpus, three different vectors
+    queries = spark.createDataFrame([*vec.items(), (1000, [1.0, 0.0, 2.0]), (1001, None)], "qid long, vec array<double>")
+    for metric in dense.METRICS:
+        want = sorted((r["qid"], r["doc_id"], r["rank"]) for r in dense.knn(queries, corpus, 7, metric).collect())
+        assert sorted((r["qid"], r["doc_id"], r["rank"]) for r in dense.knn_of_equals(queries, corpus, 7, metric).collect()) == want
+    asked, search = [], dense.knn
+    monkeypatch.setattr(dense, "knn", lambda q, *more, **named: asked.append(q.count()) or search(q, *more, **named))
+    monkeypatch.setattr(sampling, "knn", dense.knn)
+    assert sampling.hypothetical_answers(spark, FOLDER).count() == 3
+    labels = base.vector_queries(spark, FOLDER).select("qlabel").distinct().count()
+    assert len(asked) == 3 and max(asked) <= 2 * labels
