@@ -100,7 +100,7 @@ def compressed_maxsim_topk(spark, d):
     """The cosine top 50 ranked again by late interaction with tokens decoded from two bits a coordinate."""
     q, tokens, centroids = _parts(spark, d)
     reach = C.residual_reach(tokens, centroids)
-    pairs = knn(vector_queries(spark, d), vectors(spark, d), 50, "cosine").select("qid", "doc_id")
+    pairs = written(knn(vector_queries(spark, d), vectors(spark, d), 50, "cosine").select("qid", "doc_id"))
     return ranked(top_k(C.compressed_maxsim(q, C.encode_tokens(tokens, centroids, _BITS, reach), pairs, centroids, _BITS, reach), 10))
 
 

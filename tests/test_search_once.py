@@ -5,10 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrule.operators import ann, dense, graphs
-from ferrule.queries import base, information, sampling
+from ferrule.queries import base, codes, information, sampling
 from ferrule.queries import graphs as graph_queries
 
-
 FOLDER = "/root/testdata/sf0.01"
 
 
@@ -53,7 +52,7 @@ def test_hierarchy_of_both_methods_moves_the_first_level_once(spark, monkeypatch
     assert sum(moves) == 1 and not cut  # the pieces of the last communities are not part of the result
 
 
-@pytest.mark.parametrize(("module", "name"), [(information, "conditional_information")])
+@pytest.mark.parametrize(("module", "name"), [(information, "conditional_information"), (codes, "compressed_maxsim_topk")])
 def test_neighbours_are_searched_once(spark, monkeypatch, module, name):
     seen, search = spark.sparkContext.accumulator(0), module.knn
     monkeypatch.setattr(module, "knn", lambda q, c, *more: search(q, told(c.select("doc_id", "vec"), seen), *more))
