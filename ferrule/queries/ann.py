@@ -65,10 +65,9 @@ def cell_probe_topk(spark, d):
 
 @book.query(_PROBE + f"SELECT {rs('avg(n / t)')} AS fraction FROM (SELECT qid, count(*) AS n FROM pairs GROUP BY 1), (SELECT count(*) AS t FROM embeddings)")
 def candidate_fraction(spark, d):
-    book_ = _book(spark, d)
-    cells = A.assign(vectors(spark, d).select("doc_id", "vec"), book_).select("doc_id", "vec", "cell")
-    total = cells.count()
-    return A.probe(vector_queries(spark, d), cells, book_, 4, 1).agg(r(F.avg(F.col("scanned") / F.lit(float(total)))).alias("fraction"))
+    v = vectors(spark, d)
+    total = v.count()
+    return A.probed(vector_queries(spark, d), v, _book(spark, d), 4).agg(r(F.avg(F.col("scanned") / F.lit(float(total)))).alias("fraction"))
 
 
 _M = 4
