@@ -58,9 +58,7 @@ pairs AS (SELECT qc.qid, c.doc_id, -{_L2.format(a='q.embedding', b='e.embedding'
 
 @book.query(_PROBE + ranked_sql("SELECT * FROM pairs", 10))
 def cell_probe_topk(spark, d):
-    book_ = _book(spark, d)
-    cells = A.assign(vectors(spark, d).select("doc_id", "vec"), book_).select("doc_id", "vec", "cell")
-    return ranked(A.probe(vector_queries(spark, d), cells, book_, 4))
+    return ranked(A.probe(vector_queries(spark, d), vectors(spark, d), _book(spark, d), 4))
 
 
 @book.query(_PROBE + f"SELECT {rs('avg(n / t)')} AS fraction FROM (SELECT qid, count(*) AS n FROM pairs GROUP BY 1), (SELECT count(*) AS t FROM embeddings)")
