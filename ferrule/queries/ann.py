@@ -183,8 +183,7 @@ def hash_signatures(spark, d):
 
 @book.query(f"WITH sig AS ({_SIG}), cand AS (SELECT DISTINCT a.doc_id AS qid, b.doc_id FROM sig a JOIN sig b ON a.tbl = b.tbl AND a.sig = b.sig AND a.doc_id <> b.doc_id WHERE a.doc_id % 20 = 0) " + ranked_sql(f"SELECT qid, cand.doc_id, -{_L2.format(a='q.embedding', b='e.embedding')} AS score FROM cand JOIN embeddings q ON q.vec_id = qid JOIN embeddings e ON e.vec_id = cand.doc_id", 10))
 def hash_table_topk(spark, d):
-    q, c = vector_queries(spark, d), vectors(spark, d)
-    return ranked(A.rerank(A.hash_candidates(q, c, _PLANES), q, c))
+    return ranked(A.hash_topk(vector_queries(spark, d), vectors(spark, d), _PLANES))
 
 
 @book.query(f"""WITH {RUN_SQL}, p AS (SELECT 1 - acos(greatest(-1, least(1, score))) / pi() AS p FROM run WHERE leg = 'full' AND rank <= 10)

@@ -29,7 +29,7 @@ def best(x, near, k):
 def test_cells_against_all_pairs(spark, monkeypatch, points, most):
     monkeypatch.setattr(ann, "MOST_BUCKET_QUERIES", most, raising=False)
     monkeypatch.setattr(dense, "TILE_ROWS", 16)
-    monkeypatch.setattr(ann, "squared_distance", no_pairs)  # a distance a joined pair is what took the time
+    monkeypatch.setattr(ann, "squared_distance", no_pairs, raising=False)  # a distance a joined pair is what took the time
     x, df, queries = points
     book = x[:6]
     d = ((x[:, None, :] - book[None, :, :]) ** 2).sum(axis=2)
@@ -47,7 +47,7 @@ def test_a_query_alone_in_its_cells_is_not_counted(spark):
 
 
 def test_fraction_counts_cells_without_distances_of_pairs(spark, monkeypatch):
-    monkeypatch.setattr(ann, "squared_distance", no_pairs)
+    monkeypatch.setattr(ann, "squared_distance", no_pairs, raising=False)
     v = ann_queries.vectors(spark, "/root/testdata/sf0.01").select("doc_id", F.col("vec").cast("array<double>")).orderBy("doc_id").collect()
     x = np.array([r[1] for r in v])
     d = np.round(((x[:, None, :] - x[None, :16, :]) ** 2).sum(axis=2), 9)
@@ -55,3 +55,21 @@ def test_fraction_counts_cells_without_distances_of_pairs(spark, monkeypatch):
     shares = [(np.isin(cell, probes[i]).sum() - (cell[i] in probes[i])) / len(x) for i, r in enumerate(v) if r[0] % 20 == 0]
     got = ann_queries.candidate_fraction(spark, "/root/testdata/sf0.01").first()["fraction"]
     assert got == pytest.approx(np.mean([s for s in shares if s]), abs=1e-6)
+
+
+@pytest.mark.parametrize("most", [1000, 7])
+def test_hash_tables_against_all_pairs(spark, monkeypatch, points, most):
+    monkeypatch.setattr(ann, "MOST_BUCKET_QUERIES", most, raising=False)
+    monkeypatch.setattr(ann, "squared_distance", no_pairs, raising=False)
+    x, df, queries = points
+    planes = [ann.hyperplanes(3, 3, seed=t) for t in range(3)]
+    sig = np.stack([(np.round(x @ h.T, 9) >= 0) @ (1 << np.arange(3)) for h in planes], axis=1)
+    got = ann.hash_topk(queries, df, planes, 7).collect()
+    assert sorted((r["qid"], r["doc_id"], r["rank"]) for r in got) == best(x, lambda q, j: (sig[q] == sig[j]).any(), 7)
+
+
+def test_hash_query_joins_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ann, "squared_distance", no_pairs, raising=False)
+    found = ann_queries.hash_table_topk(spark, "/root/testdata/sf0.01")
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert found.where("rank = 1").count() > 0
