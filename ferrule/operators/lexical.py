@@ -12,6 +12,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +25,10 @@ from ..plans.ranking import numbered, top_k
 from ..sources.tables import spread
 
 
+#: Most rows of a small table that is sent to every task.
+MOST_SENT = 200_000
+
+
 @dataclass
 class LexicalIndex:
     postings: DataFrame
@@ -271,6 +278,45 @@ def posting_blocks(index: LexicalIndex, terms: DataFrame, block_size: int = 64,
     return placed.groupBy("term", "block").agg(F.max("doc_id").alias("last_doc"), F.max("contribution").alias("bound"))
 
 
+def _term_counts(batches):
+    """Of (doc_id, range, tokens) each different token of a row: (doc_id, range, term, tf, dl)."""
+    for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+        dl = np.asarray(pc.fill_null(pc.list_value_length(batch.column(2)), 0)).astype(np.int64)
+        words = batch.column(2).flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(dl)), dl)
+        pair, tf = np.unique(row * max(1, len(words.dictionary)) + np.asarray(words.indices), return_counts=True)
+        row, code = np.divmod(pair.astype(np.int64), max(1, len(words.dictionary)))
+        columns = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), words.dictionary.take(pa.array(code)), pa.array(tf.astype(np.int64)), pa.array(dl[row])]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "range", "term", "tf", "dl"])
+
+
+def term_blocks(docs: DataFrame, terms: DataFrame, text: str = "text", tokenizer=tokens, block_size: int = 64, ranges: int = 64) -> DataFrame:
+    """posting_blocks() of an index of ``docs``, without the index.
+
+    Only postings of the given terms leave a document's task. They are shuffled
+    once, by term and range of doc_id, and numbered and written there; the
+    ranges' sizes (terms x ranges) give their starts and the terms' df.
+    """
+    sent = lambda small: F.broadcast(small) if small.count() <= MOST_SENT else small
+    docs = docs.select("doc_id", F.col(text).alias("text"))
+    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or [])) if ranges > 1 else []
+    at = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col("doc_id"))) if bounds else F.lit(0)
+    words = spread(docs).select("doc_id", at.alias("range"), tokenizer("text").alias("tokens"))
+    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    counted = words.mapInArrow(_term_counts, f"doc_id {kind}, range int, term string, tf bigint, dl bigint")
+    own = written(terms.select("term").distinct())
+    near = counted.join(sent(own), "term", "left_semi").repartition("term", "range")
+    merged = near.groupBy("term", "range", "doc_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+    placed = written(merged.withColumn("place", F.row_number().over(W.partitionBy("term", "range").orderBy("doc_id")) - 1))
+    of_term = W.partitionBy("term")
+    before = of_term.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = placed.groupBy("term", "range").agg(F.count("*").alias("size"))
+    starts = written(sizes.select("term", "range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(of_term).alias("df")))
+    whole = placed.join(sent(starts), ["term", "range"]).crossJoin(F.broadcast(written(stats)))
+    return whole.groupBy("term", F.floor((F.col("place") + F.col("start")) / block_size).alias("block")).agg(F.max("doc_id").alias("last_doc"), F.max(idf("bm25") * tf_factor()).alias("bound"))
+
+
 def dynamic_topk(index: LexicalIndex, queries: DataFrame, k: int = 10, span: int | None = None, seeds: int = 3, share: float = 0.4) -> DataFrame:
     """The exhaustive BM25 top k with few documents scored in full: (qid, doc_id, score, rank, scored).
 
